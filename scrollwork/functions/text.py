@@ -5,9 +5,10 @@ Patterns are written for Unicode text, so the word classes get the ``(?U)`` flag
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -73,8 +74,27 @@ def patterns_hit(c: Column, patterns: list[str], ignore_case: bool = True) -> Co
     return total([c.rlike(pattern(p, ignore_case)).cast("int") for p in patterns])
 
 
+def _plain(p: str) -> str | None:
+    """The word of a pattern of the form ``\\bword\\b``; such patterns cannot overlap each other."""
+    m = re.fullmatch(r"\\b([a-z]+)\\b", p)
+    return m.group(1) if m else None
+
+
 def patterns_total(c: Column, patterns: list[str], ignore_case: bool = True) -> Column:
-    return total([matches(c, pattern(p, ignore_case)) for p in patterns])
+    """Matches of all patterns together; plain words share one pass over the text."""
+    words = [w for w in map(_plain, patterns) if w]
+    other = [p for p in patterns if not _plain(p)]
+    merged = [r"\b(?:" + "|".join(words) + r")\b"] if words else []
+    return total([matches(c, pattern(p, ignore_case)) for p in merged + other])
+
+
+def hold(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read instead of repeating.
+
+    Catalyst substitutes projected expressions into the filters it pushes down, which would
+    run the same patterns over the same text again; it does not look through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
 def cut(c: Column, n: int, mark: str = "...") -> Column:

@@ -13,13 +13,13 @@ def density(low: Column, words: Column, patterns=fixed.DENSITY_PATTERNS) -> Colu
 
 
 def pattern_density(df: DataFrame, col: str = "content", words: str = "word_count", out: str = "density") -> DataFrame:
-    return df.withColumn(out, density(F.lower(col), F.col(words)))
+    return T.hold(df, {out: density(F.lower(col), F.col(words))})
 
 
 def type_scores(df: DataFrame, rules=fixed.TYPE_PATTERNS, col: str = "content") -> DataFrame:
     """One ``s_<type>`` column per content type."""
     low = F.lower(col)
-    return df.withColumns({f"s_{name}": T.patterns_total(low, pats, False).cast("double") for name, pats in rules})
+    return T.hold(df, {f"s_{name}": T.patterns_total(low, pats, False).cast("double") for name, pats in rules})
 
 
 def apply_hints(df: DataFrame, hints=fixed.TYPE_HINTS, order=fixed.TYPE_ORDER, intent: str = "intent", bonus: float = 2.0) -> DataFrame:
@@ -34,7 +34,7 @@ def apply_hints(df: DataFrame, hints=fixed.TYPE_HINTS, order=fixed.TYPE_ORDER, i
 
 def best_type(df: DataFrame, order=fixed.TYPE_ORDER) -> DataFrame:
     best = T.best_of([(n, F.col(f"s_{n}")) for n in order if f"s_{n}" in df.columns])
-    d = df.withColumn("__b", best)
+    d = T.hold(df, {"__b": best})
     hit = F.col("__b.score") > 0
     return (
         d.withColumn("content_type", F.when(hit, F.col("__b.name")).otherwise("general"))

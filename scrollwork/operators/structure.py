@@ -15,21 +15,19 @@ def text_headings(pages: DataFrame) -> DataFrame:
     found = found.withColumn("s", s).filter(F.length("s") >= 3)
     md, num = r"(?U)^(#{1,3})\s+(.+)$", r"(?iU)^(?:Chapter\s+)?(\d+)[.:\s]+\s*([A-Z].{2,60})$"
     line = F.col("s")
-    is_md = line.rlike(md)
     caps = (
         T.is_upper(line) & (F.length(line) > 3) & (F.length(line) < 80)
         & ~line.startswith("•") & ~line.rlike(r"^\d+\.\s")
     )
-    kind = F.when(is_md, "markdown").when(caps, "allcaps").when(line.rlike(num), "numbered")
+    kind = F.when(line.rlike(md), "markdown").when(caps, "allcaps").when(line.rlike(num), "numbered")
+    found = T.hold(found, {"source": kind}).filter(F.col("source").isNotNull())
     title = (
-        F.when(is_md, T.strip(F.regexp_extract(line, md, 2)))
-        .when(caps, T.title_case(line))
+        F.when(F.col("source") == "markdown", T.strip(F.regexp_extract(line, md, 2)))
+        .when(F.col("source") == "allcaps", T.title_case(line))
         .otherwise(T.strip(F.regexp_extract(line, num, 2)))
     )
-    level = F.when(is_md, F.length(F.regexp_extract(line, md, 1))).otherwise(1)
-    return found.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
-        "doc_id", "page_num", "line_no", title.alias("title"), level.cast("int").alias("level"), F.col("kind").alias("source")
-    )
+    level = F.when(F.col("source") == "markdown", F.length(F.regexp_extract(line, md, 1))).otherwise(1)
+    return found.select("doc_id", "page_num", "line_no", title.alias("title"), level.cast("int").alias("level"), "source")
 
 
 def font_headings(spans: DataFrame, most: int = 50) -> DataFrame:
@@ -125,19 +123,17 @@ def nest_sections(sections: DataFrame, span: Column | None = None) -> DataFrame:
     return seen.withColumn("parent_id", F.when(F.col("level") > 1, F.col("__top"))).drop("__top")
 
 
-def intent_of(title: Column, patterns=fixed.INTENT_PATTERNS) -> Column:
-    low = F.lower(title)
-    scores = {name: T.patterns_hit(low, pats, ignore_case=False) for name, pats in patterns}
-    best = T.best_of(list(scores.items()))
-    return (
-        F.when((scores["meta"] > 0) & (T.word_count(low) <= 5), "meta")
-        .when(best["score"] > 0, best["name"])
+def classify_intent(df: DataFrame, col: str = "title", out: str = "intent", patterns=fixed.INTENT_PATTERNS) -> DataFrame:
+    """Intent with the most matching patterns; a short title with any meta pattern is meta."""
+    low = F.lower(F.col(col))
+    d = T.hold(df, {f"__i_{n}": T.patterns_hit(low, pats, ignore_case=False) for n, pats in patterns})
+    d = T.hold(d, {"__best": T.best_of([(n, F.col(f"__i_{n}")) for n, _ in patterns])})
+    intent = (
+        F.when((F.col("__i_meta") > 0) & (T.word_count(low) <= 5), "meta")
+        .when(F.col("__best.score") > 0, F.col("__best.name"))
         .otherwise("unknown")
     )
-
-
-def classify_intent(df: DataFrame, col: str = "title", out: str = "intent") -> DataFrame:
-    return df.withColumn(out, intent_of(F.col(col)))
+    return d.withColumn(out, intent).drop("__best", *[f"__i_{n}" for n, _ in patterns])
 
 
 def inherit_intent(sections: DataFrame) -> DataFrame:
