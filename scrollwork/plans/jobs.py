@@ -1,6 +1,6 @@
 """All registered jobs."""
 
-from scrollwork.plans import corpus_jobs, log_jobs, retrieval_jobs, segment_jobs  # noqa: F401
+from scrollwork.plans import corpus_jobs, log_jobs, retrieval_jobs, segment_jobs, view_jobs  # noqa: F401
 from scrollwork.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -180,11 +180,11 @@ def fold_threads(spark, sf):
 
 
 @job(f"""WITH d AS (SELECT campaign_id, 'b' || (event_id % 2) AS b_id, sum(delta) AS s, arg_min(delta, event_id) AS f FROM {E} GROUP BY ALL)
-SELECT campaign_id, b_id, (CASE WHEN b_id = 'b0' AND campaign_id % 2 = 0 THEN 3 + s ELSE greatest(-10, least(10, f)) + s - f END)::BIGINT AS intensity FROM d
-UNION ALL SELECT campaign_id, 'b0', 3 FROM (SELECT DISTINCT campaign_id FROM {E} WHERE campaign_id % 2 = 0) u WHERE NOT EXISTS
+SELECT campaign_id, b_id, (CASE WHEN b_id = 'b0' AND campaign_id IN (SELECT user_id FROM events WHERE event_type = 'signup') THEN 3 + s ELSE greatest(-10, least(10, f)) + s - f END)::BIGINT AS intensity FROM d
+UNION ALL SELECT campaign_id, 'b0', 3 FROM (SELECT DISTINCT campaign_id FROM {E} WHERE event_type = 'signup') u WHERE NOT EXISTS
 (SELECT 1 FROM d WHERE d.campaign_id = u.campaign_id AND b_id = 'b0')""")
 def fold_relationships(spark, sf):
-    u = bind.log(spark, sf).select("campaign_id").distinct().filter("campaign_id % 2 = 0")
+    u = bind.log(spark, sf).filter("event_type = 'signup'").select("campaign_id").distinct()
     init = u.select("campaign_id", F.lit("player").alias("a_id"), F.lit("b0").alias("b_id"), F.lit("trust").alias("rel_type"), F.lit(3).alias("intensity"))
     rel = diff_rows(spark, sf).filter("kind = 'relation'")
     return log.fold_relationships(init, rel, ["turn_no", "seq"]).select("campaign_id", "b_id", "intensity")
