@@ -60,10 +60,10 @@ def build_queries(scenes: DataFrame, entities: DataFrame, threads: DataFrame, in
 # ---- keyword search ----
 
 
-def query_phrases(queries: DataFrame) -> DataFrame:
+def query_phrases(queries: DataFrame, within: list[str] = []) -> DataFrame:
     """``query_id, phrase``: every keyword as a phrase of plain terms."""
-    p = queries.select("query_id", F.explode("keywords").alias("k"))
-    return p.select("query_id", F.array_join(T.terms(F.col("k")), " ").alias("phrase")).filter("phrase <> ''").distinct()
+    p = queries.select("query_id", *within, F.explode("keywords").alias("k"))
+    return p.select("query_id", *within, F.array_join(T.terms(F.col("k")), " ").alias("phrase")).filter("phrase <> ''").distinct()
 
 
 def _grams(tokens: Column, lengths: list[int]) -> Column:
@@ -79,7 +79,9 @@ def _grams(tokens: Column, lengths: list[int]) -> Column:
     return F.concat(*parts)
 
 
-def phrase_hits(phrases: DataFrame, chunks: DataFrame, key: str, col: str, lengths: list[int]) -> DataFrame:
+def phrase_hits(
+    phrases: DataFrame, chunks: DataFrame, key: str, col: str, lengths: list[int], within: list[str] = []
+) -> DataFrame:
     """``key, length, phrase, tf`` for the wanted phrases only.
 
     The wanted phrases are few beside the text; when they are known to be, they meet the
@@ -88,9 +90,9 @@ def phrase_hits(phrases: DataFrame, chunks: DataFrame, key: str, col: str, lengt
     wanted = phrases.select("phrase").distinct()
     if small_enough(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
-    toks = chunks.select(key, T.terms(F.col(col)).alias("__t")).withColumn("length", F.size("__t"))
-    rows = toks.select(key, "length", F.explode(_grams(F.col("__t"), lengths)).alias("phrase"))
-    return rows.join(wanted, "phrase", "left_semi").groupBy(key, "length", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    toks = chunks.select(key, *within, T.terms(F.col(col)).alias("__t")).withColumn("length", F.size("__t"))
+    rows = toks.select(key, *within, "length", F.explode(_grams(F.col("__t"), lengths)).alias("phrase"))
+    return rows.join(wanted, "phrase", "left_semi").groupBy(key, *within, "length", "phrase").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_size(chunks: DataFrame, col: str) -> DataFrame:
@@ -99,18 +101,19 @@ def corpus_size(chunks: DataFrame, col: str) -> DataFrame:
 
 def keyword_search(
     queries: DataFrame, chunks: DataFrame, k: int = 30, key: str = "chunk_id", col: str = "content",
-    lengths: list[int] | None = None,
+    lengths: list[int] | None = None, within: list[str] = [],
 ) -> DataFrame:
     """BM25 over the OR of each query's phrases: the best ``k`` chunks, score then id.
 
-    ``queries(query_id, keywords)``. Filters on ``chunks`` come before ranking.
+    ``queries(query_id, keywords)``. Filters on ``chunks`` come before ranking; columns in
+    ``within`` (such as ``pack_id``) must agree between a query and its chunks.
     """
-    phrases = query_phrases(queries)
+    phrases = query_phrases(queries, within)
     if lengths is None:
         sizes = phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct()
         lengths = sorted(r.n for r in sizes.collect()) or [1]
     # by chunk, so that the (query, chunk) sums below need no further shuffle
-    hits = phrase_hits(phrases, chunks, key, col, lengths).repartition(key)
+    hits = phrase_hits(phrases, chunks, key, col, lengths, within).repartition(key)
     freq = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     size = corpus_size(chunks, col)
     n, mean = size.select("n").scalar(), size.select("mean_length").scalar()
@@ -120,7 +123,7 @@ def keyword_search(
         terms = F.broadcast(terms)
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scores = hits.join(terms, "phrase").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    scores = hits.join(terms, ["phrase", *within]).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -1,6 +1,8 @@
 """All registered jobs."""
 
-from scrollwork.plans import corpus_jobs, log_jobs, retrieval_jobs, segment_jobs, view_jobs  # noqa: F401
+from scrollwork.plans import (  # noqa: F401
+    audit_jobs, corpus_jobs, log_jobs, mechanics_jobs, retrieval_jobs, segment_jobs, view_jobs,
+)
 from scrollwork.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
