@@ -55,6 +55,7 @@ LAB = sql_case("p_type", LABEL, "'Trivial'")
 @job(f"""WITH d AS (SELECT *, {LAB} AS lab FROM {SHEET_SQL}), n AS (SELECT doc_id, p_size::VARCHAR AS v, min(part_no) AS f FROM d GROUP BY ALL)
 SELECT doc_id, 'outcome_bands' AS field, '7-9' AS name, 'mixed ' || a AS value, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT doc_id, 'outcome_bands', '10+', 'full ' || b, count(*) FROM d GROUP BY ALL
 UNION ALL SELECT doc_id, 'difficulty_scale', lab, p_size::VARCHAR, count(*) FROM d GROUP BY ALL
+UNION ALL SELECT doc_id, 'difficulty_scale', p_type, p_size::VARCHAR, count(*) FROM d WHERE p_type = 'STANDARD' GROUP BY ALL
 UNION ALL SELECT doc_id, 'default_difficulty', NULL, arg_min(p_size, part_no)::VARCHAR, 1 FROM d GROUP BY doc_id
 UNION ALL SELECT doc_id, 'die_type', NULL, arg_max(v, (c, -v::INTEGER)), 1 FROM (SELECT doc_id, v, count(*) AS c FROM (SELECT doc_id, unnest(['10', '6']) AS v FROM d) GROUP BY ALL) GROUP BY doc_id""")
 def extract_resolution(spark, sf):
