@@ -205,3 +205,94 @@ def document_title(spark, sf):
 sum({sql_words('text')})::BIGINT AS words FROM {WP} GROUP BY doc_id""")
 def whole_document(spark, sf):
     return structure.whole_document(bind.web_pages(spark, sf))
+
+
+# ---- layout, fonts, contents pages: an order is a page, its lines are blocks and spans ----
+
+BAND = "CASE l_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'full' END"
+
+
+@job(f"""WITH b AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS y, {BAND} AS band, 'b' || l_linenumber AS t FROM lineitem),
+p AS (SELECT l_orderkey, count(*) AS c, min(y) FILTER (band <> 'full') AS top, max(y) FILTER (band <> 'full') AS low, bool_or(band = 'left') AND bool_or(band = 'right') AS two FROM b GROUP BY ALL),
+q AS (SELECT l_orderkey, t, CASE band WHEN 'left' THEN 1 WHEN 'right' THEN 2 ELSE CASE WHEN y < top THEN 0 WHEN y > low THEN 3 END END AS k, y, n FROM b JOIN p USING (l_orderkey)),
+s AS (SELECT l_orderkey, string_agg(t, chr(10) || chr(10) ORDER BY k, y, n) AS text FROM q WHERE k IS NOT NULL GROUP BY ALL)
+SELECT l_orderkey AS page_num, CASE WHEN c >= 4 AND two THEN text END AS text FROM p LEFT JOIN s USING (l_orderkey)""")
+def reorder_columns(spark, sf):
+    li = bind.table(spark, sf, "lineitem")
+    m = F.col("l_partkey") % 3
+    b = li.select(
+        F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_num"), F.col("l_linenumber").alias("ord"), F.when(m == 1, 320.0).otherwise(20.0).alias("x0"),
+        F.col("l_quantity").alias("y0"), F.when(m == 0, 280.0).otherwise(580.0).alias("x1"), F.concat(F.lit("b"), "l_linenumber").alias("text"), F.lit(600.0).alias("page_width"),
+    )
+    return pages.reorder_columns(b).select("page_num", "text")
+
+
+FONT = """sp AS (SELECT l_suppkey AS doc_id, l_orderkey AS page_num, l_linenumber AS line_no, 't' || (l_partkey + 100) AS title, 8 + round(l_discount * 100) AS size FROM lineitem),
+sz AS (SELECT doc_id, size, count(*) AS n, min((page_num, line_no)) AS f FROM sp GROUP BY ALL),
+bd AS (SELECT doc_id, arg_max(size, (n, -f[1], -f[2])) AS body FROM sz GROUP BY ALL),
+fh AS (SELECT sp.doc_id, page_num, line_no, title, CASE WHEN size >= body * 1.5 THEN 1 ELSE 2 END AS level, 'font' AS source FROM sp JOIN sz USING (doc_id, size) JOIN bd ON bd.doc_id = sp.doc_id WHERE size > body AND n <= 50)"""
+
+
+def _spans(spark, sf):
+    return bind.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("page_num"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("t"), F.col("l_partkey") + 100).alias("text"),
+        (8 + F.round(F.col("l_discount") * 100)).alias("size"),
+    )
+
+
+@job(f"WITH {FONT.replace('min((page_num, line_no)) AS f', 'min(page_num * 10 + line_no) AS f').replace('-f[1], -f[2]', '-f')} SELECT * FROM fh")
+def font_headings(spark, sf):
+    return structure.font_headings(_spans(spark, sf))
+
+
+TOC_SQL = """(SELECT o_custkey AS doc_id, o_orderkey AS page_num, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Table of Contents' || chr(10) || 'Part ' || o_orderstatus || ' ..... ' || year(o_orderdate) || chr(10)
+|| '    Page of the order  ' || '  ' || o_orderkey || chr(10) || CASE WHEN o_orderstatus = 'F' THEN 'More' || ' .... 7' || chr(10) ELSE '' END || 'no entry' ELSE 'HEAD ' || upper(o_orderstatus) || 'X' || chr(10) || 'plain' END AS text FROM orders)"""
+
+
+def _toc_pages(spark, sf):
+    o = bind.table(spark, sf, "orders")
+    text = F.expr("""CASE WHEN o_orderpriority = '1-URGENT' THEN 'Table of Contents\\nPart ' || o_orderstatus || ' ..... ' || year(o_orderdate) || '\\n    Page of the order    ' || o_orderkey || '\\n'
+        || CASE WHEN o_orderstatus = 'F' THEN 'More .... 7\\n' ELSE '' END || 'no entry' ELSE 'HEAD ' || upper(o_orderstatus) || 'X\\nplain' END""")
+    return o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_num"), text.alias("text"), "o_orderstatus", "o_orderpriority", "o_orderdate")
+
+
+TOC = """pg AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+ct AS (SELECT o_custkey AS doc_id, min(o_orderkey) AS k FROM pg WHERE r <= 10 AND o_orderpriority = '1-URGENT' GROUP BY ALL),
+te AS (SELECT doc_id, year(o_orderdate)::BIGINT AS page_num, 1 AS line_no, 'Part ' || o_orderstatus AS title, 1 AS level, 'toc' AS source FROM ct JOIN orders ON o_orderkey = k
+UNION ALL SELECT doc_id, k, 2, 'Page of the order', 2, 'toc' FROM ct UNION ALL SELECT doc_id, 7, 3, 'More', 1, 'toc' FROM ct JOIN orders ON o_orderkey = k WHERE o_orderstatus = 'F')"""
+
+
+@job(f"WITH {TOC} SELECT * FROM te")
+def toc_entries(spark, sf):
+    return structure.toc_entries(_toc_pages(spark, sf))
+
+
+@job(f"""WITH {TOC}, fn AS (SELECT o_custkey AS doc_id, o_orderkey AS page_num, 0 AS line_no, 'font ' || o_orderkey AS title, 1 AS level, 'font' AS source FROM orders WHERE o_totalprice > 450000),
+tx AS (SELECT o_custkey AS doc_id, o_orderkey AS page_num, 0 AS line_no, 'Head ' || o_orderstatus || 'x' AS title, 1 AS level, 'allcaps' AS source FROM orders WHERE o_orderpriority <> '1-URGENT'),
+al AS (SELECT *, source AS g FROM te UNION ALL SELECT *, source FROM fn UNION ALL SELECT *, 'txt' FROM tx),
+pk AS (SELECT doc_id, CASE WHEN count(*) FILTER (g = 'toc') >= 3 THEN 'toc' WHEN count(*) FILTER (g = 'font') > 0 THEN 'font' WHEN count(*) FILTER (g = 'txt') > 0 THEN 'txt' ELSE 'toc' END AS g FROM al GROUP BY ALL)
+SELECT al.doc_id, page_num, line_no, title, level, source FROM al JOIN pk USING (doc_id, g)""")
+def choose_headings(spark, sf):
+    p = _toc_pages(spark, sf)
+    font = bind.table(spark, sf, "orders").filter("o_totalprice > 450000").select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_num"), F.lit(0).alias("line_no"), F.concat(F.lit("font "), "o_orderkey").alias("title"), F.lit(1).alias("level"), F.lit("font").alias("source")
+    )
+    return structure.choose_headings(font, structure.text_headings(p), structure.toc_entries(p))
+
+
+NR = """pg AS (SELECT o_custkey AS d, o_orderkey AS p, o_orderpriority = '1-URGENT' AS f1, o_orderpriority = '2-HIGH' AS f2, o_orderpriority IN ('1-URGENT', '3-MEDIUM') AS l1, o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') AS l2,
+    o_orderpriority IN ('3-MEDIUM', '5-LOW') AS l3 FROM orders),
+fr AS (SELECT d, 'Forces' AS name, min(p) AS s FROM pg WHERE f1 GROUP BY d UNION ALL SELECT d, 'Mind', min(p) FROM pg WHERE f2 GROUP BY d),
+a1 AS (SELECT * FROM fr UNION ALL SELECT d, 'Forces', min(p) FROM pg WHERE l1 AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.d = pg.d AND (name = 'Forces' OR s = p)) GROUP BY d),
+a2 AS (SELECT * FROM a1 UNION ALL SELECT d, 'Mind', min(p) FROM pg WHERE l2 AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.d = pg.d AND (name = 'Mind' OR s = p)) GROUP BY d),
+a3 AS (SELECT * FROM a2 UNION ALL SELECT d, 'Prime', min(p) FROM pg WHERE l3 AND NOT EXISTS (SELECT 1 FROM a2 WHERE a2.d = pg.d AND (name = 'Prime' OR s = p)) GROUP BY d)"""
+
+
+@job(f"WITH {NR} SELECT d AS doc_id, name, s AS page_start, coalesce(lead(s) OVER (PARTITION BY d ORDER BY s), s + 10) AS page_end FROM a3")
+def named_ranges(spark, sf):
+    text = [
+        ("1-URGENT", "Forces\n\nSpecialties: fire\n\n• One"), ("2-HIGH", "intro\n Mind \n• Two ranks"), ("3-MEDIUM", "of Forces, Mind and Prime\n• • Rank\n• Three"), ("5-LOW", "the Mind or Prime\n•  Four"),
+    ]
+    o = bind.table(spark, sf, "orders")
+    p = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_num"), T.first_in(F.col("o_orderpriority"), text, "Prime without ranks").alias("text"))
+    return structure.named_ranges(p, ["Forces", "Mind", "Prime"])
