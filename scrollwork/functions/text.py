@@ -60,6 +60,11 @@ def pattern(p: str, ignore_case: bool = True) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + p
 
 
+def lowered(p: str) -> str:
+    """A pattern for text that is already in lower case; escapes such as ``\\S`` stay."""
+    return re.sub(r"(\\.)|([A-Z])", lambda m: m.group(1) or m.group(2).lower(), p)
+
+
 def matches(c: Column, p: str) -> Column:
     """Number of non-overlapping matches of one literal pattern."""
     return F.regexp_count(c, F.lit(p))

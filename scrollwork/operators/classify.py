@@ -9,7 +9,7 @@ from scrollwork.functions import fixed, ordered, text as T
 
 def density(low: Column, words: Column, patterns=fixed.DENSITY_PATTERNS) -> Column:
     """Matches of the whole alternation per hundred words; overlaps count once."""
-    return T.matches(low, T.pattern("|".join(patterns))) / F.greatest(words, F.lit(1)) * 100
+    return T.matches(low, T.pattern("|".join(map(T.lowered, patterns)), False)) / F.greatest(words, F.lit(1)) * 100
 
 
 def pattern_density(df: DataFrame, col: str = "content", words: str = "word_count", out: str = "density") -> DataFrame:

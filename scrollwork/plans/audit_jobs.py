@@ -10,6 +10,7 @@ from scrollwork.plans import bind
 from scrollwork.plans.bind import quote, sql_ascii, sql_case, sql_hits, sql_list, sql_strip, sql_words
 from scrollwork.plans.log_jobs import conv, k
 from scrollwork.plans.registry import job, table
+from scrollwork.session import spread
 from scrollwork.plans.retrieval_jobs import TOKENS, doc_chunks, order_chunks, web_files
 from scrollwork.plans.segment_jobs import HEADED_SQL, LEGAL
 
@@ -108,7 +109,7 @@ DIRS = [("en", "locations"), ("fr", "npcs"), ("de", "culture")]
 
 
 def audit_files(spark, sf):
-    d = table(spark, sf, "documents").filter("lang <> 'es'")
+    d = spread(table(spark, sf, "documents").filter("lang <> 'es'").select("doc_id", "source", "lang", "text"), "doc_id")
     return d.select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("file_no"), T.first_in(F.col("lang"), DIRS).alias("dir"), F.col("text").alias("body"),
         T.word_count(F.col("text")).alias("words"), F.col("lang").alias("file_type"),

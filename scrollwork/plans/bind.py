@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scrollwork.functions import ordered, text as T
 from scrollwork.plans.registry import table
+from scrollwork.session import spread
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` is the document, ``doc_id`` the page number."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "doc_id").select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("page_num"), "text"
     )
 
@@ -26,7 +27,7 @@ INTENT_OF_LANG = [("en", "mechanics"), ("fr", "setting"), ("de", "equipment"), (
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document row is a segment of its source; the title is its first five words."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     return d.select(
         F.col("source").alias("doc_id"),
         F.col("doc_id").alias("seg_no"),

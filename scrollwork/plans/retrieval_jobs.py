@@ -9,6 +9,7 @@ from scrollwork.operators import chunks, lore_cache, retrieval
 from scrollwork.plans import bind
 from scrollwork.plans.bind import quote, sql_case, sql_list, sql_slug, sql_strip, sql_words
 from scrollwork.plans.registry import job, table
+from scrollwork.session import spread
 from scrollwork.plans.segment_jobs import HEADED_SQL, headed
 
 # ---- chunks ----
@@ -80,12 +81,12 @@ ps AS (SELECT doc_id, len(ts) AS length, unnest(ts) AS term FROM tk)"""
 
 @job(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM ps GROUP BY term")
 def postings_stats(spark, sf):
-    return chunks.postings_stats(chunks.build_postings(table(spark, sf, "documents"), "doc_id", "text"))
+    return chunks.postings_stats(chunks.build_postings(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text"))
 
 
 @job(f"WITH {TOKENS} SELECT doc_id, length::INTEGER AS length, term, count(*) AS tf FROM ps GROUP BY ALL")
 def build_postings(spark, sf):
-    return chunks.build_postings(table(spark, sf, "documents"), "doc_id", "text")
+    return chunks.build_postings(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 @job(f"""WITH {TOKENS} SELECT source AS pack_id, count(*) AS postings, sum(n)::BIGINT AS terms FROM
@@ -112,7 +113,7 @@ def benchmark_queries(spark, sf):
 
 
 def doc_chunks(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     return d.select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("pack_id"), F.col("text").alias("content"),
         T.token_estimate(F.col("text")).alias("token_estimate"), "lang",

@@ -89,7 +89,7 @@ SELECT doc_id, seg_no, hits::INTEGER AS hits, (length(body) < 100 AND NOT regexp
 def boilerplate_flags(spark, sf):
     s = bind.segments(spark, sf)
     return s.select(
-        "doc_id", "seg_no", segments.boilerplate_hits(F.col("content"), LEGAL).alias("hits"),
+        "doc_id", "seg_no", segments.boilerplate_hits(T.strip(F.col("content")), LEGAL).alias("hits"),
         segments.is_boilerplate(F.col("content"), F.col("word_count"), LEGAL).alias("dropped"),
     )
 

@@ -46,3 +46,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out rows whose input has fewer splits than there are cores, before heavy work per row.
+
+    A large table arrives in many splits and is returned as it is; a file of one row group
+    would otherwise keep every pattern match in a single task.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, key)
