@@ -11,6 +11,7 @@ from scrollwork.functions import fixed, text as T
 # Sides at or under this many rows may be sent to every task; see `small_enough`.
 BROADCAST_ROWS = 200_000
 VECTOR_QUERY_ROWS = 4_096
+VECTOR_ITEM_ROWS = 8_192
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -161,8 +162,14 @@ def ref_search(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
 # ---- vectors ----
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.asarray(rows.tolist(), dtype=np.float64)
+def _pack(df: DataFrame, keys: list[str], ident: str, name: str) -> DataFrame:
+    """Rows of a hash block, whose size is set by the number of blocks, as two arrays."""
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct(ident, "vector")).alias("__p"))
+    return g.select(*keys, F.col(f"__p.{ident}").alias(f"{name}_ids"), F.col("__p.vector").alias(f"{name}_vecs"))
+
+
+def _unit(rows) -> np.ndarray:
+    m = np.asarray([list(r) for r in rows], dtype=np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
 
@@ -185,7 +192,8 @@ def vector_search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFram
 
     ``queries(query_id, vector)``, ``items(item_id, vector, collection)``. Each task scores
     its block as one matrix product and emits only its ``n`` best per query. A bounded query
-    set is sent to every task; a larger one is cut in blocks that meet every item block.
+    set is sent to every task; a larger one is packed in hash blocks of bounded size that meet
+    every item block once.
     """
     items = items.select("item_id", "vector", F.col("collection").cast("string").alias("collection"))
     if small_enough(queries, VECTOR_QUERY_ROWS):
@@ -202,24 +210,17 @@ def vector_search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFram
         hits = items.mapInPandas(scan, _HIT)
     else:
         q_blocks = max(1, -(-queries.count() // VECTOR_QUERY_ROWS))
-        i_blocks = 4 * items.sparkSession.sparkContext.defaultParallelism
-        qb = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"))
-        qb = qb.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
-        ib = items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(i_blocks)).cast("int"))
-        ib = ib.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("qb", F.col("qb").cast("bigint"))
-
-        def score(left, right):
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "collection": [], "item_id": [], "similarity": []})
-            q = _unit(left["vector"])
-            out = []
-            for coll, part in right.groupby("collection"):
-                for at in range(0, len(part), 8192):
-                    p = part.iloc[at : at + 8192]
-                    out += _best(left["query_id"].to_numpy(), q, p["item_id"].to_numpy(), _unit(p["vector"]), coll, n)
-            return pd.concat(out)
-
-        hits = qb.groupBy("qb", "ib").cogroup(ib.groupBy("qb", "ib")).applyInPandas(score, _HIT)
+        i_blocks = max(1, -(-items.count() // VECTOR_ITEM_ROWS))
+        qb = _pack(queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))), ["qb"], "query_id", "q")
+        ib = _pack(items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(i_blocks))), ["collection", "ib"], "item_id", "i")
+        pairs = ib.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))).join(qb, "qb")
+
+        def score(batches):
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    yield from _best(np.asarray(r.q_ids), _unit(r.q_vecs), np.asarray(r.i_ids), _unit(r.i_vecs), r.collection, n)
+
+        hits = pairs.select("collection", "q_ids", "q_vecs", "i_ids", "i_vecs").mapInPandas(score, _HIT)
     w = W.partitionBy("query_id", "collection").orderBy(F.desc("similarity"), F.asc("item_id"))
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

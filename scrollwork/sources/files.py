@@ -38,7 +38,7 @@ def yaml_to_json(blocks: pd.Series) -> pd.DataFrame:
 
 
 def _whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return d.select(F.col("_metadata.file_path").alias("path"), "value")
 
 

@@ -24,6 +24,7 @@ def test_phrases_and_bm25(spark, corpus):
 @pytest.mark.parametrize("bound", [0, 4096])
 def test_vector_search_both_ways(spark, monkeypatch, bound):
     monkeypatch.setattr(retrieval, "VECTOR_QUERY_ROWS", bound or 7)
+    monkeypatch.setattr(retrieval, "VECTOR_ITEM_ROWS", 16)
     rng = random.Random(1)
     vec = lambda: [rng.uniform(-1, 1) for _ in range(8)]
     items = [(i, vec(), i % 2) for i in range(60)]

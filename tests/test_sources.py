@@ -35,10 +35,13 @@ def test_manifests_pages_and_registry(spark, tmp_path):
 
 
 def test_scenarios(spark, tmp_path):
-    (tmp_path / "s.yaml").write_text(
-        "name: S\nclocks: [{id: c, name: Cred, value: 5, max: 9}]\nentities:\n - {id: player, type: pc, name: P}\n - {id: knife, type: item, name: K, tags: [equipped]}\n"
-        "facts: [{id: f, subject_id: player, predicate: is}]\nthreads: [{id: t, title: T}]\nstarting_scene: {location_id: bar, present_entity_ids: [player]}\n"
-    )
+    doc = {
+        "name": "S", "clocks": [{"id": "c", "name": "Cred", "value": 5, "max": 9}],
+        "entities": [{"id": "player", "type": "pc", "name": "P"}, {"id": "knife", "type": "item", "name": "K", "tags": ["equipped"]}],
+        "facts": [{"id": "f", "subject_id": "player", "predicate": "is"}], "threads": [{"id": "t", "title": "T"}],
+        "starting_scene": {"location_id": "bar", "present_entity_ids": ["player"]},
+    }
+    (tmp_path / "s.yaml").write_text(json.dumps(doc))
     s = files.normalize_scenarios(files.scan_scenarios(spark, str(tmp_path)))
     assert {r.item_id for r in s["inventory"].collect()} == {"knife", "credstick"}
     (f,) = s["facts"].collect()
