@@ -181,7 +181,10 @@ def extract_health(texts: DataFrame) -> DataFrame:
     x = "health"
     one = F.filter(groups(t, r"(?m)^([A-Z][a-z]+(?:[^\S\n]+[A-Z][a-z]+)?)\s*[:(\[]\s*(-\d+)\s*[)\]]?", 2), lambda z: valid_term(_g(z, 1)))
     two = F.filter(groups(t, r"(?m)^([A-Z][a-z]+(?:[^\S\n]+[A-Z][a-z]+)?)\s{2,}(0|-\d+)\b", 2), lambda z: valid_term(_g(z, 1)))
-    three = F.filter(groups(t, r"(?iU)([A-Z][a-z]+)\s*[^-\d]*(-\d+|0)\s*(?:penalty|dice)?", 2), lambda z: valid_term(_g(z, 1), 4))
+    # first word of a stretch without digits or dashes that ends in a penalty; the possessive form
+    # reads every stretch once, where a plain one would rescan it from each of its words
+    stretch = r"(?i)(?:\G|(?<=[-\d]))(?:[^-\da-z]|[a-z](?![a-z]))*+([a-z]{2,}+)[^-\d]*+(-\d+|0)\s*(?:penalty|dice)?"
+    three = F.filter(groups(t, stretch, 2), lambda z: valid_term(_g(z, 1), 4))
     nm, val = (lambda z: _g(z, 1)), (lambda z: _g(z, 2))
     rows = _rows(d, [
         _items(x, "layout_1", one, nm, val), _items(x, "layout_2", two, nm, val), _items(x, "layout_3", three, lambda z: T.title_case(_g(z, 1)), val),

@@ -69,3 +69,12 @@ def test_rule_text(spark):
 def test_cycles(spark):
     e = spark.createDataFrame([("d", "a", "b"), ("d", "b", "c"), ("d", "c", "a"), ("x", "a", "b"), ("x", "b", "c")], "doc_id string, a string, b string")
     assert {r.doc_id for r in mechanics.find_cycles(e).collect()} == {"d"}
+
+
+def test_penalty_ladder(spark):
+    text = "Scraped 0 penalty Shaken then -1 dice Winded so -2\nno number here at all\nHurt (-5)"
+    d = spark.createDataFrame([("d", 1, text), ("e", 1, "Shaken by 0 and Winded by -1 only")], "doc_id string, part_no long, text string")
+    got = {(r.doc_id, r.name, r.value) for r in mechanics.extract_health(d).filter("field = 'health_levels'").collect()}
+    assert got == {("d", "Hurt", "-5")}
+    ladder = spark.createDataFrame([("d", 1, "Scraped 0 penalty Shaken then -1 dice Winded so 0 or Fine at -1")], "doc_id string, part_no long, text string")
+    assert mechanics.extract_health(ladder).filter("field = 'health_levels'").count() == 0
