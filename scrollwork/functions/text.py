@@ -70,6 +70,43 @@ def matches(c: Column, p: str) -> Column:
     return F.regexp_count(c, F.lit(p))
 
 
+def ascii_form(c: Column) -> Column:
+    """Text in which ASCII ``\\b \\w \\d \\s`` match where the Unicode ones match in the original.
+
+    Other letters become ``x``, digits ``0`` and spaces a space, one for one. Text that is
+    ASCII already is passed on, and the patterns can then do without the slower Unicode classes.
+    """
+    other = F.regexp_replace(c, r"[\p{L}\p{M}&&[^\x00-\x7F]]", "x")
+    other = F.regexp_replace(other, r"[\p{Nd}&&[^\x00-\x7F]]", "0")
+    other = F.regexp_replace(other, r"[\p{Z}\x{85}&&[^\x00-\x7F]]", " ")
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(other)
+
+
+def ascii_safe(patterns: list[str]) -> bool:
+    """No pattern names a letter outside ASCII."""
+    return not any(ch.isalpha() and ord(ch) > 127 for p in patterns for ch in p)
+
+
+def alternation(patterns: list[str]) -> str:
+    """One alternation in the given order; neighbours that open at a word boundary share the test
+    for it, so the engine passes over the inside of words."""
+
+    def bounded(p: str) -> bool:
+        return all(a.startswith(r"\b") for a in re.sub(r"\([^()]*\)", "", p).split("|"))
+
+    out, run = [], []
+    for p in [*patterns, None]:
+        if p is not None and bounded(p):
+            run.append(p.removeprefix(r"\b"))
+            continue
+        if run:
+            out.append(r"\b(?:" + "|".join(run) + ")")
+            run = []
+        if p is not None:
+            out.append(p)
+    return "|".join(out)
+
+
 def total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
@@ -85,12 +122,12 @@ def _plain(p: str) -> str | None:
     return m.group(1) if m else None
 
 
-def patterns_total(c: Column, patterns: list[str], ignore_case: bool = True) -> Column:
+def patterns_total(c: Column, patterns: list[str], ignore_case: bool = True, flags: str | None = None) -> Column:
     """Matches of all patterns together; plain words share one pass over the text."""
     words = [w for w in map(_plain, patterns) if w]
     other = [p for p in patterns if not _plain(p)]
     merged = [r"\b(?:" + "|".join(words) + r")\b"] if words else []
-    return total([matches(c, pattern(p, ignore_case)) for p in merged + other])
+    return total([matches(c, pattern(p, ignore_case) if flags is None else flags + p) for p in merged + other])
 
 
 def hold(df: DataFrame, cols: dict[str, Column]) -> DataFrame:

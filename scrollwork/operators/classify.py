@@ -9,7 +9,10 @@ from scrollwork.functions import fixed, ordered, text as T
 
 def density(low: Column, words: Column, patterns=fixed.DENSITY_PATTERNS) -> Column:
     """Matches of the whole alternation per hundred words; overlaps count once."""
-    return T.matches(low, T.pattern("|".join(map(T.lowered, patterns)), False)) / F.greatest(words, F.lit(1)) * 100
+    plain = T.ascii_safe(patterns)
+    every = T.alternation([T.lowered(p) for p in patterns])
+    hits = T.matches(T.ascii_form(low), every) if plain else T.matches(low, T.pattern(every, False))
+    return hits / F.greatest(words, F.lit(1)) * 100
 
 
 def pattern_density(df: DataFrame, col: str = "content", words: str = "word_count", out: str = "density") -> DataFrame:
@@ -18,8 +21,12 @@ def pattern_density(df: DataFrame, col: str = "content", words: str = "word_coun
 
 def type_scores(df: DataFrame, rules=fixed.TYPE_PATTERNS, col: str = "content") -> DataFrame:
     """One ``s_<type>`` column per content type."""
-    low = F.lower(col)
-    return T.hold(df, {f"s_{name}": T.patterns_total(low, pats, False).cast("double") for name, pats in rules})
+    plain = T.ascii_safe([p for _, pats in rules for p in pats])
+    low = T.ascii_form(F.lower(col)) if plain else F.lower(col)
+    d = T.hold(df, {"__low": low})
+    flags = "" if plain else None
+    scores = {f"s_{name}": T.patterns_total(F.col("__low"), pats, False, flags).cast("double") for name, pats in rules}
+    return T.hold(d, scores).drop("__low")
 
 
 def apply_hints(df: DataFrame, hints=fixed.TYPE_HINTS, order=fixed.TYPE_ORDER, intent: str = "intent", bonus: float = 2.0) -> DataFrame:

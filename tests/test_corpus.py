@@ -19,6 +19,15 @@ def test_text_helpers(spark):
     assert T.lowered(r"\bDC\S+\W") == r"\bdc\S+\W"
 
 
+def test_ascii_form_keeps_word_boundaries(spark):
+    import re
+
+    pats = [r"\bbar\b", r"\b\d+\b", r"a\s+b"]
+    for text in ["bar ébar baré, bar", "3 ٣ é3 a\u00a0b", "plain bar 12 a b"]:
+        want = sum(len(re.findall(p, text)) for p in pats)
+        assert one(spark, T.patterns_total(T.ascii_form(F.lit(text)), pats, False, "")) == want
+
+
 def test_two_columns(spark):
     rows = [("full", 0, 0.0, 10.0, 590.0), ("L1", 1, 50.0, 20.0, 280.0), ("R1", 2, 40.0, 320.0, 580.0), ("L2", 3, 90.0, 20.0, 280.0), ("foot", 4, 200.0, 10.0, 590.0)]
     b = spark.createDataFrame([("d", 1, o, x0, y, x1, t, 600.0) for t, o, y, x0, x1 in rows], "doc_id string, page_num long, ord int, x0 double, y0 double, x1 double, text string, page_width double")
