@@ -1,6 +1,6 @@
 """All registered queries of this folder."""
 
-from scrollwork.llm import exact_dedup, id_shards, line_dedup, packing  # noqa: F401
+from scrollwork.llm import exact_dedup, id_shards, language_id, line_dedup, packing, quality  # noqa: F401
 from scrollwork.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
