@@ -1,5 +1,66 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: five filtering and shaping stages over ``documents``, ending in packed training sequences.
+
+Each stage reads all that the one before it kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from scrollwork.llm import decontaminate, language_id, line_dedup, near_dedup, packing
+from scrollwork.llm.common import table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, null texts and texts unlike all languages of the table go. Without any known language
+    to learn from, only texts with letters could not be judged, so all rows stay."""
+    model = language_id.fit(language_id.training_rows(docs))
+    return docs if model is None else language_id.accepted(docs, model)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, documents stay, with ``n_chars`` of the new text."""
+    out = line_dedup.drop_repeated_lines(docs)
+    n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*[F.col("text") if c == "text" else n_chars[c].alias(c) if c in n_chars else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class stays, once even where its row repeats. Rows without an id are not compared and stay."""
+    stay = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    nth = "__nth"
+    named = docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item or an edited copy of one go."""
+    key = "__key"  # also tells rows without an id apart
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias("found")).distinct()
+    return keyed.join(found, F.col(key) == F.col("found"), "left_anti").drop(key)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_copies),
+    ("packing", pack_sequences),
+]
+
+#: Models, alignments and tokenizers are beyond SQL; tests/llm compare the pipeline with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -19,7 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from scrollwork.llm.common import fold, query, table
 
@@ -239,42 +240,57 @@ def fit(df: DataFrame, sample_docs: int = 4000, max_cells: int = 8_000_000) -> M
     return model
 
 
+def predict(texts: list[str], model: Model | None) -> pd.DataFrame:
+    """``lang_pred``, ``score``, ``cross_entropy``, ``adjusted``, ``rejected`` for each text.
+
+    ``und`` (rejected, score 0) for texts without a letter. ``adjusted`` pulls the cross-entropy of short texts, as 40
+    characters would, to the usual one of the language; over the language's limit a text is rejected.
+    """
+    n_langs = len(model.langs) if model else 1
+    sums, n_all, letters_all = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.zeros(len(texts))
+    for group, owner in parts(texts) if model else ():
+        entropy, n, n_letters = model.score(group)
+        np.add.at(sums, owner, entropy * n[:, None])
+        np.add.at(n_all, owner, n)
+        np.add.at(letters_all, owner, n_letters)
+    entropy = sums / np.maximum(n_all, 1)[:, None]
+    best, low = entropy.argmin(axis=1), entropy.min(axis=1)
+    gaps = np.exp(-(entropy - low[:, None]) * np.minimum(n_all, 100)[:, None])
+    known = letters_all > 0
+    usual = np.array([(model.limits or {}).get(x, (np.nan, np.inf)) for x in model.langs]) if model else np.array([[np.nan, np.inf]])
+    mean, limit = usual[best, 0], usual[best, 1]
+    adjusted = np.where(np.isnan(mean), low, (low * n_all + np.nan_to_num(mean) * 40) / (n_all + 40))
+    names = [model.langs[b] if k else "und" for b, k in zip(best, known)]
+    return pd.DataFrame({"lang_pred": names, "score": np.where(known, 1 / gaps.sum(axis=1), 0.0), "cross_entropy": low, "adjusted": adjusted, "rejected": ~known | (adjusted > limit)})
+
+
 def classify(df: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``keep`` columns, ``lang_pred``, ``score``, ``cross_entropy``, ``adjusted``, ``rejected``.
+    """``doc_id``, ``keep`` columns and the columns of ``predict``, one row per input row.
 
-    ``und`` (rejected, score 0) for null texts and texts without a letter. ``adjusted`` pulls the cross-entropy of short
-    texts, as 40 characters would, to the usual one of the language; over the language's limit a text is rejected.
+    Null texts count as empty. Without a model (nothing to learn from) every text is ``und``. Repeated rows, null ids
+    and further columns have no effect. An empty table gives no rows.
     """
-    keep = keep or []
+    keep, fields = keep or [], [f for f in df.schema if f.name in ["doc_id", *(keep or [])]]
+    out_schema = T.StructType([*fields, *T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, adjusted double, rejected boolean")])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [t or "" for t in f["text"]]
-            n_langs = len(model.langs) if model else 1
-            sums, n_all, letters_all = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.zeros(len(texts))
-            for group, owner in parts(texts) if model else ():
-                entropy, n, n_letters = model.score(group)
-                np.add.at(sums, owner, entropy * n[:, None])
-                np.add.at(n_all, owner, n)
-                np.add.at(letters_all, owner, n_letters)
-            entropy = sums / np.maximum(n_all, 1)[:, None]
-            best = entropy.argmin(axis=1)
-            low = entropy.min(axis=1)
-            gaps = np.exp(-(entropy - low[:, None]) * np.minimum(n_all, 100)[:, None])
-            known = letters_all > 0
-            usual = np.array([(model.limits or {}).get(x, (np.nan, np.inf)) for x in model.langs]) if model else np.array([[np.nan, np.inf]])
-            mean, limit = usual[best, 0], usual[best, 1]
-            adjusted = np.where(np.isnan(mean), low, (low * n_all + np.nan_to_num(mean) * 40) / (n_all + 40))
-            out = f.drop(columns="text")
-            out["lang_pred"] = [model.langs[b] if k else "und" for b, k in zip(best, known)]
-            out["score"] = np.where(known, 1 / gaps.sum(axis=1), 0.0)
-            out["cross_entropy"], out["adjusted"] = low, adjusted
-            out["rejected"] = ~known | (adjusted > limit)
-            yield out
-
-    kinds = dict(df.dtypes)
-    head = ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", *keep])
-    return df.select("doc_id", *keep, "text").mapInPandas(run, f"{head}, lang_pred string, score double, cross_entropy double, adjusted double, rejected boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = predict([t or "" for t in batch.column("text").to_pylist()], model)
+            rest = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(found[c]) for c in found)], [*rest.schema.names, *found])
+
+    return df.select(*[f.name for f in fields], "text").mapInArrow(run, out_schema)
+
+
+def accepted(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text is not rejected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = predict([t or "" for t in batch.column(text_col).to_pylist()], model)
+            yield batch.filter(pa.array(~found["rejected"].to_numpy(bool)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def training_rows(df: DataFrame) -> DataFrame:
