@@ -1,6 +1,6 @@
 """All registered queries of this folder."""
 
-from scrollwork.llm import decontaminate, exact_dedup, id_shards, language_id, line_dedup, lm_score, near_dedup, packing, quality  # noqa: F401
+from scrollwork.llm import decontaminate, exact_dedup, id_shards, language_id, line_dedup, lm_score, near_dedup, packing, quality, substring_dedup  # noqa: F401
 from scrollwork.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
