@@ -6,13 +6,18 @@ processes stop once they are later than all its registers. Two registers agree w
 which is the plain Jaccard similarity where no shingle repeats.
 
 1. Documents with equal weighted sets are one: the smallest id stands for them from here on.
-2. Registers are banded; documents that share a band meet in a bucket, each with the bucket's smallest id only.
+2. Registers are banded, and documents that share a band meet in a bucket. Each is paired with the bucket's pivot, the member
+   that shares the most bands with others: the original of many edited copies shares bands with all of them, while two
+   copies may have little in common.
 3. Pairs are verified on their whole texts by the exact J_P. Verified links are joined to classes.
-4. A bucket that is not one class yet may hide links between members that are not like the smallest id. There,
-   members outside its class (outsiders) become pivots in turn, 1, 2, 4, ... per bucket and round, until none is left. 1 - J_P is
-   a metric, so a pair whose distances to the smallest id differ by more than the limit need not be looked at.
-
-No round forms all pairs of a bucket, and no link that a bucket holds between different classes is lost.
+4. A bucket that is not one class yet can hide links between members that are not like the pivot. The documents of such
+   buckets are banded anew with longer bands, in which pairs under the limit hardly meet, and paired and verified as before.
+5. Where a long band's bucket is still not one class, members outside the pivot's class become pivots in turn, 4, 16, 64, ... per
+   bucket and round, until none is left. 1 - J_P is a metric, so pairs whose distances to the first pivot differ by more than
+   the limit are not looked at.
+
+No step forms all pairs of a bucket. A pair at the limit of 0.8 shares a band with probability 0.997, a long band with 0.99;
+at 0.85 the figures are 0.9999 and 0.99999.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from scrollwork.llm.words import MIX, groups, mixed, runs, words
 
 SHINGLE = 5
 ROWS, BANDS = 8, 32
+LONG_ROWS, LONG_BANDS = 16, 160
 SALTS = 16
 GROUP_BYTES = 4 << 20
 
@@ -74,7 +80,7 @@ def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return float((1 / ((above + only_a) / x + (below + only_b) / y)).sum())
 
 
-def registers(sets: list[tuple[np.ndarray, np.ndarray]], k: int = ROWS * BANDS) -> np.ndarray:
+def registers(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     """ProbMinHash registers (text, k): the shingle with the earliest arrival."""
     n = len(sets)
     h = np.concatenate([s[0] for s in sets])
@@ -104,26 +110,41 @@ def registers(sets: list[tuple[np.ndarray, np.ndarray]], k: int = ROWS * BANDS)
     return shingle.reshape(n, k)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """One 64-bit key per text and band."""
-    parts = sig.reshape(len(sig), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * MIX, (len(sig), BANDS))
-    for r in range(ROWS):
+    parts = sig.reshape(len(sig), bands, rows)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * MIX, (len(sig), bands))
+    for r in range(rows):
         out = mixed(out + parts[:, :, r])
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, rows: int, bands: int) -> DataFrame:
+    """``doc_id``, ``digest`` of the weighted set, ``bands``."""
+
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at, lists in word_lists(f["text"].tolist()):
                 sets = [weighted_set(h) for h in lists]
                 digests = [hashlib.blake2b(a.tobytes() + b.astype("<i8").tobytes(), digest_size=16).digest() for a, b in sets]
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[at : at + len(sets)], "digest": digests, "bands": list(band_keys(registers(sets)))})
+                keys = [k for c in range(0, len(sets), 256) for k in band_keys(registers(sets[c : c + 256], rows * bands), rows, bands)]
+                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[at : at + len(sets)], "digest": digests, "bands": keys})
 
     return docs.mapInPandas(sign, "doc_id long, digest binary, bands array<long>")
 
 
+def buckets(signed: DataFrame) -> DataFrame:
+    """``key``, ``doc``, ``pivot`` for buckets of two documents or more, from ``doc`` and ``bands``."""
+    rows = signed.select("doc", F.explode("bands").alias("key"))
+    all_salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", all_salts)
+    crowded = written(salted.join(crowded, ["key", "salt"]), "crowded")
+    friends = crowded.groupBy("doc").agg(F.sum("n").alias("friends"))
+    pivots = crowded.join(friends, "doc").groupBy("key").agg(F.min(F.struct(-F.col("friends"), "doc")).alias("p")).select("key", F.col("p.doc").alias("pivot"), all_salts)
+    return written(crowded.join(pivots, ["key", "salt"]).select("key", "doc", "pivot"), "members")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a``, ``b``, ``similarity`` of pairs, from whole texts."""
 
@@ -150,60 +171,76 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     cannot be named as the one that stays. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs_of(df, id_col, text_col).where("doc_id IS NOT NULL")
-    signed = written(signatures(docs), "signatures")
+    signed = written(signatures(docs, ROWS, BANDS), "signatures")
     equal = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "distinct")
-
-    rows = equal.select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("key", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    members = written(salted.join(shared, ["key", "salt"]).select("key", "doc", "pivot"), "members")
-
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi"), "candidates")
-    pairs = members.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-    looked = written(verified(pairs, texts), "pairs")
-    links = looked.where(F.col("similarity") >= similarity).select("a", "b")
+    members = buckets(equal.select(F.col("rep").alias("doc"), "bands"))
+    texts = written(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
+    links = _linked(_star(members), texts, similarity)
     roots = components(links)
-    links = _outsiders(members, looked, links, roots, texts, similarity)
-    if links is not None:
-        roots = components(links)
+
+    crowd = written(_mixed(members, roots).select(F.col("doc").alias("doc_id")).distinct(), "crowd")
+    if not crowd.isEmpty():
+        long_bands = signatures(texts.join(crowd, "doc_id", "left_semi"), LONG_ROWS, LONG_BANDS).select(F.col("doc_id").alias("doc"), "bands")
+        members = buckets(long_bands)
+        looked = _rooted(_star(members), roots).where("root <> pivot_root").select("doc", "pivot")
+        links = links.unionByName(_linked(looked, texts, similarity))
+        roots = _outsiders(members, links, components(links), texts, similarity)
 
     classes = equal.select("digest", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("digest", F.coalesce("root", "rep").alias("group_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     each = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     return each.join(classes, ["digest", "salt"]).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
 
-def _outsiders(members: DataFrame, looked: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
-    """All links once no bucket can hide one between classes; ``None`` where the first round has left no such bucket."""
+def _star(members: DataFrame) -> DataFrame:
+    return members.where("doc <> pivot").select("doc", "pivot").distinct()
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    return written(verified(pairs.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the class of ``doc`` (``root``) and of ``pivot`` (``pivot_root``)."""
+    for name, out in (("doc", "root"), ("pivot", "pivot_root")):
+        rows = rows.join(roots.select(F.col("v").alias(name), F.col("root").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
+    return rows
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets in which two documents besides the pivot can still have a link that joins classes."""
+    rows = _rooted(members, roots)
+    other = F.col("doc") != F.col("pivot")
+    keys = rows.groupBy("key").agg(F.count_if(other).alias("n"), F.count_if(F.col("root") != F.col("pivot_root")).alias("outside")).where("n > 1 AND outside > 0").select("key")
+    return rows.join(keys, "key").where(other)
+
+
+def _outsiders(members: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Classes once no bucket can hide a link between two of them."""
     limit = 1 - similarity + 1e-9
-    far = looked.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
-    with_far = members.where("doc <> pivot").join(far, ["doc", "pivot"])
-    bucket = with_far.groupBy("key").agg(F.count("*").alias("n"), F.max("far").alias("most")).where((F.col("n") > 1) & (F.col("most") > limit))
-    # outsiders that are linked to nobody near the smallest id can still be linked to each other
-    open_rows = written(with_far.join(bucket.select("key"), "key").select("key", "doc", "pivot", "far"), "open")
-    extra, used, step = None, None, 1
+    open_rows = written(_mixed(members, roots).select("key", "doc", "pivot"), "open")
+    if open_rows.isEmpty():
+        return roots
+    far = verified(_star(open_rows).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
+    open_rows = written(open_rows.join(far, ["doc", "pivot"]), "open")
+    used, step = None, 4
     while True:
-        root_of = roots.select(F.col("v").alias("doc"), "root")
-        state = open_rows.join(root_of, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        state = state.join(roots.select(F.col("v").alias("pivot"), F.col("root").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-        state = written(state, "open-state")
-        out = state.where("root <> main")
+        state = written(_rooted(open_rows, roots), "open-state")
+        out = state.where("root <> pivot_root")
         if used is not None:
             out = out.join(used, ["key", "doc"], "left_anti")
-        picks = [F.min(F.struct(F.xxhash64(F.lit(step + s), "doc"), "doc", "far", "root")).alias(f"p{s}") for s in range(step)]
-        chosen = out.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{s}.doc").alias("doc"), F.col(f"p{s}.far").alias("far"), F.col(f"p{s}.root").alias("root")) for s in range(step)]))).alias("p"))
-        chosen = written(chosen.select("key", F.col("p.doc").alias("doc"), F.col("p.far").alias("far"), F.col("p.root").alias("root")), "pivots")
+        picks = [F.min(F.struct(F.xxhash64(F.lit(step + s), "doc").alias("h"), "doc", "far", "root")).alias(f"p{s}") for s in range(step)]
+        chosen = out.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{s}.doc", f"p{s}.far", f"p{s}.root") for s in range(step)]))).alias("p"))
+        chosen = written(chosen.select("key", "p.doc", "p.far", "p.root"), "pivots")
         if chosen.isEmpty():
-            return extra
-        p = chosen.select("key", F.col("doc").alias("b"), F.col("far").alias("fb"), F.col("root").alias("rb"))
-        pairs = state.join(p, "key").where((F.col("root") != F.col("rb")) & (F.abs(F.col("far") - F.col("fb")) <= limit)).select(F.col("doc").alias("a"), "b").distinct()
-        new = written(verified(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b"), "links")
-        extra = new.unionByName(extra if extra is not None else links)
+            return roots
+        p = chosen.select("key", F.col("doc").alias("by"), F.col("far").alias("by_far"), F.col("root").alias("by_root"))
+        pairs = state.join(p, "key").where((F.col("root") != F.col("by_root")) & (F.abs(F.col("far") - F.col("by_far")) <= limit)).select("doc", F.col("by").alias("pivot")).distinct()
+        new = _linked(pairs, texts, similarity)
         if not new.isEmpty():
-            roots = components(extra)
+            links = links.unionByName(new)
+            roots = components(links)
         used = chosen.select("key", "doc") if used is None else used.unionByName(chosen.select("key", "doc"))
-        step = min(2 * step, 64)
+        step = min(4 * step, 64)
 
 
 @query()
