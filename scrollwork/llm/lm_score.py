@@ -14,6 +14,7 @@ its own n-grams can reach, which is enough to score it exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,9 +28,10 @@ from scrollwork.llm.words import MIX, PRINTED, words
 ORDER = 6
 END = 10  # no token holds a line feed
 WORD = 7  # kind of a key that is a word; kinds 1 .. ORDER are n-grams
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 SEGMENT = 1024
 UNIFORM = 257
+NONE = -(1 << 31)
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,8 +215,8 @@ class Automaton:
         self.floor = float(bow[root[0]]) if len(root) else -float(np.log10(UNIFORM))
         rest = kind != 0
         length = np.append(0, kind[rest]).astype(np.uint64)
-        code = np.append(0, key[rest].view(np.uint64)).astype(np.uint64)
-        self.logp, self.bow = np.append(0.0, logp[rest]), np.append(0.0, bow[rest])
+        code = np.append(np.uint64(0), key[rest].view(np.uint64))
+        self.logp, self.bow = np.append(logp.dtype.type(0), logp[rest]), np.append(bow.dtype.type(0), bow[rest])
         self.is_arc, is_state = ~np.isnan(self.logp), ~np.isnan(self.bow)
         # the code with its length above it: the arc of state x and symbol c has the label (x << 8 | c) one longer
         self.length, self.code = length, code
@@ -282,6 +284,15 @@ class Automaton:
         return np.bincount(text, total, len(starts))
 
 
+def _fixed(name: str) -> Column:
+    """Seven decimals in 32 bits; ``NONE`` for null."""
+    return F.coalesce(F.round(F.col(name) * 1e7).cast("long"), F.lit(NONE))
+
+
+def _real(fixed: np.ndarray) -> np.ndarray:
+    return np.where(fixed == NONE, np.nan, fixed * 1e-7).astype(np.float32)
+
+
 def with_blocks(df: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text``, ``learn``, ``block``. A table that is not read from files is written first."""
     try:
@@ -300,7 +311,7 @@ def lm_scores(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
 
     ``learn`` says which rows are learned from. ``base_score`` is the sum of log10((c + 1) / (N + V + 1)) over the tokens with their
     counts c, ``score`` the automaton's log10 probability. Null and empty texts are the end token only. Without training rows all
-    counts are 0 and the automaton is uniform. Repeated rows count and are scored as often as they stand; a null id has
+    counts are 0 and the automaton is uniform. Arc and failure weights travel with seven decimals. Repeated rows count and are scored as often as they stand; a null id has
     no effect unless ``learn`` says so. An empty table gives no rows. Words are told apart by 64-bit hashes.
     """
     docs = with_blocks(df, learn, id_col, text_col)
@@ -309,27 +320,26 @@ def lm_scores(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
     totals = sums.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_tokens, n_words = totals[0] + n_train, totals[1] + (n_train > 0)
     automaton = build(sums.where(F.col("kind") == ORDER).select("key", "n"))
-    model = written(automaton.unionByName(sums.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("logp"), F.lit(None).cast("double").alias("bow"))), "model")
-    root = model.where("kind = 0").select("bow").first()
-    pad = int.from_bytes(bytes([END]) * (ORDER - 1), "big")
-    always = model.where((F.col("kind") == ORDER - 1) & (F.col("key") == pad)).select("logp", "bow").first()
+    value = F.shiftleft(_fixed("logp"), 32).bitwiseOR(_fixed("bow").bitwiseAND(F.lit((1 << 32) - 1)))
+    model = automaton.select("kind", "key", value.alias("value")).unionByName(sums.where(F.col("kind") == WORD).select("kind", "key", F.col("n").alias("value")))
+    model = written(model, "model")
+    # contexts of start symbols only end no n-gram, so no block asks for them
+    pads = {k: int.from_bytes(bytes([END]) * k, "big") for k in range(1, ORDER)}
+    starts = reduce(Column.__or__, [(F.col("kind") == k) & (F.col("key") == c) for k, c in pads.items()])
+    always = np.array([tuple(r) for r in model.where((F.col("kind") == 0) | starts).collect()], np.int64).reshape(-1, 3)
     asked = block_keys(docs, (*range(1, ORDER + 1), WORD)).select("block", "kind", "key")
     found = asked.join(model, ["kind", "key"])
 
     def run(key, mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.drop_duplicates(["kind", "key"])
-        named = known[known["kind"] == WORD]
-        of_words = named["key"].to_numpy().view(np.uint64)
+        # a key that several tasks asked for comes several times; that does no harm
+        kind, code, value = (known[c].to_numpy() for c in ("kind", "key", "value"))
+        named = kind == WORD
+        of_words, counts = code[named].view(np.uint64), value[named]
         order = np.argsort(of_words)
-        of_words, counts = of_words[order], named["logp"].to_numpy()[order]
-        g = known[known["kind"] != WORD]
-        kind, code, logp, bow = (g[c].to_numpy() for c in ("kind", "key", "logp", "bow"))
-        extra = [(0, 0, np.nan, root[0])] if root else []
-        if always and not ((kind == ORDER - 1) & (code == pad)).any():
-            extra.append((ORDER - 1, pad, np.nan if always[0] is None else always[0], np.nan if always[1] is None else always[1]))
-        for k, c, p, b in extra:
-            kind, code, logp, bow = np.append(kind, k), np.append(code, np.int64(c)), np.append(logp, p), np.append(bow, b)
-        machine = Automaton(kind, code, logp.astype(float), bow.astype(float))
+        of_words, counts = of_words[order], counts[order].astype(float)
+        kind, code, value = (np.append(a[~named], b) for a, b in zip((kind, code, value), always.T))
+        machine = Automaton(kind, code, _real(value >> 32), _real(value.astype(np.int32)))
+        del known, kind, code, value, named
         rest = np.log10(n_tokens + n_words + 1.0)
         n, hits, base, score = (np.zeros(len(mine)) for _ in range(4))
         for group, owner in lowered(mine["text"].tolist()):

@@ -20,6 +20,8 @@ PARTS = [" ", "  ", "\n", "\t", " \n", "a", "b's", "'", "é", "é", " ", "　",
 def test_chunks_equal_whole_texts(path, leading):
     rnd = random.Random(1)
     texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 14))) for _ in range(8000)]
+    words = ["the", "The", "THE", "naïve", "x", "don't", "it's", "S", "'s", "End", "a", "antidisestablishmentarianism"]
+    texts += [" ".join(rnd.choice(words) + rnd.choice(["", "", ".", ",", "!!", "?!", ":;", "...", ".a", "'s"]) for _ in range(9)) for _ in range(8000)]
     texts += [" ".join(rnd.choice(PARTS) for _ in range(800_000))]
     want = [x.ids for x in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
     assert [x.tolist() for x in ChunkEncoder(path, leading, max_chars=2000).encode(texts)] == want
