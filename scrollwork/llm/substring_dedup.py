@@ -35,7 +35,7 @@ REACH = LENGTH - ANCHOR + 1
 SIDE = 34
 PART = 1 << 19
 FLUSH = 32 << 20
-GROUP = 1000
+GROUP = 20_000
 BATCH = 1 << 20
 SALTS = 16
 PLACE = np.uint64((1 << 20) - 1)
@@ -137,31 +137,41 @@ def squeezed(docs: DataFrame) -> DataFrame:
 
 
 def cut_runs(rows: DataFrame) -> DataFrame:
-    """``rid``, ``doc_id``, ``start``, ``left``, ``run`` (bytes) from ``rid``, ``doc_id``, ``z``, ``runs``."""
+    """``rid``, ``doc_id``, ``start``, ``stop``, ``left``, ``run`` (bytes) from ``rid``, ``doc_id``, ``z``, ``runs``.
+
+    A task combines its equal runs: all but the earliest are known to be covered, and their ``run`` is null.
+    """
+
+    def flush(best: dict[bytes, tuple], later: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out = [(*v, k) for k, v in best.items()] + [(*v, None) for v in later]
+        for at in range(0, len(out), 50_000):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 50_000]), kinds)], ["doc_id", "start", "rid", "stop", "left", "run"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
+        best: dict[bytes, tuple] = {}
+        later: list[tuple] = []
         for batch in batches:
-            rid, ids, z, runs = (batch.column(k) for k in range(4))
-            out: list[tuple] = []
-            size = 0
-            for r, i, data, packs in zip(rid.to_pylist(), ids.to_pylist(), z.to_pylist(), runs.to_pylist()):
+            for r, i, data, packs in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 text = d.decompress(data)
                 for p in packs:
                     start = p >> 16
-                    out.append((r, i, start, p >> 8 & 255, text[start : start + (p & 255) + LENGTH - 1]))
-                size += len(packs)
-                if size > 50_000:
-                    yield _batch(out)
-                    out, size = [], 0
-            if out:
-                yield _batch(out)
-
-    return rows.select("rid", "doc_id", "z", "runs").mapInArrow(cut, "rid long, doc_id long, start long, left int, run binary")
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["rid", "doc_id", "start", "left", "run"])
+                    stop = start + (p & 255) + LENGTH - 1
+                    run, row = text[start:stop], (i, start, r, stop, p >> 8 & 255)
+                    other = best.get(run)
+                    if other is None or row[:2] < other[:2]:
+                        best[run] = row
+                        row = other
+                    if row is not None:
+                        # the same place again (a repeated row) is not later than itself
+                        later.append(row) if row[:2] != best[run][:2] else None
+                if len(best) + len(later) > 200_000:
+                    yield from flush(best, later)
+                    best, later = {}, []
+        yield from flush(best, later)
+
+    return rows.select("rid", "doc_id", "z", "runs").mapInArrow(cut, "doc_id long, start long, rid long, stop long, left int, run binary")
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -284,10 +294,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     hits = written(find_runs(docs), "runs")
     runs = written(cut_runs(squeezed(docs).join(hits, "rid")).withColumn("digest", F.unhex(F.md5("run"))), "cut-runs")
+    known = runs.where("run IS NULL").select("rid", "start", "stop")
+    runs = runs.where("run IS NOT NULL")
     distinct = runs.groupBy("digest", "run", "left").agg(F.min(F.struct("doc_id", "start", "rid")).alias("f"), F.count("*").alias("n"))
     distinct = written(distinct.select("digest", "run", "left", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), F.col("f.rid").alias("rid"), "n"), "distinct-runs")
     repeated = distinct.where("n > 1").select("digest", F.col("doc_id").alias("d"), F.col("start").alias("s"), all_salts)
-    again = runs.select("digest", "rid", "doc_id", "start", (F.col("start") + F.octet_length("run")).alias("stop"), salt).join(repeated, ["digest", "salt"])
+    again = runs.select("digest", "rid", "doc_id", "start", "stop", salt).join(repeated, ["digest", "salt"])
     again = again.where("doc_id <> d OR start <> s").select("rid", "start", "stop")
 
     left, size = F.col("left"), F.octet_length("run")
@@ -298,7 +310,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pieces = distinct.select("rid", "doc_id", "start", F.explode(both).alias("p")).select(F.col("p.key").alias("key"), "rid", "doc_id", (F.col("start") + F.col("p.skip")).alias("start"), F.col("p.piece").alias("piece"))
     sizes = written(pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "piece-sizes")
     spans = expand(pieces.join(sizes.where(F.col("n") <= GROUP), "key"))
-    out = copies.unionByName(again).unionByName(spans)
+    out = copies.unionByName(known).unionByName(again).unionByName(spans)
     large = sizes.where(F.col("n") > GROUP)
     if not large.isEmpty():
         windows = pieces.join(large, "key").select("rid", "doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)).alias("j"))
