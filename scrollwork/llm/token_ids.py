@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -23,25 +24,59 @@ BLOCK_CHARS = 1 << 20
 
 
 class ChunkEncoder:
-    """``encode(texts)`` gives one uint32 array of ids per text. ``max_chars`` bounds the cache by the characters it holds."""
+    """``encode(texts)`` gives one uint32 array of ids per text.
 
-    def __init__(self, path: str, leading_space: bool, max_chars: int = 12_000_000):
+    The cache has two generations. When the younger one holds ``max_chars`` characters it becomes the older one, and what is
+    looked up again moves on from there, so frequent chunks stay and memory is bounded.
+    """
+
+    def __init__(self, path: str, leading_space: bool, max_chars: int = 11_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.leading_space, self.max_chars = leading_space, max_chars
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        #: chunks without and with a space before them
+        self.young: list[dict[str, bytes]] = [{}, {}]
+        self.old: list[dict[str, bytes]] = [{}, {}]
         self.chars = 0
 
-    def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> None:
-        new = list(words.difference(cache))
-        if not new:
-            return
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([prefix + w for w in new], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        self.chars += sum(map(len, new)) + 8 * len(new)
+    def _look(self, chunks: list[str], spaced: bool) -> list[bytes]:
+        young = self.young[spaced]
+        found = list(map(young.get, chunks))
+        if None not in found:
+            return found
+        old, new = self.old[spaced], []
+        for w in {w for w, v in zip(chunks, found) if v is None}:
+            v = old.get(w)
+            if v is None:
+                new.append(w)
+            else:
+                young[w] = v
+                self.chars += len(w) + 8
+        for w, ids in zip(new, self._ids(new, spaced)):
+            young[w] = ids
+            self.chars += len(w) + 8
+        return list(map(young.__getitem__, chunks))
+
+    def _ids(self, new: list[str], spaced: bool) -> list[bytes]:
+        """Ids of new chunks. The splitter leaves a run of ASCII letters whole and parts it from punctuation behind it, so such
+        chunks go to the library's merge model at once; all others pass through the whole tokenizer."""
+        prefix = " " if spaced and self.leading_space else ""
+        merge, young, out, rest = self.tokenizer.model.tokenize, self.young[spaced], [], []
+        for k, w in enumerate(new):
+            word = w.rstrip(".,!?;:")
+            if not (word.isascii() and word.isalpha()):
+                out.append(b"")
+                rest.append(k)
+                continue
+            ids = young.get(word)
+            if ids is None:
+                ids = array("I", [t.id for t in merge("\u0120" + word if prefix else word if self.leading_space else word.lower())]).tobytes()
+            out.append(ids if len(word) == len(w) else ids + self._look([w[len(word) :]], False)[0])
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([prefix + new[k] for k in rest], add_special_tokens=False)):
+            out[k] = array("I", e.ids).tobytes()
+        return out
 
     def _blocks(self, text: str):
         at = 0
@@ -50,40 +85,32 @@ class ChunkEncoder:
             at = m.start()
         yield text[at:] if at else text
 
-    def _lists(self, block: str) -> list[list[str]]:
-        """Chunks of a block, line by line; the first of each list has no space before it."""
+    def _encode_block(self, block: str) -> bytes:
         if not self.leading_space:
-            return [["", *SPACES.sub(" ", block).split(" ")]]
+            return b"".join(self._look(SPACES.sub(" ", block).split(" "), True))
         if SPACE_RUN.search(block):
-            cuts = SAFE_CUT.split(block)
-            if cuts[0].startswith(" "):
-                cuts[0:1] = ["", cuts[0][1:]]
-            return [cuts]
-        return [line.split(" ") for line in block.split("\n")]
-
-    def _encode_block(self, block: str, out: list[bytes]) -> None:
-        lists = self._lists(block)
-        self._learn(self.first, {x[0] for x in lists} | {"\n"}, "")
-        later: set[str] = set()
-        for x in lists:
-            later.update(x[1:])
-        self._learn(self.later, later, " " if self.leading_space else "")
-        newline, get = self.first["\n"], self.later.__getitem__
-        for k, x in enumerate(lists):
-            if k:
-                out.append(newline)
-            out.append(self.first[x[0]])
-            del x[0]
-            out.append(b"".join(map(get, x)))
+            first, *rest = SAFE_CUT.split(block)
+            return b"".join(self._look([first], False) + self._look(rest, True))
+        lines = [line.split(" ") for line in block.split("\n")]
+        heads = self._look([x[0] for x in lines], False)
+        tails = self._look([w for x in lines for w in x[1:]], True)
+        newline = self._look(["\n"], False)[0]
+        out, at = [], 0
+        for head, x in zip(heads, lines):
+            out.append(newline)
+            out.append(head)
+            out.append(b"".join(tails[at : at + len(x) - 1]))
+            at += len(x) - 1
+        return b"".join(out[1:])
 
     def encode(self, texts: list[str]):
-        """Yields the ids of each text. Short texts share one look-up of new chunks."""
+        """Yields the ids of each text."""
         for text in texts:
             out: list[bytes] = []
             for block in self._blocks(text):
                 if self.chars > self.max_chars:
-                    self.first, self.later, self.chars = {}, {}, 0
-                self._encode_block(block, out)
+                    self.old, self.young, self.chars = self.young, [{}, {}], 0
+                out.append(self._encode_block(block))
             yield np.frombuffer(b"".join(out), "<u4")
 
 
