@@ -69,11 +69,16 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(T.strip(F.regexp_extract(c, pattern, group)), F.lit(""))
 
 
-def _case(low: Column, rules: list[tuple[str, str]]) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, name in reversed(rules):
-        out = F.when(low.rlike(pattern), name).otherwise(out)
-    return out
+def _ranked(extractor: str, field: str, choices: list[Column]) -> Column:
+    """The first choice that is not null; ``ord`` is its rank, so that the best rule of all parts can win."""
+    rank = F.coalesce(*[F.when(c.isNotNull(), F.lit(i)) for i, c in enumerate(choices)])
+    value = F.coalesce(*choices)
+    row = F.struct(F.lit(extractor).alias("extractor"), F.lit(field).alias("field"), rank.alias("ord"), F.lit(None).cast("string").alias("name"), value.cast("string").alias("value"))
+    return F.when(rank.isNotNull(), F.array(row)).otherwise(F.array().cast(ITEM)).cast(ITEM)
+
+
+def _cases(low: Column, rules: list[tuple[str, str]]) -> list[Column]:
+    return [F.when(low.rlike(pattern), F.lit(name)) for pattern, name in rules]
 
 
 def _rows(texts: DataFrame, items: list[Column]) -> DataFrame:
@@ -86,8 +91,9 @@ def _low(texts: DataFrame) -> tuple[DataFrame, Column, Column]:
 
 
 def first_hits(rows: DataFrame) -> DataFrame:
-    """One value per document and field: the earliest."""
-    g = rows.groupBy("doc_id", "extractor", "field").agg(F.min_by(F.struct("part_no", "ord", "name", "value"), F.struct("part_no", "ord")).alias("f"))
+    """One value per document and field: that of the first rule that matches anywhere, at its earliest part."""
+    best = F.min_by(F.struct("part_no", F.lit(0).alias("ord"), "name", "value"), F.struct("ord", "part_no"))
+    g = rows.groupBy("doc_id", "extractor", "field").agg(best.alias("f"))
     return g.select("doc_id", "extractor", "field", "f.*")
 
 
@@ -109,18 +115,18 @@ def extract_resolution(texts: DataFrame) -> DataFrame:
     d, t, low = _low(texts)
     x = "resolution"
     dice = F.filter(F.regexp_extract_all(t, F.lit(r"(?iU)\b(\d*)d(\d+)\b"), 2), lambda v: v != "")
-    pool = F.lit(None).cast("string")
-    for p in reversed(fixed.POOL_PATTERNS):
+    pool = []
+    for p in fixed.POOL_PATTERNS:
         p = "(?U)" + p
         both = F.concat(T.title_case(F.regexp_extract(low, p, 1)), F.lit(" + "), T.title_case(F.regexp_extract(low, p, 2)))
-        pool = F.when(low.rlike(p), both).otherwise(pool)
+        pool.append(F.when(low.rlike(p), both))
     scale1 = groups(t, rf"(?iU)(?:difficulty\s+)?(\d+)\s*[-–:]\s*({fixed.DIFFICULTY_LABELS})", 2)
     scale2 = groups(t, r"(?iU)(easy|routine|standard|challenging|difficult|hard|trivial)\s*[:\(]\s*(\d+)", 2)
     bands = groups(t, r"(?iU)(\d+)\s*[-–]\s*(\d+)\s*[:=]\s*(.+?)(?:\n|$)|(\d+)\s*\+\s*[:=]\s*(.+?)(?:\n|$)", 5)
     ranged = lambda z: F.when(_g(z, 1) != "", F.concat(_g(z, 1), F.lit("-"), _g(z, 2))).otherwise(F.concat(_g(z, 4), F.lit("+")))
     label = lambda z: F.when(_g(z, 1) != "", _g(z, 3)).otherwise(_g(z, 5))
     firsts = [
-        _one(x, "method", _case(low, fixed.RESOLUTION_METHODS)), _one(x, "pool_composition", pool),
+        _ranked(x, "method", _cases(low, fixed.RESOLUTION_METHODS)), _ranked(x, "pool_composition", pool),
         _one(x, "default_difficulty", _first(low, r"(?U)(?:default\s+)?difficulty\s*(?:of|is|:)?\s*(\d+)")),
         _flag(x, "ones_cancel", low.rlike(fixed.ONES_CANCEL_PATTERN)), _flag(x, "botch", low.rlike(fixed.BOTCH_PATTERN)),
         *[_one(x, f"threshold_{n}", _first(low, p)) for n, p in fixed.OUTCOME_THRESHOLD_PATTERNS],
@@ -145,10 +151,11 @@ def extract_stats(texts: DataFrame) -> DataFrame:
     cats = F.filter(groups(t, r"(?iU)(\w+)\s+(?:attributes?|traits?|stats?)\s*[:\n](?=([\s\S]{0,500}))", 2), lambda z: valid_term(_g(z, 1), 4))
     names = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(z["g2"], F.lit(r"\b([A-Z][a-z]+)\b"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 5)
     cats = F.filter(cats, lambda z: F.size(names(z)) > 0)
+    seen = [F.max(low.rlike(rf"(?U)\b{a}\b")).alias(f"{cat}.{a}") for cat, attrs in fixed.COMMON_ATTRIBUTES for a in attrs]
     common = []
     for cat, attrs in fixed.COMMON_ATTRIBUTES:
-        seen = F.filter(F.array(*[F.when(low.rlike(rf"(?U)\b{a}\b"), F.lit(a)) for a in attrs]), lambda v: v.isNotNull())
-        common.append(F.when(F.size(seen) >= 2, F.array(F.struct(F.lit(cat).alias("g1"), F.array_join(seen, ",").alias("g2")))).otherwise(F.array().cast("array<struct<g1:string,g2:string>>")))
+        met = F.filter(F.array(*[F.when(F.col(f"`{cat}.{a}`"), F.lit(a)) for a in attrs]), lambda v: v.isNotNull())
+        common.append(F.when(F.size(met) >= 2, F.struct(F.lit(cat).alias("name"), F.array_join(met, ",").alias("value"))))
     skills = groups(t, r"(?iU)(talents?|skills?|knowledges?|proficiencies?|abilities?)\s*[:\n](?=([\s\S]{0,1000}))", 2)
     listed = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(z["g2"], F.lit(r"(?:^|\n)\s*(?:•|[-*])?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 15)
     skills = F.filter(skills, lambda z: F.size(listed(z)) > 0)
@@ -157,7 +164,8 @@ def extract_stats(texts: DataFrame) -> DataFrame:
     )
     alloc = F.transform(F.array(*[F.regexp_extract(low, r"(\d+)\s*/\s*(\d+)\s*/\s*(\d+)", i) for i in (1, 2, 3)]), lambda v: v.try_cast("int"))
     costs = F.filter(groups(t, r"(?iU)(\w+)\s*[:=]?\s*(\d+)\s*(?:per\s+dot|points?|xp|experience)", 2), lambda z: F.lower(_g(z, 1)).isin(fixed.COST_TRAITS))
-    section = F.regexp_extract(t, r"(?is)(?:backgrounds?|advantages?|merits?)\s*[:\n](.+?)(?:\n\n|\n[A-Z]|\z)", 1)
+    # the end of the list is sought in lower-case text, where a capital never ends it, and the heading belongs to the list
+    section = F.regexp_extract(t, r"(?s)(?i:backgrounds?|advantages?|merits?)\s*[:\n].+?(?:\n\n|\z)", 0)
     back = F.filter(F.slice(F.regexp_extract_all(section, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b"), 1), 1, 20), lambda v: valid_term(v, 4))
     found = last_by_name(_rows(d, [
         _items(x, "attributes", cats, lambda z: F.lower(_g(z, 1)), lambda z: F.array_join(names(z), ",")),
@@ -165,7 +173,9 @@ def extract_stats(texts: DataFrame) -> DataFrame:
         _items(x, "special_traits", span, lambda z: F.lower(_g(z, 1)), lambda z: F.concat(_g(z, 2), F.lit("-"), _g(z, 3))),
         _items(x, "advancement_costs", costs, lambda z: F.lower(_g(z, 1)), lambda z: _g(z, 2)),
     ]))
-    basic = last_by_name(_rows(d, [_items(x, "attributes", F.concat(*common), lambda z: z["g1"], lambda z: z["g2"])]))
+    # two names of a list anywhere in the document are enough
+    basic = d.groupBy("doc_id").agg(*seen).select("doc_id", F.inline(F.filter(F.array(*common), lambda v: v.isNotNull())))
+    basic = basic.select("doc_id", F.lit(x).alias("extractor"), F.lit("attributes").alias("field"), F.lit(0).cast("bigint").alias("part_no"), F.lit(0).alias("ord"), "name", "value")
     basic = basic.join(found.filter("field = 'attributes'").select("doc_id", "name"), ["doc_id", "name"], "left_anti").select(*found.columns)
     pools = F.filter(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)\s+(?:points?|pool)"), 1), lambda v: valid_term(v, 4))
     pool = counted(_rows(d, [_items(x, "trait_pools", _single(pools), lambda z: z["g1"])]), 3)
@@ -202,9 +212,12 @@ def extract_health(texts: DataFrame) -> DataFrame:
     for p in fixed.SOAK_PATTERNS:
         soaks = soaks | low.rlike(p)
     firsts = first_hits(_rows(d, [
-        _one(x, "health_track_type", _case(low, fixed.HEALTH_TRACKS)),
-        _one(x, "soak", F.when(soaks, F.coalesce(_first(low, fixed.SOAK_STAT_PATTERN), F.lit("unknown")))),
+        _ranked(x, "health_track_type", _cases(low, fixed.HEALTH_TRACKS)), _one(x, "soak", F.when(soaks, F.lit("unknown"))),
+        _one(x, "soak_stat", _first(low, fixed.SOAK_STAT_PATTERN)),
     ]))
+    # soak and its stat are two facts of the document and may stand in different parts
+    stat = firsts.filter("field = 'soak_stat'").select("doc_id", F.lit("soak").alias("field"), F.col("value").alias("stat"))
+    firsts = firsts.filter("field <> 'soak_stat'").join(stat, ["doc_id", "field"], "left").withColumn("value", F.coalesce("stat", "value")).select(*levels.columns)
     return levels.unionByName(damage).unionByName(firsts)
 
 
@@ -255,10 +268,10 @@ def extract_equipment(texts: DataFrame) -> DataFrame:
 def extract_magic(texts: DataFrame) -> DataFrame:
     d, t, low = _low(texts)
     x = "magic"
-    stat = F.lit(None).cast("string")
-    for p in reversed(fixed.CASTING_STAT_PATTERNS):
+    stat = []
+    for p in fixed.CASTING_STAT_PATTERNS:
         got = _first(low, "(?U)" + p)
-        stat = F.coalesce(F.when(~got.isin(fixed.NOT_CASTING_STATS), T.title_case(got)), stat)
+        stat.append(F.when(~got.isin(fixed.NOT_CASTING_STATS), T.title_case(got)))
     mods = [
         (groups(low, r"(?mU)(\w+(?:\s+\w+)?)\s+magic(?:'s)?\s+(?:base\s+)?difficulty\s+(?:is|=)\s+(.+?)(?:\.|$)", 2), 1, 2),
         (groups(low, r"(?mU)([+-]\d+)\s+difficulty\s+(?:for|when|if)\s+(.+?)(?:\.|$)", 2), 2, 1),
@@ -284,7 +297,7 @@ def extract_magic(texts: DataFrame) -> DataFrame:
     ]))
     foci = low.rlike(r"(?U)\bfoci\b|\bfocus\b|\bcomponent|material\s+component|verbal|somatic")
     firsts = first_hits(_rows(d, [
-        _one(x, "casting_stat", stat), _one(x, "casting_mechanic", _case(low, fixed.CASTING_MECHANICS)),
+        _ranked(x, "casting_stat", stat), _ranked(x, "casting_mechanic", _cases(low, fixed.CASTING_MECHANICS)),
         _flag(x, "foci_required", foci & low.rlike(r"require[ds]?\s+(?:a\s+)?(?:focus|foci|component)")),
         _one(x, "foci_exemption", F.when(foci, F.substring(_first(low, r"(?m)(?:without|no\s+longer\s+need)\s+(?:a\s+)?(?:focus|foci|component).*?(?:at|when|if)\s+(.+?)(?:\.|$)"), 1, 100))),
         _flag(x, "supports_rituals", low.rlike(r"ritual|extended\s+cast|longer\s+cast|casting\s+time")),

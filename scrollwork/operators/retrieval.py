@@ -250,6 +250,30 @@ def budget_cap(candidates: DataFrame, max_tokens: int = 2000, max_chunks: int =
     return top.withColumn("tokens_used", run).filter((F.col("place") == 1) | (F.col("tokens_used") <= max_tokens))
 
 
+def _keyword_stage(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Keyword candidates of each query: its packs one after the other, up to ``k`` chunks each, then only its chunk types.
+
+    A query without packs searches all of them together; without types all types count.
+    """
+    own = queries.select("query_id", "keywords", "pack_ids") if "pack_ids" in queries.columns else None
+    if own is None:
+        found = keyword_search(queries, chunks, k).select("query_id", "chunk_id", "rank")
+    else:
+        some = F.coalesce(F.size("pack_ids"), F.lit(0)) > 0
+        each = own.filter(some).select("query_id", "keywords", F.posexplode("pack_ids").alias("place", "pack_id"))
+        # one search per query and pack, so that ranks and limits are the pack's own
+        each = each.select(F.struct("query_id", "place").alias("query_id"), "keywords", "pack_id")
+        packed = keyword_search(each, chunks, k, within=["pack_id"])
+        packed = packed.select("query_id.query_id", "chunk_id", (F.col("query_id.place") * k + F.col("rank")).alias("rank"))
+        found = packed.unionByName(keyword_search(own.filter(~some), chunks, k).select("query_id", "chunk_id", "rank"))
+    if "chunk_types" in queries.columns:
+        types = queries.select("query_id", "chunk_types")
+        kind = F.coalesce(F.size("chunk_types"), F.lit(0)) == 0
+        found = found.join(types, "query_id").join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
+        found = found.filter(kind | F.array_contains("chunk_types", F.col("chunk_type"))).select("query_id", "chunk_id", "rank")
+    return found
+
+
 def retrieve(
     queries: DataFrame, chunks: DataFrame, manifest: DataFrame | None = None, vectors: DataFrame | None = None,
     max_tokens: int = 2000, max_chunks: int = 15,
@@ -258,7 +282,7 @@ def retrieve(
     stages = []
     if manifest is not None:
         stages.append(manifest_lookup(queries, manifest, max_chunks))
-    stages.append(keyword_search(queries, chunks, 2 * max_chunks))
+    stages.append(_keyword_stage(queries, chunks, 2 * max_chunks))
     if "pack_ids" in queries.columns:
         stages.append(ref_search(queries, chunks, max_chunks))
     if vectors is not None:

@@ -105,18 +105,18 @@ def ab_pairs(spark, sf):
 
 # ---- audit ----
 
-DIRS = [("en", "locations"), ("fr", "npcs"), ("de", "culture")]
+DIRS = [("en", "locations"), ("fr", "npcs"), ("de", "culture"), ("es", "factions")]
 
 
 def audit_files(spark, sf):
-    d = spread(table(spark, sf, "documents").filter("lang <> 'es'").select("doc_id", "source", "lang", "text"), "doc_id")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     return d.select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("file_no"), T.first_in(F.col("lang"), DIRS).alias("dir"), F.col("text").alias("body"),
         T.word_count(F.col("text")).alias("words"), F.col("lang").alias("file_type"),
     )
 
 
-FILE_SQL = f"(SELECT source AS doc_id, doc_id AS file_no, {sql_case('lang', DIRS)} AS dir, text AS body, {sql_words('text')} AS words, lang AS file_type FROM documents WHERE lang <> 'es')"
+FILE_SQL = f"(SELECT source AS doc_id, doc_id AS file_no, {sql_case('lang', DIRS)} AS dir, text AS body, {sql_words('text')} AS words, lang AS file_type FROM documents)"
 
 
 @job(f"""WITH a AS (SELECT source AS doc_id, count(*) AS pages, sum({sql_words('text')})::BIGINT AS source_words, count(*) FILTER ({sql_words('text')} >= 50) AS segments,
@@ -181,7 +181,7 @@ a AS (SELECT source AS doc_id, sum({sql_words('text')}) AS sw, count(*) FILTER (
 r AS (SELECT doc_id, round(coalesce(w, 0) / sw * 100, 4) AS ret, coalesce(stubs, 0) AS stubs, coalesce(top, 0) AS top, round(spp, 4) AS spp FROM a LEFT JOIN f USING (doc_id) LEFT JOIN s USING (doc_id))
 SELECT doc_id, 'low_retention' AS issue, ret::DOUBLE AS value FROM r WHERE ret > 0 AND ret < 30 UNION ALL SELECT doc_id, 'concentration', top FROM r WHERE top > 60
 UNION ALL SELECT doc_id, 'many_stubs', stubs::DOUBLE FROM r WHERE stubs > 5 UNION ALL SELECT doc_id, 'low_density', spp FROM r WHERE spp > 0 AND spp < 0.3
-UNION ALL SELECT doc_id, 'empty_directories', 2 FROM r""")
+UNION ALL SELECT doc_id, 'empty_directories', {len(set(fixed.EXPECTED_DIRS) - {d for _, d in DIRS})} FROM r""")
 def audit_issues(spark, sf):
     p = table(spark, sf, "documents").select(F.col("source").alias("doc_id"), T.word_count(F.col("text")).alias("words"))
     f = audit_files(spark, sf)
@@ -211,14 +211,14 @@ def validate_corpus(spark, sf):
 @job(rf"""WITH t AS (SELECT source, doc_id, regexp_extract_all(text, '\S+')[2:4] AS ws, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 q AS (SELECT source, source || '#' || r AS qid, unnest(ws) AS w FROM t WHERE r <= 3),
 p AS (SELECT DISTINCT source, qid, trim(regexp_replace(lower(w), '[^\pL\pN]+', ' ', 'g')) AS ph FROM q WHERE regexp_matches(w, '[\pL\pN]')),
-d AS (SELECT source, ' ' || trim(regexp_replace(lower(text), '[^\pL\pN]+', ' ', 'g')) || ' ' AS n FROM documents WHERE lang = 'en')
+d AS (SELECT source, ' ' || trim(regexp_replace(lower(text), '[^\pL\pN]+', ' ', 'g')) || ' ' AS n FROM documents)
 SELECT t.source AS pack_id, count(*) AS queries, count(*) FILTER (EXISTS (SELECT 1 FROM p JOIN d ON d.source = p.source AND contains(n, ' ' || ph || ' ') WHERE p.qid = t.source || '#' || r)) AS with_results
 FROM t WHERE r <= 3 GROUP BY ALL""")
 def retrieval_check(spark, sf):
     d = doc_chunks(spark, sf)
     files = d.select("pack_id", F.col("chunk_id").alias("path"), F.array_join(F.slice(T.word_array(F.col("content")), 2, 3), " ").alias("title"))
     q = audit.title_queries(files)
-    hits = retrieval.keyword_search(q, d.filter("lang = 'en'"), 15, within=["pack_id"])
+    hits = retrieval.keyword_search(q, d, 15, within=["pack_id"])
     return audit.retrieval_check(q, hits)
 
 
@@ -285,7 +285,7 @@ def probe_stats(spark, sf):
     return audit.probe_stats(audit.probe_results(q, kept), kept, c)
 
 
-@job(f"""WITH {PSTAT}, r AS (SELECT 'type_without_files' AS issue, 'es' AS subject, 1::BIGINT AS n UNION ALL SELECT 'chunks_without_refs', NULL, count(*) FROM documents WHERE lang = 'de'
+@job(f"""WITH {PSTAT}, r AS (SELECT DISTINCT 'type_without_files' AS issue, lang AS subject, 1::BIGINT AS n FROM documents WHERE lang NOT IN (SELECT file_type FROM {FILE_SQL}) UNION ALL SELECT 'chunks_without_refs', NULL, count(*) FROM documents WHERE lang = 'de'
 UNION ALL SELECT 'small_files', NULL, count(*) FROM {FILE_SQL} WHERE words < 50 UNION ALL SELECT 'large_files', NULL, count(*) FROM {FILE_SQL} WHERE words > 3000
 UNION ALL SELECT 'low_coverage', NULL, CASE WHEN coverage < 0.2 THEN floor(coverage * 100)::BIGINT + 1 ELSE 0 END FROM ps2 UNION ALL SELECT 'probes_without_hits', NULL, round((1 - hit_rate) * probes)::BIGINT FROM ps2)
 SELECT * FROM r WHERE n > 0""")

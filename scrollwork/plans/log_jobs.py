@@ -134,6 +134,7 @@ def diff_rows(spark, sf):
     return log.explode_diffs(turns(spark, sf))
 
 
+CUT = "(SELECT max(event_id) // 2 FROM events)"
 E = bind.LOG_SQL
 
 
@@ -253,13 +254,13 @@ def state_as_of(spark, sf):
     return log.counters_as_of(counters(spark, sf), s, cuts(spark, sf), "ts", ["event_id"], ts_span).select("campaign_id", "counter", "cut", "value")
 
 
-@job(f"""WITH {FACTS.replace(f'FROM {E} WHERE', f'FROM {E} WHERE event_id < 5000 AND')}
+@job(f"""WITH {FACTS.replace(f'FROM {E} WHERE', f'FROM {E} WHERE event_id < {CUT} AND')}
 SELECT 'facts' AS part, count(*) AS n, count(*) FILTER (visibility = 'known') AS m FROM fo
-UNION ALL SELECT 'scene', count(DISTINCT campaign_id), count(DISTINCT campaign_id) FILTER (event_type = 'view') FROM {E} WHERE event_id < 5000 AND event_type IN ('view', 'signup')
+UNION ALL SELECT 'scene', count(DISTINCT campaign_id), count(DISTINCT campaign_id) FILTER (event_type = 'view') FROM {E} WHERE event_id < {CUT} AND event_type IN ('view', 'signup')
 UNION ALL SELECT 'relationships', count(DISTINCT (campaign_id, event_id % 2)), sum(delta)::BIGINT FROM
-    (SELECT campaign_id, event_id, delta - CASE WHEN row_number() OVER (PARTITION BY campaign_id, event_id % 2 ORDER BY event_id) = 1 THEN delta - greatest(-10, least(10, delta)) ELSE 0 END AS delta FROM {E} WHERE event_id < 5000)
+    (SELECT campaign_id, event_id, delta - CASE WHEN row_number() OVER (PARTITION BY campaign_id, event_id % 2 ORDER BY event_id) = 1 THEN delta - greatest(-10, least(10, delta)) ELSE 0 END AS delta FROM {E} WHERE event_id < {CUT})
 UNION ALL SELECT 'inventory', count(*), sum(q)::BIGINT FROM (SELECT campaign_id, item, arg_max(s, event_id) - least(0, min(s)) AS q FROM
-    (SELECT campaign_id, event_id % 3 AS item, event_id, sum(delta) OVER (PARTITION BY campaign_id, event_id % 3 ORDER BY event_id) AS s FROM {E} WHERE event_id < 5000) GROUP BY ALL) WHERE q > 0""")
+    (SELECT campaign_id, event_id % 3 AS item, event_id, sum(delta) OVER (PARTITION BY campaign_id, event_id % 3 ORDER BY event_id) AS s FROM {E} WHERE event_id < {CUT}) GROUP BY ALL) WHERE q > 0""")
 def state_tables_as_of(spark, sf):
     none = lambda ddl: spark.createDataFrame([], ddl)
     init = {
@@ -270,7 +271,8 @@ def state_tables_as_of(spark, sf):
         "threads": none("campaign_id long, id string, status string, stakes map<string,string>"),
         "relationships": none("campaign_id long, a_id string, b_id string, rel_type string, intensity long"),
     }
-    s = log.state_as_of(init, turns(spark, sf), 5000)
+    t = turns(spark, sf)
+    s = log.state_as_of(init, t, t.agg(F.floor(F.max("turn_no") / 2)).first()[0])
     one = lambda name, m: s[name].agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), m.alias("m"))
     return (
         one("facts", F.count(F.when(F.col("visibility") == "known", 1)))

@@ -10,17 +10,21 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from scrollwork.functions import fixed, text as T
 
-try:
-    import yaml
-except ImportError:  # front matter is then read as JSON only
-    yaml = None
-
 
 T_YAML = StructType([StructField("status", StringType()), StructField("json", StringType())])
 
 
 def _load(block: str):
-    return yaml.safe_load(block) if yaml else json.loads(block)
+    """YAML; a JSON object is YAML too and needs no parser for it. Without PyYAML anything else raises."""
+    try:
+        return json.loads(block)
+    except ValueError:
+        pass
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("front matter in YAML needs the PyYAML package") from e
+    return yaml.safe_load(block)
 
 
 @F.pandas_udf(T_YAML)
@@ -32,6 +36,8 @@ def yaml_to_json(blocks: pd.Series) -> pd.DataFrame:
             got = _load(block) if block is not None else None
             got = {} if got is None else got
             out.append(("map" if isinstance(got, dict) else "other", json.dumps(got, default=str)))
+        except RuntimeError:
+            raise
         except Exception:
             out.append(("bad", None))
     return pd.DataFrame(out, columns=["status", "json"])

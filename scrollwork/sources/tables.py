@@ -82,9 +82,11 @@ FEEDBACK_TYPES = ["thumbs_up", "thumbs_down", "flag_issue", "comment", "rating"]
 
 
 def append_eval(df: DataFrame, folder: str, kind: str) -> None:
-    """Append evaluation records of one kind, by campaign."""
+    """Append evaluation records of one kind, by campaign; feedback of an unknown type goes to ``eval_rejected``."""
     if kind not in EVAL_KINDS:
         raise ValueError(kind)
     if kind == "feedback":
-        df = df.filter(F.col("feedback_type").isin(FEEDBACK_TYPES))
+        known = F.coalesce(F.col("feedback_type").isin(FEEDBACK_TYPES), F.lit(False))
+        df.filter(~known).write.mode("append").partitionBy("campaign_id").parquet(f"{folder}/eval_rejected")
+        df = df.filter(known)
     df.write.mode("append").partitionBy("campaign_id").parquet(f"{folder}/eval_{kind}")

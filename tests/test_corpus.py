@@ -87,3 +87,26 @@ def test_penalty_ladder(spark):
     assert got == {("d", "Hurt", "-5")}
     ladder = spark.createDataFrame([("d", 1, "Scraped 0 penalty Shaken then -1 dice Winded so 0 or Fine at -1")], "doc_id string, part_no long, text string")
     assert mechanics.extract_health(ladder).filter("field = 'health_levels'").count() == 0
+
+
+def test_the_first_rule_wins_over_the_first_part(spark):
+    from scrollwork.operators import mechanics
+
+    texts = spark.createDataFrame(
+        [("d", 1, "Roll a d20. You have 12 damage points. Roll dice to soak. Strength matters."), ("d", 2, "The dice pool counts successes. Mark a health level. Roll stamina to soak. Dexterity helps.")],
+        "doc_id string, part_no long, text string",
+    )
+    got = {(r.extractor, r.field): r.value for f in (mechanics.extract_resolution, mechanics.extract_health) for r in f(texts).collect() if r.name is None}
+    assert got[("resolution", "method")] == "dice_pool"
+    assert got[("health", "health_track_type")] == "levels"
+    assert got[("health", "soak")] == "stamina"
+    stats = {r.name: r.value for r in mechanics.extract_stats(texts).collect() if r.field == "attributes"}
+    assert "strength,dexterity,stamina" in stats.values()
+
+
+def test_backgrounds_keep_their_heading(spark):
+    from scrollwork.operators import mechanics
+
+    texts = spark.createDataFrame([("d", 1, "Backgrounds:\nAllies\nContacts\nResources\n\nOther Things")], "doc_id string, part_no long, text string")
+    got = [r.name for r in mechanics.extract_stats(texts).collect() if r.field == "backgrounds"]
+    assert "Resources" in got and "Other Things" not in got

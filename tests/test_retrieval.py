@@ -45,3 +45,14 @@ def test_budget_keeps_the_first_and_a_prefix(spark):
     rows = [("q", 1, 0, 1, 3000), ("q", 2, 0, 2, 10), ("r", 3, 0, 1, 900), ("r", 4, 0, 2, 900), ("r", 5, 0, 3, 900), ("r", 6, 0, 4, 1)]
     c = spark.createDataFrame(rows, "query_id string, chunk_id long, stage int, rank int, token_estimate int")
     assert sorted(r.chunk_id for r in retrieval.budget_cap(c).collect()) == [1, 3, 4]
+
+
+def test_retrieve_keeps_to_the_packs_and_types_of_a_query(spark):
+    rows = [(i, p, k, "red lamp", [], f"f{i}", 5) for i, (p, k) in enumerate([("p", "lore"), ("z", "lore"), ("p", "rule"), ("y", "lore")])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, pack_id string, chunk_type string, content string, entity_refs array<string>, file_path string, token_estimate int")
+    q = [("one", ["red"], [], ["p"], None), ("two", ["red"], [], ["y", "p"], ["lore"]), ("all", ["lamp"], [], None, ["lore"])]
+    queries = spark.createDataFrame(q, "query_id string, keywords array<string>, entity_ids array<string>, pack_ids array<string>, chunk_types array<string>")
+    got = {}
+    for r in retrieval.retrieve(queries, chunks).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {"one": [0, 2], "two": [3, 0], "all": [0, 1, 3]}
