@@ -126,9 +126,24 @@ def find_runs(docs: DataFrame) -> DataFrame:
     return found.withColumn("shared", shared).where("known OR shared").groupBy("rid").agg(F.collect_set("run").alias("runs"))
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
+def train(docs: DataFrame, sample_docs: int = 400, sample_bytes: int = 1 << 14) -> bytes:
+    """A zstandard dictionary from at most ``sample_docs`` texts of at most ``sample_bytes`` bytes, the first by hash; it only shortens what is moved."""
+    h = F.xxhash64("text", "doc_id")
+    rows = docs.where(F.octet_length("text") <= sample_bytes).select(h.alias("h"), "rid").orderBy("h").limit(sample_docs).select("rid").collect()
+    texts = sorted(r[0].encode() for r in docs.where(F.col("rid").isin([r[0] for r in rows])).where(F.octet_length("text") <= sample_bytes).select("text").distinct().limit(sample_docs).collect()) if rows else []
+    try:
+        return zstandard.train_dictionary(1 << 16, texts).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data) if data else None
+
+
+def squeezed(docs: DataFrame, dictionary: bytes) -> DataFrame:
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=3)
+        c = zstandard.ZstdCompressor(level=6, dict_data=_dictionary(dictionary))
         for batch in batches:
             z = [c.compress(t.encode()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["rid", "doc_id", "z"])
@@ -136,7 +151,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
     return docs.select("rid", "doc_id", "text").mapInArrow(squeeze, "rid long, doc_id long, z binary")
 
 
-def cut_runs(rows: DataFrame) -> DataFrame:
+def cut_runs(rows: DataFrame, dictionary: bytes) -> DataFrame:
     """``rid``, ``doc_id``, ``start``, ``stop``, ``left``, ``run`` (bytes) from ``rid``, ``doc_id``, ``z``, ``runs``.
 
     A task combines its equal runs: all but the earliest are known to be covered, and their ``run`` is null.
@@ -149,7 +164,7 @@ def cut_runs(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 50_000]), kinds)], ["doc_id", "start", "rid", "stop", "left", "run"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
+        d = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         best: dict[bytes, tuple] = {}
         later: list[tuple] = []
         for batch in batches:
@@ -284,7 +299,7 @@ def expand(pieces: DataFrame) -> DataFrame:
     return pieces.sortWithinPartitions("key").select("key", "rid", "doc_id", "start", "piece").mapInArrow(run, "rid long, start long, stop long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, dictionary: bytes) -> DataFrame:
     """``rid``, ``start``, ``stop``: bytes to remove, spans may overlap. ``docs``: ``rid``, ``doc_id`` (no nulls), ``text``."""
     named = docs.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("stop")).where(F.col("stop") >= LENGTH)
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")
@@ -292,14 +307,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     earliest = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first", all_salts)
     copies = named.select("*", salt).join(earliest, ["digest", "salt"]).where("doc_id > first").select("rid", F.lit(0).cast("long").alias("start"), "stop")
 
-    hits = written(find_runs(docs), "runs")
-    runs = written(cut_runs(squeezed(docs).join(hits, "rid")).withColumn("digest", F.unhex(F.md5("run"))), "cut-runs")
+    hits = written(find_runs(docs), "runs", "zstd")
+    runs = written(cut_runs(squeezed(docs, dictionary).join(hits, "rid"), dictionary), "cut-runs", "zstd")
     known = runs.where("run IS NULL").select("rid", "start", "stop")
     runs = runs.where("run IS NOT NULL")
-    distinct = runs.groupBy("digest", "run", "left").agg(F.min(F.struct("doc_id", "start", "rid")).alias("f"), F.count("*").alias("n"))
-    distinct = written(distinct.select("digest", "run", "left", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), F.col("f.rid").alias("rid"), "n"), "distinct-runs")
-    repeated = distinct.where("n > 1").select("digest", F.col("doc_id").alias("d"), F.col("start").alias("s"), all_salts)
-    again = runs.select("digest", "rid", "doc_id", "start", "stop", salt).join(repeated, ["digest", "salt"])
+    distinct = runs.groupBy("run", "left").agg(F.min(F.struct("doc_id", "start", "rid")).alias("f"), F.count("*").alias("n"))
+    distinct = written(distinct.select("run", "left", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), F.col("f.rid").alias("rid"), "n"), "distinct-runs", "zstd")
+    # a run comes at most once from each task, so no digest is hot here
+    digest = F.unhex(F.md5("run")).alias("digest")
+    repeated = distinct.where("n > 1").select(digest, F.col("doc_id").alias("d"), F.col("start").alias("s"))
+    again = runs.select(digest, "rid", "doc_id", "start", "stop").join(repeated, "digest")
     again = again.where("doc_id <> d OR start <> s").select("rid", "start", "stop")
 
     left, size = F.col("left"), F.octet_length("run")
@@ -331,10 +348,11 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs_of(df, id_col, text_col)
     last = F.lit((1 << 63) - 1)
     docs = rows.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("doc_id", last).alias("doc_id"), "text")
-    spans = written(repeated_spans(docs).distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    dictionary = train(docs)
+    spans = written(repeated_spans(docs, dictionary).distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
+        d = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         for batch in batches:
             out = []
             for doc_id, z, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -352,7 +370,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)][: 6 if with_text else 5], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return squeezed(docs).join(spans, "rid", "left").select("doc_id", "z", "spans").mapInArrow(apply, schema)
+    return squeezed(docs, dictionary).join(spans, "rid", "left").select("doc_id", "z", "spans").mapInArrow(apply, schema)
 
 
 @query()
