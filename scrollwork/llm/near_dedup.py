@@ -12,7 +12,7 @@ which is the plain Jaccard similarity where no shingle repeats.
 3. Pairs are verified on their whole texts by the exact J_P. Verified links are joined to classes.
 4. A bucket that is not one class yet can hide links between members that are not like the pivot. The documents of such
    buckets are banded anew with longer bands, in which pairs under the limit hardly meet, and paired and verified as before.
-5. Where a long band's bucket is still not one class, members outside the pivot's class become pivots in turn, 4, 16, 64, ... per
+5. Where a long band's bucket is still not one class, members outside the pivot's class become pivots in turn, 32, then 64 per
    bucket and round, until none is left. 1 - J_P is a metric, so pairs whose distances to the first pivot differ by more than
    the limit are not looked at.
 
@@ -183,8 +183,8 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
         long_bands = signatures(texts.join(crowd, "doc_id", "left_semi"), LONG_ROWS, LONG_BANDS).select(F.col("doc_id").alias("doc"), "bands")
         members = buckets(long_bands)
         looked = _rooted(_star(members), roots).where("root <> pivot_root").select("doc", "pivot")
-        links = links.unionByName(_linked(looked, texts, similarity))
-        roots = _outsiders(members, links, components(links), texts, similarity)
+        roots = _joined(roots, _linked(looked, texts, similarity))
+        roots = _outsiders(members, roots, texts, similarity)
 
     classes = equal.select("digest", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("digest", F.coalesce("root", "rep").alias("group_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     each = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -214,17 +214,21 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(keys, "key").where(other)
 
 
-def _outsiders(members: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after further links; the known ones enter as stars, which takes fewer rounds than their links."""
+    return components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def _outsiders(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Classes once no bucket can hide a link between two of them."""
     limit = 1 - similarity + 1e-9
-    open_rows = written(_mixed(members, roots).select("key", "doc", "pivot"), "open")
+    open_rows = written(_mixed(members, roots).select("key", "doc", "pivot", "root", "pivot_root"), "open")
     if open_rows.isEmpty():
         return roots
     far = verified(_star(open_rows).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
-    open_rows = written(open_rows.join(far, ["doc", "pivot"]), "open")
-    used, step = None, 4
+    state = written(open_rows.join(far, ["doc", "pivot"]), "open-state")
+    used, step = None, 32
     while True:
-        state = written(_rooted(open_rows, roots), "open-state")
         out = state.where("root <> pivot_root")
         if used is not None:
             out = out.join(used, ["key", "doc"], "left_anti")
@@ -237,10 +241,12 @@ def _outsiders(members: DataFrame, links: DataFrame, roots: DataFrame, texts: Da
         pairs = state.join(p, "key").where((F.col("root") != F.col("by_root")) & (F.abs(F.col("far") - F.col("by_far")) <= limit)).select("doc", F.col("by").alias("pivot")).distinct()
         new = _linked(pairs, texts, similarity)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = components(links)
+            roots = _joined(roots, new)
         used = chosen.select("key", "doc") if used is None else used.unionByName(chosen.select("key", "doc"))
-        step = min(4 * step, 64)
+        # only buckets with further outsiders go on
+        left = out.join(chosen.select("key", "doc"), ["key", "doc"], "left_anti").select("key").distinct()
+        state = written(_rooted(state.select("key", "doc", "pivot", "far").join(left, "key", "left_semi"), roots), "open-state")
+        step = min(2 * step, 64)
 
 
 @query()
