@@ -364,7 +364,15 @@ def rule_matches(texts: DataFrame, rules=fixed.RULE_TABLE) -> DataFrame:
 
 
 def extraction_confidence(rows: DataFrame, matches: DataFrame | None = None, keys=fixed.KEY_FIELDS, sections=fixed.EXTRACTOR_SECTIONS) -> DataFrame:
-    """Confidence per document and extractor from fields found, rule hits and key fields."""
+    """Confidence per document and extractor from fields found, rule hits and key fields.
+
+    Fields count as the extraction groups them: all of magic is one field, and so are the outcome thresholds; armour by tier is armour.
+    """
+    top = (
+        F.when(F.col("extractor") == "magic", F.lit("magic_system")).when(F.col("field").startswith("threshold_"), F.lit("outcome_thresholds"))
+        .when(F.col("field") == "tiered_armor", F.lit("armor")).otherwise(F.col("field"))
+    )
+    rows = rows.select("doc_id", "extractor", top.alias("field"))
     key = F.lit(False)
     for ext, names in keys:
         key = key | ((F.col("extractor") == ext) & F.col("field").isin(names))

@@ -43,6 +43,16 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{path}/out/rows").drop("ts")
 
 
+@job("SELECT event_id, user_id, count(*) AS copies FROM events, range(2) WHERE event_type = 'error' GROUP BY ALL")
+def stream_rejected(spark, sf):
+    """The incomplete events of a stream, every copy, in a sink of their own."""
+    twice = stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("props", F.when(F.col("event_type") != "error", F.col("props")))
+    good, bad = S.ingest(twice, "ts", "event_id", ["event_id", "ts", "user_id", "props"])
+    path = scratch(spark, "rejected")
+    finish(S.append_to(bad.select("event_id", "user_id"), path))
+    return spark.read.parquet(f"{path}/out/rows").groupBy("event_id", "user_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @job(f"WITH RECURSIVE {WALK} SELECT campaign_id, counter, event_id, threshold FROM st JOIN {TRIGGERS_SQL} USING (counter) WHERE old_value < threshold AND threshold <= new_value")
 def stream_counters(spark, sf):
     path = scratch(spark, "counters")

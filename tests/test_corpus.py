@@ -110,3 +110,12 @@ def test_backgrounds_keep_their_heading(spark):
     texts = spark.createDataFrame([("d", 1, "Backgrounds:\nAllies\nContacts\nResources\n\nOther Things")], "doc_id string, part_no long, text string")
     got = [r.name for r in mechanics.extract_stats(texts).collect() if r.field == "backgrounds"]
     assert "Resources" in got and "Other Things" not in got
+
+
+def test_confidence_counts_grouped_fields(spark):
+    from scrollwork.operators import mechanics
+
+    rows = [("magic", "casting_stat"), ("magic", "spell_schools"), ("magic", "resource_pools"), ("resolution", "threshold_a"), ("resolution", "threshold_b"), ("equipment", "armor"), ("equipment", "tiered_armor")]
+    found = spark.createDataFrame([("d", e, f) for e, f in rows], "doc_id string, extractor string, field string")
+    got = {r.extractor: r.confidence for r in mechanics.extraction_confidence(found).collect()}
+    assert got == {"magic": 0.5, "resolution": 0.4, "equipment": 0.5}
