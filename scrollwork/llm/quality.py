@@ -52,7 +52,6 @@ def features(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return np.concatenate(found), np.concatenate(whose)
 
 
-
 def train(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int = 2, dim: int = 8, epochs: int = 8, rate: float = 0.5, buckets: int = BUCKETS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Vectors (bucket, dim) and layer (dim + 1, class) from ``(features, counts, label)``; one step per document."""
     rng = np.random.default_rng(seed)
