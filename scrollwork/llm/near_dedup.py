@@ -238,7 +238,9 @@ def _outsiders(members: DataFrame, roots: DataFrame, texts: DataFrame, similarit
         if chosen.isEmpty():
             return roots
         p = chosen.select("key", F.col("doc").alias("by"), F.col("far").alias("by_far"), F.col("root").alias("by_root"))
-        pairs = state.join(p, "key").where((F.col("root") != F.col("by_root")) & (F.abs(F.col("far") - F.col("by_far")) <= limit)).select("doc", F.col("by").alias("pivot")).distinct()
+        pairs = state.join(p, "key").where((F.col("root") != F.col("by_root")) & (F.abs(F.col("far") - F.col("by_far")) <= limit))
+        # two pivots of a bucket meet once, not from either side
+        pairs = pairs.select(F.greatest("doc", "by").alias("doc"), F.least("doc", "by").alias("pivot")).distinct()
         new = _linked(pairs, texts, similarity)
         if not new.isEmpty():
             roots = _joined(roots, new)
