@@ -1,20 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are the stated query set. They are taken in blocks of bounded size, and each block meets all documents:
 
-1. count in how many documents each n-gram of the block's items occurs;
-2. per item, n-grams far more frequent than the item's lower quartile are no seeds. The measure is relative, because an
-   item that was copied a thousand times has no n-gram that is rare in absolute numbers;
-3. documents with a seed are aligned with the item around it: words, +2 for an equal word, -1 for another word
-   or a gap. The score is divided by that of a full copy, so an item with a fifth of its words replaced has about 0.7.
-
-Only items go to tasks, a block at a time; documents never move.
+1. every trigram of an item is a seed. Around each place where a seed stands in a document lies a window that holds any
+   alignment of the wanted score through that place;
+2. windows whose seeds say nothing go. A seed tells a copy from prose if it is rare relative to the item's
+   lower quartile (an item that was copied a thousand times has none that is rare in absolute numbers), or if it stands in the documents clearly more often than its words would meet by chance, as copies make it,
+   however many they are. ``SEVERAL`` other seeds on one diagonal tell it too;
+3. windows with too few of the item's words, counted with their repetitions, go: no alignment in them reaches the score;
+4. the other windows are aligned with the item: words, +2 for an equal word, -1 for another word or a gap. The score is
+   divided by that of a full copy, so an item with a fifth of its words replaced has about 0.7.
+
+So an alignment of the wanted score with three equal words in a row is missed only where all such runs are as frequent as
+chance makes them. Only items go to tasks, a block at a time; documents never move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -26,36 +30,62 @@ from scrollwork.llm.words import groups, runs, words
 
 SEED_WORDS = 3
 MIN_WORDS = 8
+#: seeds of that many words in a row
+SEVERAL = MIN_WORDS - SEED_WORDS + 1
 BLOCK_BYTES = 4 << 20
 ALIGN_CELLS = 1 << 21
+WINDOW_WORDS = 1 << 20
 
 
 @dataclass
 class Block:
-    """Items with at least ``MIN_WORDS`` words. Seed ``k`` stands in item ``item[k]`` at word ``at[k]``; ``keys`` is sorted."""
+    """Items with at least ``MIN_WORDS`` words. Seed ``k`` stands in item ``item[k]`` from word ``first[k]`` to word ``last[k]``; ``keys`` is sorted;
+    ``tells`` says whether a seed tells a copy from prose.
+    ``bag`` holds item and word of ``vocabulary`` as one number, ``often`` how often the word stands in the item."""
 
     ids: list
     starts: np.ndarray
     tokens: np.ndarray
     keys: np.ndarray
     item: np.ndarray
-    at: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    tells: np.ndarray
+    vocabulary: np.ndarray
+    bag: np.ndarray
+    often: np.ndarray
     longest_bytes: int
 
     @property
     def lengths(self) -> np.ndarray:
         return np.diff(self.starts)
 
-    def chosen(self, counts: dict[int, int], factor: int = 4, slack: int = 4) -> "Block":
-        """Keep seeds in at most ``factor`` times as many documents as the item's lower quartile, plus ``slack``."""
-        n = np.array([counts.get(int(i), 0) for i in np.searchsorted(np.unique(self.keys), self.keys)])
-        limit = np.zeros(len(self.ids))
+    def judged(self, counts: "Counts", factor: int = 4, slack: int = 4) -> "Block":
+        """Seeds tell in at most ``factor`` times as many documents as the item's lower quartile, plus ``slack``, and
+        where they stand more than ``factor`` times as often as words in random order would make them."""
+        k = np.searchsorted(np.unique(self.keys), self.keys)
+        n = counts.documents[k]
         order = np.lexsort((n, self.item))
         sizes = np.bincount(self.item, minlength=len(self.ids))
         first = np.append(0, np.cumsum(sizes)[:-1])
-        limit[sizes > 0] = n[order][(first + sizes // 4)[sizes > 0]] * factor + slack
-        ok = n <= limit[self.item]
-        return Block(self.ids, self.starts, self.tokens, self.keys[ok], self.item[ok], self.at[ok], self.longest_bytes)
+        limit = np.full(len(self.ids), slack)
+        limit[sizes > 0] += n[order][(first + sizes // 4)[sizes > 0]] * factor
+        word = np.searchsorted(self.vocabulary, self.tokens)
+        start = self.starts[self.item] + self.first
+        chance = np.full(len(self.keys), float(counts.total))
+        for w in range(SEED_WORDS):
+            chance *= counts.words[word[start + w]] / max(1, counts.total)
+        return replace(self, tells=(n <= limit[self.item]) | (counts.places[k] > factor * chance))
+
+
+@dataclass
+class Counts:
+    """Documents and places of each seed; places of each word of the vocabulary and of all words, in documents with a seed."""
+
+    documents: np.ndarray
+    places: np.ndarray
+    words: np.ndarray
+    total: int
 
 
 def make_block(rows: list[tuple]) -> Block:
@@ -68,12 +98,19 @@ def make_block(rows: list[tuple]) -> Block:
             parts.append(h)
             sizes.append(len(data))
     starts = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
+    tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     keys = [runs(p, SEED_WORDS) for p in parts]
     item = np.repeat(np.arange(len(parts)), [len(k) for k in keys])
     at = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
     flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    return Block(ids, starts, np.concatenate(parts) if parts else np.zeros(0, np.uint64), flat[order], item[order], at[order], max(sizes, default=0))
+    order = np.lexsort((at, item, flat))
+    flat, item, at = flat[order], item[order], at[order]
+    fresh = np.append(True, (flat[1:] != flat[:-1]) | (item[1:] != item[:-1]))[: len(flat)]
+    heads = np.flatnonzero(fresh)
+    tails = np.append(heads[1:], len(flat))[: len(heads)] - 1
+    vocabulary, word = np.unique(tokens, return_inverse=True)
+    bag, often = np.unique(np.repeat(np.arange(len(parts)), np.diff(starts)) * len(vocabulary) + word, return_counts=True)
+    return Block(ids, starts, tokens, flat[heads], item[heads], at[heads], at[tails], np.ones(len(heads), bool), vocabulary, bag, often, max(sizes, default=0))
 
 
 def blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[Block]:
@@ -123,21 +160,90 @@ def _hits(h: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarra
     return where, grams[where]
 
 
-def count_seeds(docs: DataFrame, block: Block) -> dict[int, int]:
+def count_seeds(docs: DataFrame, block: Block) -> Counts:
     keys = np.unique(block.keys)
+    sizes = (len(keys), len(keys), len(block.vocabulary), 1)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(keys), np.int64)
-        for f in frames:
+        documents, places, known, total = (np.zeros(n, np.int64) for n in sizes)
+        for f in frames if len(keys) else ():
             for group, owner in groups(f["text"].tolist()):
                 h, whose = words(group)
                 where, grams = _hits(h, whose, keys)
-                pairs = np.unique(np.searchsorted(keys, grams) * (len(group) + 1) + whose[where])
-                np.add.at(total, pairs // (len(group) + 1), 1)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"seed": seen, "n": total[seen]})
-
-    return dict(map(tuple, docs.select("text").mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect()))
+                seed = np.searchsorted(keys, grams)
+                documents += np.bincount(np.unique(seed * (len(group) + 1) + whose[where]) // (len(group) + 1), minlength=len(keys))
+                places += np.bincount(seed, minlength=len(keys))
+                # texts of another kind than those with seeds would make their words look rare
+                h = h[np.bincount(whose[where], minlength=len(group))[whose] > 0]
+                at = np.minimum(np.searchsorted(block.vocabulary, h), len(block.vocabulary) - 1)
+                known += np.bincount(at[block.vocabulary[at] == h], minlength=len(known))
+                total += len(h)
+        n = np.concatenate([documents, places, known, total])
+        yield pd.DataFrame({"k": np.flatnonzero(n), "n": n[n > 0]})
+
+    n = np.zeros(sum(sizes), np.int64)
+    for k, x in docs.select("text").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+        n[k] = x
+    documents, places, known, total = np.split(n, np.cumsum(sizes)[:-1])
+    return Counts(documents, places, known, int(total[0]))
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``most`` or little more."""
+    part = np.cumsum(sizes) // most
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(sizes))
+    return zip(edges[:-1].tolist(), edges[1:].tolist())
+
+
+def plausible(block: Block, h: np.ndarray, item: np.ndarray, begin: np.ndarray, stop: np.ndarray, min_score: float) -> np.ndarray:
+    """Whether each window has ``min_score`` of its item's words. Only equal words add to a score, two each, so the others cannot reach it."""
+    inside = np.cumsum(np.bincount(begin, minlength=len(h) + 1) - np.bincount(stop, minlength=len(h) + 1))[:-1] > 0
+    word = np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(block.vocabulary, h[inside]), len(block.vocabulary) - 1)
+    word[inside] = np.where(block.vocabulary[at] == h[inside], at, -1)
+    have = np.zeros(len(item))
+    for lo, hi in _slices(stop - begin, WINDOW_WORDS):
+        size = (stop - begin)[lo:hi]
+        who = np.repeat(np.arange(lo, hi), size)
+        w = word[np.arange(len(who)) - np.repeat(np.cumsum(size) - size - begin[lo:hi], size)]
+        who, w = who[w >= 0], w[w >= 0]
+        code = item[who] * len(block.vocabulary) + w
+        at = np.minimum(np.searchsorted(block.bag, code), len(block.bag) - 1)
+        hit = block.bag[at] == code
+        pairs, n = np.unique(who[hit] * len(block.bag) + at[hit], return_counts=True)
+        have += np.bincount(pairs // len(block.bag), np.minimum(n, block.often[pairs % len(block.bag)]), len(item))
+    return have >= min_score * block.lengths[item] - 1e-9
+
+
+def windows_of(block: Block, h: np.ndarray, whose: np.ndarray, bounds: np.ndarray, min_score: float) -> tuple[np.ndarray, ...]:
+    """``text``, ``item``, ``begin``, ``stop`` of the windows that can hold an alignment, in this order and without repetition."""
+    where, grams = _hits(h, whose, block.keys)
+    first = np.searchsorted(block.keys, grams, side="left")
+    many = np.searchsorted(block.keys, grams, side="right") - first
+    found = [np.zeros((0, 4), np.int64)]
+    for lo, hi in _slices(many, WINDOW_WORDS) if len(many) else ():
+        m = many[lo:hi]
+        seed = np.repeat(first[lo:hi] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        if not len(seed):
+            continue
+        at, item = np.repeat(where[lo:hi], m), block.item[seed]
+        text, n = whose[at].astype(np.int64), block.lengths[item]
+        # an alignment with more words of its own than this is under the score
+        slack = np.maximum(0, (2 * (1 - min_score) * n + 1e-9).astype(np.int64))
+        # on a grid, so that the seeds of one place share a window
+        grid = np.maximum(1, n // 4)
+        begin = (at - block.last[seed] - slack) // grid * grid
+        stop = -(-(at - block.first[seed] + n + slack) // grid) * grid
+        begin, stop = np.maximum(begin, bounds[text]), np.minimum(stop, bounds[text + 1])
+        order = np.lexsort((seed, stop, begin, item, text))
+        rows, seed = np.stack([text, item, begin, stop], axis=1)[order], seed[order]
+        heads = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+        other = np.append(True, seed[1:] != seed[:-1])
+        other[heads] = True
+        rows = rows[heads][np.logical_or.reduceat(block.tells[seed], heads) | (np.add.reduceat(other.astype(np.int64), heads) >= SEVERAL)]
+        found.append(rows[plausible(block, h, *rows[:, 1:].T, min_score)])
+    rows = np.concatenate(found)
+    return tuple(rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))].T)
 
 
 def find(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
@@ -148,21 +254,10 @@ def find(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
             out = []
             for group, owner in groups(f["text"].tolist(), overlap=4 * block.longest_bytes + 64):
                 h, whose = words(group)
-                where, grams = _hits(h, whose, block.keys)
-                if not len(where):
-                    continue
-                first = np.searchsorted(block.keys, grams, side="left")
-                many = np.searchsorted(block.keys, grams, side="right") - first
-                seed = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at, item = np.repeat(where, many), block.item[seed]
-                text = whose[at]
-                slack = lengths[item] // 4 + 8
-                begin = at - block.at[seed] - slack
-                stop = at - block.at[seed] + lengths[item] + slack
                 bounds = np.searchsorted(whose, np.arange(len(group) + 1))
-                begin, stop = np.maximum(begin, bounds[text]), np.minimum(stop, bounds[text + 1])
-                order = np.lexsort((begin, item, text))
-                text, item, begin, stop = text[order], item[order], begin[order], stop[order]
+                text, item, begin, stop = windows_of(block, h, whose, bounds, min_score)
+                if not len(text):
+                    continue
                 same = np.append(False, (text[1:] == text[:-1]) & (item[1:] == item[:-1]))
                 # windows of one text and item that meet become one: a new one starts where none before reaches
                 pair = np.cumsum(~same)
@@ -196,7 +291,7 @@ def contaminated(df: DataFrame, items: DataFrame, min_score: float = 0.5, id_col
     docs = docs_of(df, id_col, text_col)
     empty = df.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
     # an item comes again in no other block, so the union holds each pair once
-    return reduce(DataFrame.unionByName, [find(docs, b.chosen(count_seeds(docs, b)), min_score) for b in blocks(items.dropDuplicates([item_id]), item_id, item_text)], empty)
+    return reduce(DataFrame.unionByName, [find(docs, b.judged(count_seeds(docs, b)), min_score) for b in blocks(items.dropDuplicates([item_id]), item_id, item_text)], empty)
 
 
 @query()

@@ -11,6 +11,7 @@ from scrollwork.llm.components import components
 from scrollwork.llm.decontaminate import align, contaminated
 from scrollwork.llm.near_dedup import near_duplicates, prob_jaccard, registers, weighted_set, word_lists
 from scrollwork.llm.substring_dedup import drop_repeats, equal_windows
+from scrollwork.llm.words import runs, words
 from tests.llm.conftest import frame
 
 
@@ -194,3 +195,31 @@ def test_contaminated(spark, odd_rows, monkeypatch):
         assert {p for p in pairs - want if p[1] != 92} == set()
     assert contaminated(frame(spark, []), table).count() == 0
     assert contaminated(frame(spark, rows), table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [5, 50, 1000])
+def test_contaminated_by_many_equal_edits(spark, copies):
+    rnd = random.Random(copies)
+    some = lambda n: ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    edited, short = some(30), some(30)
+    changed = [f"other{k}" if k % 10 == 5 else w for k, w in enumerate(edited)]
+    rows = [(k, " ".join(some(4) + (changed if k % 2 else short[:20]) + some(4))) for k in range(2 * copies)] + [(10**6, " ".join(some(60)))]
+    items = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(frame(spark, rows), items).collect()}
+    assert got == pytest.approx({(k, 1 if k % 2 else 2): 0.85 if k % 2 else 20 / 30 for k in range(2 * copies)})
+
+
+def test_windows_hold_every_alignment():
+    rng = np.random.default_rng(6)
+    text = lambda h: " ".join(f"w{x}" for x in h)
+    for _ in range(40):
+        item = rng.integers(0, 12, rng.integers(8, 30))
+        copy = [x for w in item for x in ([w] if rng.random() < 0.6 else [[], [99], [w, 98, 97]][rng.integers(0, 3)])]
+        doc = np.concatenate([rng.integers(0, 12, rng.integers(0, 60)), copy, rng.integers(0, 12, rng.integers(0, 60))]).astype(int)
+        block = decontaminate.make_block([(1, text(item))])
+        (h, whose), a = words([text(doc).encode()]), block.tokens
+        found = decontaminate.windows_of(block, h, whose, np.array([0, len(h)]), 0.5)
+        best = max([int(align([a], [h[b:e]])[0][0]) for _, _, b, e in zip(*found)], default=0)
+        whole = plain_align(a.tolist(), h.tolist())
+        triple = set(runs(a, 3).tolist()) & set(runs(h, 3).tolist())
+        assert best == whole or whole < len(a) or not triple or best >= len(a)
