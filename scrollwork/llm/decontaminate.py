@@ -17,6 +17,7 @@ chance makes them. Only items go to tasks, a block at a time; documents never mo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -35,13 +36,25 @@ SEVERAL = MIN_WORDS - SEED_WORDS + 1
 BLOCK_BYTES = 4 << 20
 ALIGN_CELLS = 1 << 21
 WINDOW_WORDS = 1 << 20
+#: letters and marks of scripts without blanks between words (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han), and their punctuation
+UNSPACED = re.compile("([\u0e01-\u0e4e\u0e50-\u0e59\u0e81-\u0edf\u0f18-\u0f39\u0f3e-\u0fbc\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17e0-\u17e9\u3005-\u3007\u3021-\u302f\u3031-\u303c\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])|[\u0f0b-\u0f14\u104a-\u104f\u17d4-\u17da\u3000-\u3003\u3008-\u3020\u3030\u303d\u30a0\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
+def spaced(text: str) -> str:
+    """The text with every character of a script without blanks as a word of its own."""
+    try:
+        text.encode("latin-1")  # fast, and true of most texts
+        return text
+    except UnicodeEncodeError:
+        return UNSPACED.sub(lambda m: f" {m[1]} " if m[1] else " ", text)
 
 
 @dataclass
 class Block:
     """Items with at least ``MIN_WORDS`` words. Seed ``k`` stands in item ``item[k]`` from word ``first[k]`` to word ``last[k]``; ``keys`` is sorted;
     ``tells`` says whether a seed tells a copy from prose.
-    ``bag`` holds item and word of ``vocabulary`` as one number, ``often`` how often the word stands in the item."""
+    ``bag`` holds item and word of ``vocabulary`` as one number, ``often`` how often the word stands in the item.
+    ``short`` has the items with fewer words, by their number: sorted hashes of whole items, and the items' ids."""
 
     ids: list
     starts: np.ndarray
@@ -54,6 +67,7 @@ class Block:
     vocabulary: np.ndarray
     bag: np.ndarray
     often: np.ndarray
+    short: dict[int, tuple[np.ndarray, list]]
     longest_bytes: int
 
     @property
@@ -90,13 +104,18 @@ class Counts:
 
 def make_block(rows: list[tuple]) -> Block:
     ids, parts, sizes = [], [], []
+    brief: dict[int, list] = {}
     for item_id, text in rows:
-        data = text.lower().encode("utf-8", "replace")
+        data = spaced(text).lower().encode("utf-8", "replace")
         h, _ = words([data])
+        sizes.append(len(data))
         if len(h) >= MIN_WORDS:
             ids.append(item_id)
             parts.append(h)
-            sizes.append(len(data))
+        elif len(h):
+            brief.setdefault(len(h), []).append((runs(h, len(h))[0], item_id))
+    brief = {n: sorted(some, key=lambda x: x[0]) for n, some in brief.items()}
+    short = {n: (np.array([x[0] for x in some], np.uint64), [x[1] for x in some]) for n, some in brief.items()}
     starts = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
     tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     keys = [runs(p, SEED_WORDS) for p in parts]
@@ -110,7 +129,7 @@ def make_block(rows: list[tuple]) -> Block:
     tails = np.append(heads[1:], len(flat))[: len(heads)] - 1
     vocabulary, word = np.unique(tokens, return_inverse=True)
     bag, often = np.unique(np.repeat(np.arange(len(parts)), np.diff(starts)) * len(vocabulary) + word, return_counts=True)
-    return Block(ids, starts, tokens, flat[heads], item[heads], at[heads], at[tails], np.ones(len(heads), bool), vocabulary, bag, often, max(sizes, default=0))
+    return Block(ids, starts, tokens, flat[heads], item[heads], at[heads], at[tails], np.ones(len(heads), bool), vocabulary, bag, often, short, max(sizes, default=0))
 
 
 def blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[Block]:
@@ -167,7 +186,7 @@ def count_seeds(docs: DataFrame, block: Block) -> Counts:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         documents, places, known, total = (np.zeros(n, np.int64) for n in sizes)
         for f in frames if len(keys) else ():
-            for group, owner in groups(f["text"].tolist()):
+            for group, owner in groups(list(map(spaced, f["text"]))):
                 h, whose = words(group)
                 where, grams = _hits(h, whose, keys)
                 seed = np.searchsorted(keys, grams)
@@ -246,15 +265,30 @@ def windows_of(block: Block, h: np.ndarray, whose: np.ndarray, bounds: np.ndarra
     return tuple(rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))].T)
 
 
+def whole(block: Block, h: np.ndarray, whose: np.ndarray) -> Iterator[tuple[int, object, int]]:
+    """Text, item and last word of each text's last place with all words of a short item in a row."""
+    for n, (keys, ids) in block.short.items():
+        grams = runs(h, n)
+        first = np.searchsorted(keys, grams, side="left")
+        where = np.flatnonzero((keys[np.minimum(first, len(keys) - 1)] == grams) & (whose[: len(grams)] == whose[n - 1 :]))
+        # of equal places of a text the last
+        pairs, back = np.unique((whose[where].astype(np.int64) * len(keys) + first[where])[::-1], return_index=True)
+        for pair, at in zip(pairs.tolist(), where[::-1][back].tolist()):
+            k = pair % len(keys)
+            for i in range(k, int(np.searchsorted(keys, keys[k], side="right"))):
+                yield pair // len(keys), ids[i], at + n - 1
+
+
 def find(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
     lengths = block.lengths
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for group, owner in groups(f["text"].tolist(), overlap=4 * block.longest_bytes + 64):
+            for group, owner in groups(list(map(spaced, f["text"])), overlap=4 * block.longest_bytes + 64):
                 h, whose = words(group)
                 bounds = np.searchsorted(whose, np.arange(len(group) + 1))
+                out += [(f["doc_id"].iloc[owner[t]], i, 1.0, int(e - bounds[t])) for t, i, e in whole(block, h, whose)]
                 text, item, begin, stop = windows_of(block, h, whose, bounds, min_score)
                 if not len(text):
                     continue
@@ -284,8 +318,9 @@ def contaminated(df: DataFrame, items: DataFrame, min_score: float = 0.5, id_col
     """One row per (``doc_id``, ``item_id``) with an alignment of ``min_score`` or more: ``score``, ``end_word`` (in the text, or in the part of a
     very long one).
 
-    Null and empty texts match nothing. Items that are null or have fewer than ``MIN_WORDS`` words are not searched: they
-    stand in ordinary text. Rows that repeat an id give one row per item. Of equal scores the later place counts. Null
+    Null and empty texts match nothing. Null items and those without words are not searched. Items with fewer than ``MIN_WORDS``
+    words match only as a whole (score 1), wherever all their words stand in a row: an item of common words is found in ordinary text too.
+    Scripts without blanks between words count by characters. Rows that repeat an id give one row per item. Of equal scores the later place counts. Null
     ids are kept, as one document. Empty tables give no rows. Other columns are ignored.
     """
     docs = docs_of(df, id_col, text_col)

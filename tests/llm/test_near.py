@@ -223,3 +223,18 @@ def test_windows_hold_every_alignment():
         whole = plain_align(a.tolist(), h.tolist())
         triple = set(runs(a, 3).tolist()) & set(runs(h, 3).tolist())
         assert best == whole or whole < len(a) or not triple or best >= len(a)
+
+
+def test_contaminated_by_short_and_unspaced_items(spark):
+    rnd = random.Random(9)
+    han = "".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(30))
+    thai = "".join(chr(0x0E01 + rnd.randrange(40)) for _ in range(24))
+    kana = "\u3072\u3089\u304c\u306a"
+    items = [(1, "What is the capital of Peru?"), (2, han), (3, thai), (4, kana), (5, "Peru"), (6, "?!"), (7, "peru"), (8, "")]
+    rows = [
+        (1, "x what is THE capital, of Peru y"), (2, "what is the capital of old peru"), (3, "peruvian"), (4, "\u4f60" + han + "\u597d"), (5, han[:14] + "\u3002" + han[15:]),
+        (6, han[:7]), (7, "abc" + thai[:20] + "def"), (8, f"\u3042{kana}\u3044"), (9, kana[:3]), (10, None), (11, "of peru"), (12, "what is the capital of"),
+    ]
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    peru = {(d, i): 1.0 for d in (1, 2, 11) for i in (5, 7)}
+    assert got == pytest.approx(peru | {(1, 1): 1.0, (4, 2): 1.0, (5, 2): 57 / 60, (7, 3): 20 / 24, (8, 4): 1.0})
