@@ -134,7 +134,7 @@ def make_block(rows: list[tuple]) -> Block:
 
 def blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[Block]:
     rows, size = [], 0
-    for r in items.where(F.col(item_text).isNotNull()).select(item_id, item_text).toLocalIterator():
+    for r in items.where(F.col(item_text).isNotNull()).select(item_id, item_text).distinct().toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1])
         if size >= BLOCK_BYTES:
@@ -308,10 +308,9 @@ def find(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
                     for (n, _, i, t, b), s, e in zip(chunk, best, end):
                         if s >= min_score * 2 * n:
                             out.append((f["doc_id"].iloc[owner[t]], block.ids[i], s / (2.0 * n), int(b + e - bounds[t])))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "end_word"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "end_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    found = docs.mapInPandas(search, "doc_id long, item_id long, score double, end_word long")
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("end_word", F.struct("score", "end_word")).alias("end_word"))
+    return docs.mapInPandas(search, "doc_id long, item_id long, score double, end_word long")
 
 
 def contaminated(df: DataFrame, items: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -320,13 +319,15 @@ def contaminated(df: DataFrame, items: DataFrame, min_score: float = 0.5, id_col
 
     Null and empty texts match nothing. Null items and those without words are not searched. Items with fewer than ``MIN_WORDS``
     words match only as a whole (score 1), wherever all their words stand in a row: an item of common words is found in ordinary text too.
-    Scripts without blanks between words count by characters. Rows that repeat an id give one row per item. Of equal scores the later place counts. Null
+    Scripts without blanks between words count by characters. All different texts under one ``item_id`` (or without one) are
+    searched and count as one item. Rows that repeat an id give one row per item. Of equal scores the later place counts. Null
     ids are kept, as one document. Empty tables give no rows. Other columns are ignored.
     """
     docs = docs_of(df, id_col, text_col)
     empty = df.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
-    # an item comes again in no other block, so the union holds each pair once
-    return reduce(DataFrame.unionByName, [find(docs, b.judged(count_seeds(docs, b)), min_score) for b in blocks(items.dropDuplicates([item_id]), item_id, item_text)], empty)
+    # texts of one item can be in several blocks
+    found = reduce(DataFrame.unionByName, [find(docs, b.judged(count_seeds(docs, b)), min_score) for b in blocks(items, item_id, item_text)], empty)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("end_word", F.struct("score", "end_word")).alias("end_word"))
 
 
 @query()

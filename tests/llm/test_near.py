@@ -238,3 +238,15 @@ def test_contaminated_by_short_and_unspaced_items(spark):
     got = {(r.doc_id, r.item_id): r.score for r in contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     peru = {(d, i): 1.0 for d in (1, 2, 11) for i in (5, 7)}
     assert got == pytest.approx(peru | {(1, 1): 1.0, (4, 2): 1.0, (5, 2): 57 / 60, (7, 3): 20 / 24, (8, 4): 1.0})
+
+
+@pytest.mark.parametrize("block", [4 << 20, 1])
+def test_contaminated_by_items_with_one_id(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rnd = random.Random(10)
+    some = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    texts = [some(12) for _ in range(6)] + ["brief text"]
+    items = [(1, None), (1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (2, None), (None, texts[3]), (None, texts[4]), (None, None), (3, texts[1]), (3, texts[6])]
+    rows = [(k, f"{some(3)} {t} {some(3)}") for k, t in enumerate(texts)] + [(7, f"{texts[0]} {some(2)} {texts[1]} {texts[1][:-8]}")]
+    got = [(r.doc_id, r.item_id, r.score) for r in contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert Counter(got) == Counter([(0, 1, 1.0), (1, 1, 1.0), (1, 3, 1.0), (2, 2, 1.0), (3, None, 1.0), (4, None, 1.0), (6, 3, 1.0), (7, 1, 1.0), (7, 3, 1.0)])
