@@ -7,8 +7,9 @@ back-off weights per n-gram; a text is scored by binary search in it. The langua
 character wins. A text is rejected when its cross-entropy lies over a limit calibrated per language on documents
 that the model has not seen.
 
-Bounds: ``sample_docs`` documents a language are expected in the sample, and the arrays hold at most ``max_cells``
-numbers, so the model that tasks receive does not grow with the data. Scoring covers every text in full.
+Bounds: ``sample_docs`` documents a language are expected in the sample, and the arrays hold about ``max_cells``
+numbers, so the model that tasks receive does not grow with the data. Each language has a share of its own in them, never
+under ``LEAST_GRAMS`` n-grams. Scoring covers every text in full.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from scrollwork.llm.common import fold, query, table
+from scrollwork.llm.common import fold, query, table, written
 
 ORDER = 4
 PART = 1 << 20
+LEAST_GRAMS = 2000
+#: languages with fewer documents in all have none to spare for the limits
+SPARE_FROM = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,8 +125,9 @@ class Model:
         return -sums / np.maximum(n, 1)[:, None], n, n_letters
 
 
-def build(counts: pd.DataFrame) -> Model:
-    """Kneser-Ney models from columns ``lang``, ``gram`` (``ORDER`` characters), ``n``."""
+def build(counts: pd.DataFrame, rare: dict[str, tuple[int, int]] | None = None) -> Model:
+    """Kneser-Ney models from columns ``lang``, ``gram`` (``ORDER`` characters), ``n``. ``rare``: how many n-grams stood once and
+    twice, for languages of which rare ones are left out."""
     langs = sorted(counts["lang"].unique())
     alphabet = sorted(set("".join(counts["gram"].str.slice(-1, None))))
     floor = -np.log(len(alphabet) + 1.0)
@@ -139,7 +144,7 @@ def build(counts: pd.DataFrame) -> Model:
         for order, level in enumerate(levels, 1):
             level = level.copy()
             level["context"] = level["gram"].str.slice(0, -1)
-            ones, twos = (level["n"] == 1).sum(), (level["n"] == 2).sum()
+            ones, twos = rare[lang] if order == ORDER and rare and lang in rare else ((level["n"] == 1).sum(), (level["n"] == 2).sum())
             discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
             total, kinds = level.groupby("context")["n"].transform("sum"), level.groupby("context")["n"].transform("size")
             base = np.exp(floor) if lower is None else level["gram"].str.slice(1).map(lower).to_numpy()
@@ -198,18 +203,30 @@ def parts(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
 
 
 def sample_of(df: DataFrame, sample_docs: int) -> DataFrame:
-    """About ``sample_docs`` documents a language, by hash of the id; columns ``doc_id``, ``text``, ``lang``, ``part`` (0..1)."""
-    sizes = df.groupBy("lang").count().withColumnsRenamed({"count": "n", "lang": "l"})
+    """About ``sample_docs`` documents a language, by hash of the id; columns ``doc_id``, ``text``, ``lang``, ``part`` (0..1; 0 for all
+    of a language with few documents)."""
     h = F.pmod(F.xxhash64(F.lit("lang-sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = df.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"), F.min(h).alias("lowest"))
     share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n"))
-    return df.join(F.broadcast(sizes), df["lang"] == sizes["l"]).withColumn("h", h).where(F.col("h") < share).select("doc_id", "text", "lang", (F.col("h") / share).alias("part"))
+    few = (F.col("n") < SPARE_FROM) | (F.col("lowest") >= 0.8 * share)
+    return df.join(F.broadcast(sizes), df["lang"] == sizes["l"]).withColumn("h", h).where(F.col("h") < share).select("doc_id", "text", "lang", F.when(few, 0.0).otherwise(F.col("h") / share).alias("part"))
+
+
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """N-grams of each language in a model of ``most``: small languages keep all, and what they leave is for the larger ones."""
+    out, left = {}, most
+    for k, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[lang] = min(sizes[lang], max(LEAST_GRAMS, left // (len(sizes) - k)))
+        left = max(0, left - out[lang])
+    return out
 
 
 def fit(df: DataFrame, sample_docs: int = 4000, max_cells: int = 8_000_000) -> Model | None:
     """Fit on ``doc_id``, ``text``, ``lang`` (no nulls); ``None`` without any letters to learn from.
 
-    Four fifths of the sample are counted, one fifth calibrates the rejection limits. Of more than
-    ``max_cells / languages / 2`` different n-grams the most frequent ones are kept.
+    Four fifths of the sample are counted, one fifth calibrates the rejection limits; all documents of a language with few are
+    counted, and it has no limit. Where the languages have more than ``max_cells / languages / 2`` n-grams together, the most
+    frequent ones of each are kept, up to its share.
     """
     sample = sample_of(df, sample_docs)
 
@@ -228,12 +245,20 @@ def fit(df: DataFrame, sample_docs: int = 4000, max_cells: int = 8_000_000) -> M
                     text = points.astype("<u4").tobytes().decode("utf-32-le", "replace")
                     yield pd.DataFrame({"lang": lang, "gram": [text[i : i + ORDER] for i in at], "n": n})
 
-    languages = max(1, df.select("lang").distinct().count())
-    counted = sample.where("part < 0.8").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "lang", "gram").limit(max(1000, max_cells // languages // 2)).toPandas()
-    if top.empty:
+    counted = written(sample.where("part < 0.8").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    sizes = {r["lang"]: r for r in counted.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
+    if not sizes:
         return None
-    model = build(top)
+    share = shares({x: r["all"] for x, r in sizes.items()}, max_cells // len(sizes) // 2)
+    cut = [x for x in sizes if share[x] < sizes[x]["all"]]
+    top = counted.where(~F.col("lang").isin(cut)) if cut else counted
+    if cut:
+        of_each = counted.sparkSession.createDataFrame([(x, share[x]) for x in cut], "lang string, share long")
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+        # the constant bound lets tasks drop rows before they are dealt out
+        most = counted.withColumn("nth", nth).where(F.col("nth") <= max(share[x] for x in cut)).join(F.broadcast(of_each), "lang").where("nth <= share")
+        top = top.unionByName(most.select("lang", "gram", "n"))
+    model = build(top.toPandas(), {x: (sizes[x]["ones"], sizes[x]["twos"]) for x in cut})
     held = classify(sample.where("part >= 0.8"), model, keep=["lang"])
     q = held.where("lang = lang_pred").groupBy("lang").agg(F.avg("adjusted").alias("m"), F.percentile_approx("adjusted", 0.999).alias("q"))
     model.limits = {r["lang"]: (r["m"], r["m"] + 1.5 * (r["q"] - r["m"]) + 0.25) for r in q.collect()}

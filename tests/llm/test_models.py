@@ -1,5 +1,6 @@
 """Language models, language identification and the quality classifier: brute force and held-out accuracy."""
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -117,6 +118,25 @@ def test_language_id(spark, odd, odd_rows, none):
     assert language_id.fit(language_id.training_rows(none.withColumn("lang", F.lit("x")))) is None
 
 
+def test_every_language_has_its_share(spark):
+    rnd = random.Random(12)
+    small = lambda c: " ".join("".join(rnd.choice(c) for _ in range(4)) for _ in range(40))
+    big = ["".join(chr(0x4E00 + rnd.randrange(300)) for _ in range(400)) for _ in range(60)] * 5
+    rows = [(k, t, "big") for k, t in enumerate(big)] + [(1000 + k, small("rstu"), "zz") for k in range(3)] + [(2000 + k, small("abcd"), "aa") for k in range(25)]
+    # one document, hashed to the part that calibrates
+    h = F.pmod(F.xxhash64(F.lit("lang-sample"), "id"), F.lit(1 << 30))
+    last = spark.range(3000, 4000).where(h > 0.9 * (1 << 30)).first().id
+    rows.append((last, small("wxyz"), "one"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, max_cells=4 * 2 * 6000)
+    assert model.langs == ["aa", "big", "one", "zz"]
+    out = {r.doc_id: r.lang_pred for r in language_id.classify(docs, model).collect()}
+    assert all(out[i] == lang for i, _, lang in rows)
+    assert "one" not in model.limits and "zz" not in model.limits
+    assert language_id.shares({"a": 10, "b": 5000, "c": 90_000, "d": 70_000}, 45_010) == {"a": 10, "b": 5000, "d": 20_000, "c": 20_000}
+    assert set(language_id.shares({str(k): 5000 for k in range(50)}, 1000).values()) == {language_id.LEAST_GRAMS}
+
+
 def test_language_model_sums_to_one(spark):
     docs = table(spark, SF, "documents").limit(60)
     model = language_id.fit(language_id.training_rows(docs))
