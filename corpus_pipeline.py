@@ -27,11 +27,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays, once even where its row repeats. Rows without an id are not compared and stay."""
-    stay = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    nth = "__nth"
-    named = docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
+    """The document with the smallest id of each class stays, once even where its row repeats. Different texts under one id are
+    documents of their own here, so that none goes that is like no other. Rows without an id are not compared and stay."""
+    key, nth = "__key", "__nth"
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", "text"))
+    classes = near_dedup.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias("k"), "group_id").distinct()
+    first = classes.join(keyed.select("doc_id", F.col(key).alias("k")), "k").groupBy("group_id").agg(F.min(F.struct("doc_id", "k")).alias("first"))
+    one = Window.partitionBy(key, "doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [key])
+    stay = first.select(F.col("first.k").alias("stays"))
+    named = keyed.join(stay, F.col(key) == F.col("stays"), "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth, key)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

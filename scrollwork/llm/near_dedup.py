@@ -5,7 +5,8 @@ a Poisson process whose rate is its weight; each register keeps the shingle of i
 processes stop once they are later than all its registers. Two registers agree with the probability Jaccard similarity J_P,
 which is the plain Jaccard similarity where no shingle repeats.
 
-1. Documents with equal weighted sets are one: the smallest id stands for them from here on.
+1. Documents with equal weighted sets are one: the smallest id stands for them from here on. Rows of one id with different
+   sets are linked.
 2. Registers are banded, and documents that share a band meet in a bucket. Each is paired with the bucket's pivot, the member
    that shares the most bands with others: the original of many edited copies shares bands with all of them, while two
    copies may have little in common.
@@ -176,7 +177,7 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     members = buckets(equal.select(F.col("rep").alias("doc"), "bands"))
     texts = written(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
     links = _linked(_star(members), texts, similarity)
-    roots = components(links)
+    roots = components(links.unionByName(_one_id(signed, equal)))
 
     crowd = written(_mixed(members, roots).select(F.col("doc").alias("doc_id")).distinct(), "crowd")
     if not crowd.isEmpty():
@@ -191,6 +192,12 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     return each.join(classes, ["digest", "salt"]).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
 
+def _one_id(signed: DataFrame, equal: DataFrame) -> DataFrame:
+    """Links from each id with different sets to what stands for them."""
+    several = signed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    return signed.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(equal.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def _star(members: DataFrame) -> DataFrame:
     return members.where("doc <> pivot").select("doc", "pivot").distinct()
 
@@ -226,19 +233,21 @@ def _outsiders(members: DataFrame, roots: DataFrame, texts: DataFrame, similarit
     if open_rows.isEmpty():
         return roots
     far = verified(_star(open_rows).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
+    # ids with several texts have a range of distances
+    far = far.groupBy("doc", "pivot").agg(F.min("far").alias("far"), F.max("far").alias("far_to"))
     state = written(open_rows.join(far, ["doc", "pivot"]), "open-state")
     used, step = None, 32
     while True:
         out = state.where("root <> pivot_root")
         if used is not None:
             out = out.join(used, ["key", "doc"], "left_anti")
-        picks = [F.min(F.struct(F.xxhash64(F.lit(step + s), "doc").alias("h"), "doc", "far", "root")).alias(f"p{s}") for s in range(step)]
-        chosen = out.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{s}.doc", f"p{s}.far", f"p{s}.root") for s in range(step)]))).alias("p"))
-        chosen = written(chosen.select("key", "p.doc", "p.far", "p.root"), "pivots")
+        picks = [F.min(F.struct(F.xxhash64(F.lit(step + s), "doc").alias("h"), "doc", "far", "far_to", "root")).alias(f"p{s}") for s in range(step)]
+        chosen = out.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{s}.doc", f"p{s}.far", f"p{s}.far_to", f"p{s}.root") for s in range(step)]))).alias("p"))
+        chosen = written(chosen.select("key", "p.doc", "p.far", "p.far_to", "p.root"), "pivots")
         if chosen.isEmpty():
             return roots
-        p = chosen.select("key", F.col("doc").alias("by"), F.col("far").alias("by_far"), F.col("root").alias("by_root"))
-        pairs = state.join(p, "key").where((F.col("root") != F.col("by_root")) & (F.abs(F.col("far") - F.col("by_far")) <= limit))
+        p = chosen.select("key", F.col("doc").alias("by"), F.col("far").alias("by_far"), F.col("far_to").alias("by_far_to"), F.col("root").alias("by_root"))
+        pairs = state.join(p, "key").where((F.col("root") != F.col("by_root")) & (F.col("far") - F.col("by_far_to") <= limit) & (F.col("by_far") - F.col("far_to") <= limit))
         # two pivots of a bucket meet once, not from either side
         pairs = pairs.select(F.greatest("doc", "by").alias("doc"), F.least("doc", "by").alias("pivot")).distinct()
         new = _linked(pairs, texts, similarity)
@@ -247,7 +256,7 @@ def _outsiders(members: DataFrame, roots: DataFrame, texts: DataFrame, similarit
         used = chosen.select("key", "doc") if used is None else used.unionByName(chosen.select("key", "doc"))
         # only buckets with further outsiders go on
         left = out.join(chosen.select("key", "doc"), ["key", "doc"], "left_anti").select("key").distinct()
-        state = written(_rooted(state.select("key", "doc", "pivot", "far").join(left, "key", "left_semi"), roots), "open-state")
+        state = written(_rooted(state.select("key", "doc", "pivot", "far", "far_to").join(left, "key", "left_semi"), roots), "open-state")
         step = min(2 * step, 64)
 
 

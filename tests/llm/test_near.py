@@ -93,6 +93,19 @@ def test_near_duplicates(spark, odd_rows, which):
     assert all(r.kept == (r.doc_id == r.group_id) for r in got)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rnd = random.Random(13)
+    rows = near_rows()
+    texts = [t for _, t in rows]
+    rows += [(i, rnd.choice(texts)) for i, _ in rnd.sample(rows, 12)] + [(20_000 + k % 4, f"alone {k} " + " ".join(str(rnd.random()) for _ in range(9))) for k in range(12)]
+    rows += [(5, texts[0]), (3, texts[0]), (5, "stands nowhere else at all"), (9, "stands nowhere else at all")]
+    got = near_duplicates(frame(spark, rows)).collect()
+    want = near_brute(rows)
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert not [r for r in got if r.group_id != want[r.doc_id] or r.kept != (r.doc_id == r.group_id)]
+    assert want[9] == want[3]
+
+
 def test_near_empty(none):
     assert near_duplicates(none).count() == 0
 

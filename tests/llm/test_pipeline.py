@@ -69,6 +69,14 @@ def test_stages(spark, docs):
     assert used.where("n > 2048 OR n <> end").count() == 0
 
 
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (5, b), (7, b + " more"), (8, c), (8, "short"), (2, c), (6, None), (6, "x y"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(rows_of(corpus_pipeline.drop_near_duplicates(spark, docs, SF)))
+    assert got == Counter([(3, a), (5, b), (8, "short"), (2, c), (6, None), (6, "x y"), (None, a)])
+
+
 def test_empty(spark, docs):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
