@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -251,27 +253,28 @@ def budget_cap(candidates: DataFrame, max_tokens: int = 2000, max_chunks: int =
 
 
 def _keyword_stage(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Keyword candidates of each query: its packs one after the other, up to ``k`` chunks each, then only its chunk types.
+    """Keyword candidates of each query among chunks of its types: its packs one after the other, up to ``k`` chunks each.
 
     A query without packs searches all of them together; without types all types count.
     """
-    own = queries.select("query_id", "keywords", "pack_ids") if "pack_ids" in queries.columns else None
-    if own is None:
-        found = keyword_search(queries, chunks, k).select("query_id", "chunk_id", "rank")
-    else:
-        some = F.coalesce(F.size("pack_ids"), F.lit(0)) > 0
-        each = own.filter(some).select("query_id", "keywords", F.posexplode("pack_ids").alias("place", "pack_id"))
-        # one search per query and pack, so that ranks and limits are the pack's own
-        each = each.select(F.struct("query_id", "place").alias("query_id"), "keywords", "pack_id")
-        packed = keyword_search(each, chunks, k, within=["pack_id"])
-        packed = packed.select("query_id.query_id", "chunk_id", (F.col("query_id.place") * k + F.col("rank")).alias("rank"))
-        found = packed.unionByName(keyword_search(own.filter(~some), chunks, k).select("query_id", "chunk_id", "rank"))
-    if "chunk_types" in queries.columns:
-        types = queries.select("query_id", "chunk_types")
-        kind = F.coalesce(F.size("chunk_types"), F.lit(0)) == 0
-        found = found.join(types, "query_id").join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
-        found = found.filter(kind | F.array_contains("chunk_types", F.col("chunk_type"))).select("query_id", "chunk_id", "rank")
-    return found
+    given = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    own = queries.select("query_id", "keywords", *[c for c in ("pack_ids", "chunk_types") if c in queries.columns])
+    sides = [(own, [])]
+    if "chunk_types" in own.columns:
+        # a chunk has one type, so it comes once in the ranking over all types of a query
+        typed = own.filter(given("chunk_types")).withColumn("chunk_type", F.explode(F.array_distinct("chunk_types")))
+        sides = [(own.filter(~given("chunk_types")), []), (typed, ["chunk_type"])]
+    found = []
+    for side, within in sides:
+        if "pack_ids" in own.columns:
+            each = side.filter(given("pack_ids")).select("query_id", "keywords", *within, F.posexplode("pack_ids").alias("place", "pack_id"))
+            # one search per query and pack, so that ranks and limits are the pack's own
+            each = each.select(F.struct("query_id", "place").alias("query_id"), "keywords", "pack_id", *within)
+            packed = keyword_search(each, chunks, k, within=["pack_id", *within])
+            found.append(packed.select("query_id.query_id", "chunk_id", (F.col("query_id.place") * k + F.col("rank")).alias("rank")))
+            side = side.filter(~given("pack_ids"))
+        found.append(keyword_search(side, chunks, k, within=within).select("query_id", "chunk_id", "rank"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def retrieve(

@@ -56,3 +56,15 @@ def test_retrieve_keeps_to_the_packs_and_types_of_a_query(spark):
     for r in retrieval.retrieve(queries, chunks).orderBy("query_id", "place").collect():
         got.setdefault(r.query_id, []).append(r.chunk_id)
     assert got == {"one": [0, 2], "two": [3, 0], "all": [0, 1, 3]}
+
+
+def test_types_are_filtered_before_the_limit(spark):
+    rows = [(f"c{k:03}", "p", "dragon " * (1 + k % 3), f"f{k}", "lore", [], 10) for k in range(80)]
+    rows += [(f"d{k}", "p", "a dragon far away in a long sentence about many other things " * 3, f"g{k}", "npc", [], 10) for k in range(3)] + [("e0", "q", "one dragon of many words here", "h", "item", [], 10)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, pack_id string, content string, file_path string, chunk_type string, entity_refs array<string>, token_estimate int")
+    q = [("packs", ["dragon"], [], ["p"], ["npc"]), ("all", ["dragon"], [], [], ["npc", "item", "npc"]), ("any", ["dragon"], [], ["q"], [])]
+    queries = spark.createDataFrame(q, "query_id string, keywords array<string>, entity_ids array<string>, pack_ids array<string>, chunk_types array<string>")
+    got = {}
+    for r in retrieval.retrieve(queries, chunks, max_chunks=5).collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert {k: sorted(v) for k, v in got.items()} == {"packs": ["d0", "d1", "d2"], "all": ["d0", "d1", "d2", "e0"], "any": ["e0"]}
