@@ -118,7 +118,11 @@ def keyword_search(
     # by chunk, so that the (query, chunk) sums below need no further shuffle
     hits = phrase_hits(phrases, chunks, key, col, lengths, within).repartition(key)
     freq = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    size = corpus_size(chunks, col)
+    return rank_hits(hits, phrases, freq, corpus_size(chunks, col), key, within, k)
+
+
+def rank_hits(hits: DataFrame, phrases: DataFrame, freq: DataFrame, size: DataFrame, key: str, within: list[str], k: int) -> DataFrame:
+    """BM25 of ``hits(phrase, key, within, length, tf)``: the best ``k`` of each query. ``freq(phrase, df)``, ``size(n, mean_length)``: one row."""
     n, mean = size.select("n").scalar(), size.select("mean_length").scalar()
     weights = freq.select("phrase", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.IDF_FLOOR)).alias("idf"))
     terms = phrases.join(weights, "phrase")
@@ -186,9 +190,6 @@ def _best(qids, q, ids, v, coll, n):
     return out
 
 
-_HIT = "query_id long, collection string, item_id long, similarity double"
-
-
 def vector_search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Exact cosine top ``n`` per query and collection.
 
@@ -198,6 +199,7 @@ def vector_search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFram
     every item block once.
     """
     items = items.select("item_id", "vector", F.col("collection").cast("string").alias("collection"))
+    hit = f"query_id {dict(queries.dtypes)['query_id']}, collection string, item_id {dict(items.dtypes)['item_id']}, similarity double"
     if small_enough(queries, VECTOR_QUERY_ROWS):
         got = queries.select("query_id", "vector").toPandas()
         send = queries.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), _unit(got["vector"]) if len(got) else None))
@@ -209,7 +211,7 @@ def vector_search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFram
                     if len(qids):
                         yield from _best(qids, q, part["item_id"].to_numpy(), _unit(part["vector"]), coll, n)
 
-        hits = items.mapInPandas(scan, _HIT)
+        hits = items.mapInPandas(scan, hit)
     else:
         q_blocks = max(1, -(-queries.count() // VECTOR_QUERY_ROWS))
         i_blocks = max(1, -(-items.count() // VECTOR_ITEM_ROWS))
@@ -222,7 +224,7 @@ def vector_search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFram
                 for r in batch.itertuples(index=False):
                     yield from _best(np.asarray(r.q_ids), _unit(r.q_vecs), np.asarray(r.i_ids), _unit(r.i_vecs), r.collection, n)
 
-        hits = pairs.select("collection", "q_ids", "q_vecs", "i_ids", "i_vecs").mapInPandas(score, _HIT)
+        hits = pairs.select("collection", "q_ids", "q_vecs", "i_ids", "i_vecs").mapInPandas(score, hit)
     w = W.partitionBy("query_id", "collection").orderBy(F.desc("similarity"), F.asc("item_id"))
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
@@ -252,11 +254,18 @@ def budget_cap(candidates: DataFrame, max_tokens: int = 2000, max_chunks: int =
     return top.withColumn("tokens_used", run).filter((F.col("place") == 1) | (F.col("tokens_used") <= max_tokens))
 
 
-def _keyword_stage(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def _keyword_stage(queries: DataFrame, chunks: DataFrame, k: int, index: str | None = None) -> DataFrame:
     """Keyword candidates of each query among chunks of its types: its packs one after the other, up to ``k`` chunks each.
 
     A query without packs searches all of them together; without types all types count.
     """
+    def search(side: DataFrame, within: list[str]) -> DataFrame:
+        if index is None:
+            return keyword_search(side, chunks, k, within=within)
+        from scrollwork.operators import text_index
+
+        return text_index.search_index(side, index, k, within)
+
     given = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     own = queries.select("query_id", "keywords", *[c for c in ("pack_ids", "chunk_types") if c in queries.columns])
     sides = [(own, [])]
@@ -270,26 +279,39 @@ def _keyword_stage(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
             each = side.filter(given("pack_ids")).select("query_id", "keywords", *within, F.posexplode("pack_ids").alias("place", "pack_id"))
             # one search per query and pack, so that ranks and limits are the pack's own
             each = each.select(F.struct("query_id", "place").alias("query_id"), "keywords", "pack_id", *within)
-            packed = keyword_search(each, chunks, k, within=["pack_id", *within])
+            packed = search(each, ["pack_id", *within])
             found.append(packed.select("query_id.query_id", "chunk_id", (F.col("query_id.place") * k + F.col("rank")).alias("rank")))
             side = side.filter(~given("pack_ids"))
-        found.append(keyword_search(side, chunks, k, within=within).select("query_id", "chunk_id", "rank"))
+        found.append(search(side, within).select("query_id", "chunk_id", "rank"))
     return reduce(DataFrame.unionByName, found)
 
 
+def _vector_stage(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    packs = queries.where("vector IS NOT NULL").select("query_id", F.posexplode("pack_ids").alias("place", "collection"))
+    found = vector_search(queries.where("vector IS NOT NULL").select("query_id", "vector"), items.join(packs.select("collection").distinct(), "collection", "left_semi"), k)
+    return found.join(packs, ["query_id", "collection"]).select("query_id", F.col("item_id").alias("chunk_id"), (F.col("place") * k + F.col("rank")).alias("rank"))
+
+
 def retrieve(
     queries: DataFrame, chunks: DataFrame, manifest: DataFrame | None = None, vectors: DataFrame | None = None,
-    max_tokens: int = 2000, max_chunks: int = 15,
+    max_tokens: int = 2000, max_chunks: int = 15, index: str | None = None, items: DataFrame | None = None,
 ) -> DataFrame:
-    """All stages: manifest, keywords, references, then an outside vector ranking, under a budget."""
+    """All stages: manifest, keywords, references, then vectors, under a budget.
+
+    With ``index`` (a path of ``text_index``) keywords are looked up there and no chunk text is read. Vectors come as an outside
+    ranking (``vectors``), or from ``items(item_id, vector, collection)``: each pack that a query declares is a collection of its
+    own, searched for ``max_chunks`` chunks, one pack after the other; a query without packs or vector finds none.
+    """
     stages = []
     if manifest is not None:
         stages.append(manifest_lookup(queries, manifest, max_chunks))
-    stages.append(_keyword_stage(queries, chunks, 2 * max_chunks))
+    stages.append(_keyword_stage(queries, chunks, 2 * max_chunks, index))
     if "pack_ids" in queries.columns:
         stages.append(ref_search(queries, chunks, max_chunks))
     if vectors is not None:
         stages.append(vectors.select("query_id", "chunk_id", "rank"))
+    if items is not None:
+        stages.append(_vector_stage(queries, items, max_chunks))
     merged = merge_candidates(*stages).join(chunks.select("chunk_id", "token_estimate"), "chunk_id")
     return budget_cap(merged, max_tokens, max_chunks)
 
