@@ -274,12 +274,8 @@ def trust_changes(actions: DataFrame) -> DataFrame:
     return d.filter(F.col("delta").isNotNull()).select(*KEYS, F.lit("player").alias("a_id"), F.col("target").alias("b_id"), F.lit("trust").alias("rel_type"), F.col("delta").cast("bigint").alias("delta"))
 
 
-def situation_intervals(actions: DataFrame, order: list[str], span: Column, conditions=fixed.CONDITION_OF, cleared=fixed.CLEARED_BY) -> DataFrame:
-    """Intervals during which a condition holds.
-
-    A failed verb opens its condition, a hard failure raises it, a matching success ends it.
-    Counting the endings before each row numbers the intervals, so no walk is needed.
-    """
+def condition_rows(actions: DataFrame, order: list[str], conditions=fixed.CONDITION_OF, cleared=fixed.CLEARED_BY) -> DataFrame:
+    """``campaign_id, *order, __ends, __hard, condition``: what each action opens, raises or ends."""
     verb = F.lower("action")
     good = F.col("outcome").isin("success", "critical", "mixed")
     empty = F.array().cast("array<string>")
@@ -290,7 +286,16 @@ def situation_intervals(actions: DataFrame, order: list[str], span: Column, cond
         ends = F.when(verb == v, names).otherwise(ends)
     which = F.when(good, ends).when(F.col("outcome").isin("failure", "botch") & opens.isNotNull(), F.array(opens)).otherwise(empty)
     rows = actions.withColumn("__ends", good).withColumn("__hard", F.col("tier") >= 2)
-    rows = rows.select("campaign_id", *order, "__ends", "__hard", F.explode(which).alias("condition"))
+    return rows.select("campaign_id", *order, "__ends", "__hard", F.explode(which).alias("condition"))
+
+
+def situation_intervals(actions: DataFrame, order: list[str], span: Column, conditions=fixed.CONDITION_OF, cleared=fixed.CLEARED_BY) -> DataFrame:
+    """Intervals during which a condition holds.
+
+    A failed verb opens its condition, a hard failure raises it, a matching success ends it.
+    Counting the endings before each row numbers the intervals, so no walk is needed.
+    """
+    rows = condition_rows(actions, order, conditions, cleared)
     keys = ["campaign_id", "condition"]
     n = ordered.add_running_sum(rows, keys, order, span, {"__n": F.col("__ends").cast("int")})
     n = n.withColumn("interval_no", F.col("__n") - F.col("__ends").cast("int"))

@@ -1,16 +1,18 @@
-"""The log as a stream, run to its present end; every job's result equals a batch statement."""
+"""The log as a stream; every job's result equals a batch statement.
+
+Folds with state get the log in several deliveries. For each one the query is started again and goes on from its checkpoint, so
+there are at least as many micro-batches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrollwork.functions import ordered
-from scrollwork.plans import bind
-from scrollwork.plans.log_jobs import ORDER, SPAN, TRIGGERS_SQL, WALK, counters, k, triggers
+from scrollwork.operators import log
+from scrollwork.plans.log_jobs import ORDER, TRIGGERS_SQL, WALK, counters, k, triggers
 from scrollwork.plans.registry import job, table
-from scrollwork.plans.view_jobs import VERBS, acts
 from scrollwork.session import scratch
-from scrollwork.streaming import jobs as S
+from scrollwork.streaming import jobs as S, keyed
 
 
 def stream(spark, sf):
@@ -25,6 +27,30 @@ def finish(query):
         raise query.exception()
 
 
+DELIVERIES = 3
+
+
+def delivery(spark, sf, n):
+    """Equal stretches of the log's time."""
+    lo, hi = table(spark, sf, "events").select(F.min("ts").cast("timestamp").alias("lo"), F.max("ts").cast("timestamp").alias("hi")).select(F.unix_micros("lo"), F.unix_micros("hi")).first()
+    return F.expr(f"(unix_micros(cast(ts as timestamp)) - {lo or 0}) * {n} div {(hi or 0) - (lo or 0) + 1}")
+
+
+def in_deliveries(spark, sf, name, start, arrival=None, n=DELIVERIES):
+    """Write one delivery after the other and run ``start(stream, path)`` on what has come; returns the path."""
+    events, folder, path = table(spark, sf, "events"), scratch(spark, f"{name}-in"), scratch(spark, name)
+    when = delivery(spark, sf, n) if arrival is None else arrival
+    for i in range(n):
+        events.where(when == i).write.mode("append").parquet(folder)
+        finish(start(S.read_log(spark, folder, events.schema).withColumn("ts", F.col("ts").cast("timestamp")), path))
+    return path
+
+
+def keyed_append(rows, path):
+    spark = rows.sparkSession
+    return keyed.append_to(rows, path, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def as_log(e):
     sign = F.when(F.col("event_type").isin("error", "view"), -1).otherwise(1)
     delta = (F.floor(F.col("value") / 50) * sign).cast("bigint")
@@ -55,39 +81,50 @@ def stream_rejected(spark, sf):
 
 @job(f"WITH RECURSIVE {WALK} SELECT campaign_id, counter, event_id, threshold FROM st JOIN {TRIGGERS_SQL} USING (counter) WHERE old_value < threshold AND threshold <= new_value")
 def stream_counters(spark, sf):
-    path = scratch(spark, "counters")
-    finish(S.fold_stream(as_log(stream(spark, sf)), path, S.counter_step(counters(spark, sf), triggers(spark, sf), ORDER, SPAN)))
-    return S.read_output(spark, path, "crossings").select("campaign_id", "counter", "event_id", "threshold")
+    path = in_deliveries(spark, sf, "counters", lambda e, p: keyed_append(keyed.counters(as_log(e), counters(spark, sf), ORDER), p))
+    return log.crossings(spark.read.parquet(f"{path}/out/rows"), triggers(spark, sf)).select("campaign_id", "counter", "event_id", "threshold")
 
 
 @job("""WITH g AS (SELECT user_id, event_id, ts, event_type, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
 s AS (SELECT user_id, event_id, event_type, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, b ORDER BY ts, event_id) AS streak FROM g)
 SELECT user_id AS campaign_id, event_id, streak, CASE WHEN streak >= 3 THEN 'threat_resolved' WHEN streak = 2 THEN 'warning' END AS alert FROM s WHERE event_type = 'error'""")
 def stream_streaks(spark, sf):
-    e = stream(spark, sf)
     out = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success")
-    path = scratch(spark, "streaks")
-    finish(S.fold_stream(e.select(F.col("user_id").alias("campaign_id"), "ts", "event_id", out.alias("outcome")), path, S.streak_step(ORDER, SPAN)))
-    return S.read_output(spark, path, "streaks").select("campaign_id", "event_id", "streak", "alert")
-
-
-SIT = """ev AS (SELECT user_id AS c, event_id AS o, 'exposed' AS cond, value > 100 AS hard, FALSE AS e FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, event_id, 'exposed', FALSE, TRUE FROM events WHERE event_type = 'purchase'),
-g AS (SELECT *, count(*) FILTER (e) OVER (PARTITION BY c ORDER BY o) - e::INTEGER AS n FROM ev),
-iv AS (SELECT c, n, min(o) FILTER (NOT e) AS opened, min(o) FILTER (e) AS closed, coalesce(bool_or(hard) FILTER (NOT e), FALSE) AS hard FROM g GROUP BY c, n)"""
+    rows = lambda e: e.select(F.col("user_id").alias("campaign_id"), "ts", "event_id", out.alias("outcome"))
+    path = in_deliveries(spark, sf, "streaks", lambda e, p: keyed_append(keyed.streaks(rows(e), ORDER), p))
+    return spark.read.parquet(f"{path}/out/rows").select("campaign_id", "event_id", "streak", "alert")
 
 
-@job(f"WITH {SIT} SELECT c AS campaign_id, 'exposed' AS condition, opened, closed, hard FROM iv WHERE opened IS NOT NULL AND closed IS NOT NULL")
-def stream_situations(spark, sf):
-    e = stream(spark, sf)
+def exposures(e):
+    """An error fails to sneak, a purchase hides."""
     err = F.col("event_type") == "error"
-    rows = e.filter(F.col("event_type").isin("error", "purchase")).select(
+    return e.filter(F.col("event_type").isin("error", "purchase")).select(
         F.col("user_id").alias("campaign_id"), F.when(err, "sneak").otherwise("hide").alias("action"), F.when(err, "failure").otherwise("success").alias("outcome"),
-        F.when(F.col("value") > 100, 2).otherwise(0).alias("tier"), "event_id",
+        F.when(F.col("value") > 100, 2).otherwise(0).alias("tier"), "ts", "event_id",
     )
-    path = scratch(spark, "situations")
-    finish(S.fold_stream(rows, path, S.situation_step("event_id", lambda: ordered.steps("event_id", 20_000), {"exposed": "sneak"})))
-    out = S.read_output(spark, path, "intervals").filter("condition = 'exposed'")
-    return out.select("campaign_id", "condition", "opened", "closed", "hard")
+
+
+SIT = """WITH RECURSIVE ev AS (SELECT user_id AS c, epoch_us(ts) AS us, event_id AS o, event_type = 'purchase' AS e, event_type = 'error' AND value > 100 AS sharp,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('error', 'purchase')),
+walk AS (SELECT DISTINCT c, 0::BIGINT AS n, NULL::BIGINT AS opened, NULL::BIGINT AS began, FALSE AS hard, NULL::BIGINT AS d_opened, NULL::BIGINT AS d_closed, FALSE AS d_hard, NULL::VARCHAR AS reason FROM ev
+  UNION ALL SELECT c, n + 1, CASE WHEN e THEN NULL WHEN fresh THEN o ELSE opened END, CASE WHEN fresh THEN us ELSE began END, CASE WHEN fresh THEN sharp ELSE hard OR sharp END,
+    CASE WHEN t OR e THEN opened END, CASE WHEN e AND NOT t THEN o END, hard, CASE WHEN t THEN 'timeout' WHEN e AND opened IS NOT NULL THEN 'cleared' END
+  FROM (SELECT *, opened IS NULL OR t AS fresh FROM (SELECT w.*, v.us, v.o, v.e, v.sharp, opened IS NOT NULL AND v.us - began >= {timeout} AS t FROM walk w JOIN ev v ON v.c = w.c AND v.n = w.n + 1))),
+done AS (SELECT c AS campaign_id, 'exposed' AS condition, d_opened AS opened, d_closed AS closed, d_hard AS hard, reason FROM walk WHERE reason IS NOT NULL)"""
+
+
+@job(SIT.format(timeout=1 << 60) + " SELECT campaign_id, condition, opened, closed, hard FROM done")
+def stream_situations(spark, sf):
+    path = in_deliveries(spark, sf, "situations", lambda e, p: keyed_append(keyed.situations(exposures(e), "ts", "event_id"), p))
+    return spark.read.parquet(f"{path}/out/rows").filter("condition = 'exposed'").select("campaign_id", "condition", "opened", "closed", "hard")
+
+
+@job(SIT.format(timeout=2 * 86_400_000_000) + """ SELECT * FROM done UNION ALL SELECT c, 'exposed', opened, NULL, hard, 'timeout' FROM walk w WHERE opened IS NOT NULL
+AND n = (SELECT max(n) FROM ev WHERE ev.c = w.c) AND began + 2 * 86400000000 < 1000 * (SELECT max(us) // 1000 - 86400000 FROM ev)""")
+def stream_situation_timeouts(spark, sf):
+    """An exposure ends after two days by itself: told by the next row of its key, or by a timer when the watermark has passed it."""
+    path = in_deliveries(spark, sf, "timeouts", lambda e, p: keyed_append(keyed.situations(exposures(e), "ts", "event_id", "1 day", 2 * 86_400), p))
+    return spark.read.parquet(f"{path}/out/rows").filter("condition = 'exposed'")
 
 
 @job("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS o FROM events),
@@ -103,32 +140,39 @@ def stream_sessions(spark, sf):
 
 @job("SELECT date_diff('day', TIMESTAMP '1970-01-01', ts)::BIGINT AS day, event_type, count(*) AS events FROM events GROUP BY ALL")
 def stream_type_counts(spark, sf):
-    path = scratch(spark, "counts")
-    finish(S.keep_latest(S.type_counts(stream(spark, sf), "ts", "1 day"), path, ["started", "ended", "event_type"], ["events"], "update"))
-    return S.read_state(spark, path, "latest").select(F.unix_date(F.col("started").cast("date")).cast("bigint").alias("day"), "event_type", "events")
+    path = in_deliveries(spark, sf, "counts", lambda e, p: S.upsert_changes(S.type_counts(e, "ts", "1 day"), p))
+    return S.read_changes(spark, path, ["started", "ended", "event_type"]).select(F.unix_date(F.col("started").cast("date")).cast("bigint").alias("day"), "event_type", "events")
 
 
 @job("""WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts) AS b, event_type FROM events)
 SELECT (epoch(s) // 3600)::BIGINT AS start_hour, event_type, count(*) AS events FROM (SELECT unnest([b, b - INTERVAL 12 HOUR]) AS s, event_type FROM w) GROUP BY ALL""")
 def stream_sliding_counts(spark, sf):
-    path = scratch(spark, "sliding")
-    finish(S.keep_latest(S.type_counts(stream(spark, sf), "ts", "1 day", "12 hours"), path, ["started", "ended", "event_type"], ["events"], "update"))
-    return S.read_state(spark, path, "latest").select(F.floor(F.unix_seconds("started") / 3600).alias("start_hour"), "event_type", "events")
+    path = in_deliveries(spark, sf, "sliding", lambda e, p: S.upsert_changes(S.type_counts(e, "ts", "1 day", "12 hours"), p))
+    return S.read_changes(spark, path, ["started", "ended", "event_type"]).select(F.floor(F.unix_seconds("started") / 3600).alias("start_hour"), "event_type", "events")
 
 
 @job("SELECT user_id AS campaign_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def stream_latest_state(spark, sf):
-    e = stream(spark, sf).select(F.col("user_id").alias("campaign_id"), "event_type", "ts", "event_id", "value")
-    path = scratch(spark, "latest")
-    finish(S.keep_latest(e, path, ["campaign_id", "event_type"], ["ts", "event_id"]))
-    return S.read_state(spark, path, "latest").drop("ts")
+    rows = lambda e: e.select(F.col("user_id").alias("campaign_id"), "event_type", "ts", "event_id", "value")
+    path = in_deliveries(spark, sf, "latest", lambda e, p: keyed_append(keyed.latest(rows(e), ["campaign_id", "event_type"], ORDER), p))
+    return keyed.newest(spark.read.parquet(f"{path}/out/rows"), ["campaign_id", "event_type"], ORDER).drop("ts")
+
+
+# ---- rows that come late: some a delivery late, some two ----
+
+LATE_SQL = """WITH sp AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events),
+a AS (SELECT event_id, user_id, epoch_us(ts) AS us, least(3, (epoch_us(ts) - lo) * 4 // (hi - lo + 1) + (event_id % 7 = 0)::INTEGER + (event_id % 21 = 0)::INTEGER) AS arrival FROM events, sp),
+m AS (SELECT p, 1000 * ((SELECT max(us) // 1000 FROM a WHERE arrival < p) - 3 * 86400000) AS mark FROM range(5) t(p)),
+j AS (SELECT a.*, coalesce(us < mark, FALSE) AS late FROM a JOIN m ON p = arrival),
+r AS (SELECT j.*, coalesce(us < (SELECT max(b.us) FROM j b WHERE b.user_id = j.user_id AND b.arrival < j.arrival AND NOT b.late), FALSE) AS behind FROM j)"""
 
 
-@job("""SELECT CASE WHEN ts < (SELECT max(ts) - INTERVAL 2 DAY FROM events) THEN 'released' ELSE 'buffered' END AS part, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL""")
+@job(f"""{LATE_SQL} SELECT user_id AS campaign_id, event_id, 'rejected' AS part, NULL::BIGINT AS place, FALSE AS reordered FROM r WHERE late
+UNION ALL SELECT user_id, event_id, 'released', row_number() OVER (PARTITION BY user_id ORDER BY us, event_id), behind FROM r WHERE NOT late AND us < (SELECT mark FROM m WHERE p = 4)""")
 def stream_late_rows(spark, sf):
-    path = scratch(spark, "late")
-    finish(S.fold_stream(stream(spark, sf).select("event_id", "ts", "user_id"), path, S.release_step("ts", "2 days")))
-    a = S.read_output(spark, path, "released").select(F.lit("released").alias("part"), "event_id")
-    b = S.read_output(spark, path, "rejected").select(F.lit("rejected").alias("part"), "event_id")
-    c = S.read_state(spark, path, "buffer").select(F.lit("buffered").alias("part"), "event_id")
-    return a.unionByName(b).unionByName(c).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+    """What a campaign's log gives out in order, what came too late, and by omission what still waits."""
+    lag = F.expr("if(event_id % 7 = 0, 1, 0) + if(event_id % 21 = 0, 1, 0)")
+    arrival = F.least(F.lit(3), delivery(spark, sf, 4) + lag)
+    rows = lambda e: e.select(F.col("user_id").alias("campaign_id"), "event_id", "ts")
+    path = in_deliveries(spark, sf, "late", lambda e, p: keyed_append(keyed.release(rows(e), "ts", "3 days", ["event_id"]), p), arrival, 4)
+    return spark.read.parquet(f"{path}/out/rows").select("campaign_id", "event_id", "part", "place", "reordered")

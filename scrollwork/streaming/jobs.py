@@ -1,24 +1,14 @@
-"""Structured Streaming jobs over the event log.
+"""Structured Streaming jobs over the event log: ingest, windows and sinks. Folds with state by key are in ``keyed``.
 
-Ordered folds run as micro-batches of the batch operators: ``fold_stream`` hands every
-micro-batch and the previous state table to a step and writes what the step returns. So
-stream and batch share their rules, rows are put in log order inside a micro-batch, and a
-campaign with a large share of the log is folded in blocks here as well. Windowed counts
-and de-duplication use Spark's own state with watermarks.
+Windowed counts and de-duplication use Spark's own state with watermarks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from scrollwork.functions import ordered
-from scrollwork.operators import actions as rules
 from scrollwork.operators import log
 
-Tables = dict[str, DataFrame]
-
 
 def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format("parquet")
@@ -33,151 +23,6 @@ def ingest(events: DataFrame, ts: str, event_id: str, required: list[str], late:
     return good.withWatermark(ts, late).dropDuplicatesWithinWatermark([event_id]), bad
 
 
-# ---- folds ----
-
-
-def _folder(path: str, kind: str, name: str, n: int) -> str:
-    return f"{path}/{kind}/{name}/batch={n:012d}"
-
-
-def fold_stream(rows: DataFrame, path: str, step: Callable[[DataFrame, Tables | None], tuple[Tables, Tables]]):
-    """Run ``step(batch, state) -> (outputs, state)`` for every micro-batch; returns the query.
-
-    Outputs and state of batch ``n`` go to folders of their own, and batch ``n`` starts from
-    the state of ``n - 1``; a batch that is run again after a failure writes the same folders.
-    """
-    names: list[str] = []
-
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        state = None
-        if n > 0:
-            if not names:
-                names.extend(_state_names(spark, path))
-            state = {s: spark.read.parquet(_folder(path, "state", s, n - 1)) for s in names}
-        outs, new = step(batch, state)
-        for name, df in outs.items():
-            df.write.mode("overwrite").parquet(_folder(path, "out", name, n))
-        for name, df in new.items():
-            df.write.mode("overwrite").parquet(_folder(path, "state", name, n))
-        names[:] = list(new)
-
-    return rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-
-
-def _state_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of the state tables of a restarted query."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/state")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p))
-
-
-def read_output(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/out/{name}").drop("batch")
-
-
-def read_state(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """State after the newest batch."""
-    every = spark.read.parquet(f"{path}/state/{name}")
-    return every.filter(F.col("batch") == every.agg(F.max("batch").alias("b")).select("b").scalar()).drop("batch")
-
-
-def counter_step(init: DataFrame, triggers: DataFrame, order: list[str], span: Callable[[], Column]):
-    """Live counters: steps, crossings, and the value of every counter as state."""
-
-    def step(batch: DataFrame, state: Tables | None):
-        values = state["values"] if state else init
-        steps = log.counter_steps(values, batch, order, span())
-        crossed = log.crossings(steps, triggers)
-        last = steps.groupBy("campaign_id", "counter").agg(F.max_by("new_value", F.struct(*order)).alias("__v"))
-        new = values.join(last, ["campaign_id", "counter"], "left").withColumn("value", F.coalesce("__v", F.col("value").cast("bigint")))
-        return {"steps": steps, "crossings": crossed}, {"values": new.drop("__v")}
-
-    return step
-
-
-def streak_step(order: list[str], span: Callable[[], Column], threshold: int = 3):
-    """Failures in a row at every failed turn, with its alert; a success resets."""
-
-    def step(batch: DataFrame, state: Tables | None):
-        keys = ["campaign_id"]
-        failed = F.coalesce((F.col("outcome") == "failure").cast("bigint"), F.lit(0))
-        d = ordered.add_running_sum(batch, keys, order, span(), {"__n": failed})
-        d = ordered.add_last_seen(d, keys, order, span(), F.when(F.col("outcome") == "success", F.col("__n")), "__won")
-        if state:
-            d = d.join(state["streaks"].withColumnRenamed("streak", "__old"), "campaign_id", "left")
-        else:
-            d = d.withColumn("__old", F.lit(0).cast("bigint"))
-        since = F.when(F.col("__won").isNotNull(), F.col("__n") - F.col("__won")).otherwise(F.col("__n") + F.coalesce("__old", F.lit(0)))
-        d = d.withColumn("streak", since.cast("bigint"))
-        alert = F.when(F.col("streak") >= threshold, "threat_resolved").when(F.col("streak") == threshold - 1, "warning")
-        out = d.filter("outcome = 'failure'").select("campaign_id", *order, "streak", alert.alias("alert"))
-        new = d.groupBy("campaign_id").agg(F.max_by("streak", F.struct(*order)).alias("streak"))
-        if state:
-            rest = state["streaks"].join(new.select("campaign_id"), "campaign_id", "left_anti")
-            new = new.unionByName(rest)
-        return {"streaks": out}, {"streaks": new}
-
-    return step
-
-
-def situation_step(order: str, span: Callable[[], Column], verb_of: dict[str, str], timeout: int | None = None):
-    """Intervals of conditions that have ended; open ones are the state.
-
-    An open interval re-enters the next micro-batch as the failure that opened it, by means of
-    ``verb_of`` (condition to a verb that causes it). With ``timeout``, an interval that has been
-    open for more turns than that at the end of a batch is closed as timed out.
-    """
-
-    def step(batch: DataFrame, state: Tables | None):
-        rows = batch.select("campaign_id", "action", "outcome", F.col("tier").cast("int").alias("tier"), order)
-        if state:
-            verb = F.lit(None).cast("string")
-            for cond, v in verb_of.items():
-                verb = F.when(F.col("condition") == cond, v).otherwise(verb)
-            again = state["open"].select(
-                "campaign_id", verb.alias("action"), F.lit("failure").alias("outcome"), F.when(F.col("hard"), 2).otherwise(0).alias("tier"), F.col("opened").alias(order)
-            )
-            rows = rows.unionByName(again)
-        got = rules.situation_intervals(rows, [order], span())
-        flat = got.select("campaign_id", "condition", F.col(f"opened.{order}").alias("opened"), F.col(f"closed.{order}").alias("closed"), "hard")
-        done = flat.filter("closed is not null").withColumn("reason", F.lit("cleared"))
-        live = flat.filter("closed is null")
-        if timeout is not None:
-            now = batch.agg(F.max(order).alias("m")).select("m").scalar()
-            old = now - F.col("opened") > timeout
-            done = done.unionByName(live.filter(old).withColumn("reason", F.lit("timeout")))
-            live = live.filter(~F.coalesce(old, F.lit(False)))
-        return {"intervals": done}, {"open": live.drop("closed")}
-
-    return step
-
-
-def release_step(ts: str, late: str):
-    """Hold rows back until the watermark passes them, so that late ones can be put in order.
-
-    Rows behind the previous watermark are rejected; released rows are complete up to the new one.
-    """
-
-    def step(batch: DataFrame, state: Tables | None):
-        pool, rejected = batch, batch.filter(F.lit(False))
-        mark = F.lit(None).cast(dict(batch.dtypes)[ts])
-        if state:
-            mark = state["mark"].select("mark").scalar()
-            behind = F.coalesce(F.col(ts) < mark, F.lit(False))
-            rejected = batch.filter(behind)
-            pool = batch.filter(~behind).unionByName(state["buffer"])
-        top = pool.agg((F.max(ts) - F.expr(f"interval {late}")).alias("m")).withColumn("mark", F.greatest(F.col("m"), mark)).select("mark")
-        limit = top.select("mark").scalar()
-        return (
-            {"released": pool.filter(F.col(ts) < limit), "rejected": rejected},
-            {"buffer": pool.filter(~F.coalesce(F.col(ts) < limit, F.lit(False))), "mark": top},
-        )
-
-    return step
-
-
 # ---- windows and latest state ----
 
 
@@ -194,31 +39,22 @@ def type_counts(events: DataFrame, ts: str, width: str, slide: str | None = None
     return g.select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "event_type", "events")
 
 
-def latest_step(keys: list[str], order: list[str]):
-    """Materialised latest row of every key: a micro-batch is reduced before it meets the state."""
-
-    def step(batch: DataFrame, state: Tables | None):
-        cols = [c for c in batch.columns if c not in keys]
-        last = lambda d: d.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("l")).select(*keys, "l.*")
-        new = last(batch)
-        return {}, {"latest": last(new.unionByName(state["latest"])) if state else new}
-
-    return step
-
-
-def keep_latest(rows: DataFrame, path: str, keys: list[str], order: list[str], mode: str = "append"):
-    """Upsert a stream (or an updating aggregate) into a latest-row table."""
-    step = latest_step(keys, order)
-    names = ["latest"]
+def upsert_changes(rows: DataFrame, path: str, mode: str = "update"):
+    """Write what each micro-batch has changed, and nothing else, to a folder of its own; a batch that is run again writes the same one."""
 
     def run(batch: DataFrame, n: int) -> None:
-        state = {s: batch.sparkSession.read.parquet(_folder(path, "state", s, n - 1)) for s in names} if n > 0 else None
-        _, new = step(batch, state)
-        new["latest"].write.mode("overwrite").parquet(_folder(path, "state", "latest", n))
+        batch.write.mode("overwrite").parquet(f"{path}/out/changes/batch={n:012d}")
 
     return rows.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
+def read_changes(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of every key."""
+    every = spark.read.option("basePath", f"{path}/out/changes").parquet(f"{path}/out/changes")
+    rest = [c for c in every.columns if c not in (*keys, "batch")]
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("l")).select(*keys, "l.*")
+
+
 def append_to(rows: DataFrame, path: str, partition: list[str] = []):
     """Append a stream to parquet."""
     w = rows.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out/rows").option("checkpointLocation", f"{path}/checkpoint")
