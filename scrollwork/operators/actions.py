@@ -8,25 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scrollwork.functions import fixed, ordered, text as T
+from scrollwork.operators.substrings import containing
 
 KEYS = ["campaign_id", "turn_no", "ord"]
 EFFECT = "array<struct<counter:string,delta:bigint>>"
 
 
-def _grams(c: Column) -> Column:
-    """Distinct substrings of one to three characters."""
-    n = F.length(c)
-    each = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substr(c, i, F.lit(k)))).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.array_distinct(F.concat(each(1), each(2), each(3)))
-
-
 def resolve_targets(actions: DataFrame, entities: DataFrame) -> DataFrame:
     """Target by id, else by name, else by part of a name; unresolved ones stay as they are.
 
-    Each distinct reference is resolved once. The part-of-a-name step joins on the
-    reference's first three letters, so only names that hold them are compared.
+    Each distinct reference is resolved once. The part-of-a-name step compares a reference
+    with the names that hold its rarest three letters.
     """
     ref = actions.select("campaign_id", F.col("target").alias("ref")).filter("ref <> ''").distinct()
     ref = ref.withColumn("low", F.lower("ref"))
@@ -35,11 +27,10 @@ def resolve_targets(actions: DataFrame, entities: DataFrame) -> DataFrame:
     named = entities.groupBy("campaign_id", low.alias("low")).agg(F.min_by("entity_id", "ord").alias("__named"))
     r = ref.join(ids, ["campaign_id", "ref"], "left").join(named, ["campaign_id", "low"], "left")
     r = r.withColumn("hit", F.coalesce("__id", "__named")).drop("__id", "__named")
-    rest = r.filter(F.col("hit").isNull()).withColumn("g", F.substring("low", 1, 3))
-    parts = entities.select("campaign_id", "ord", "entity_id", low.alias("name_low"), F.explode(_grams(low)).alias("g"))
-    inside = rest.join(parts, ["campaign_id", "g"]).filter(F.contains(F.col("name_low"), F.col("low")))
-    inside = inside.groupBy("campaign_id", "ref").agg(F.min_by("entity_id", "ord").alias("__part"))
-    r = r.join(inside, ["campaign_id", "ref"], "left")
+    names = entities.groupBy("campaign_id", low.alias("text")).agg(F.min(F.struct("ord", "entity_id")).alias("first"))
+    held = containing(names.select("campaign_id", "text"), r.filter(F.col("hit").isNull()).select("campaign_id", F.col("low").alias("pattern")), ["campaign_id"])
+    inside = held.join(names, ["campaign_id", "text"]).groupBy("campaign_id", F.col("pattern").alias("low")).agg(F.min("first")["entity_id"].alias("__part"))
+    r = r.join(inside, ["campaign_id", "low"], "left")
     r = r.select("campaign_id", F.col("ref").alias("target"), F.coalesce("hit", "__part").alias("__hit"))
     return actions.join(r, ["campaign_id", "target"], "left").withColumn("target_id", F.coalesce("__hit", "target")).drop("__hit")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scrollwork.functions import fixed, text as T
-from scrollwork.operators.actions import _grams
+from scrollwork.operators.substrings import containing
 from scrollwork.session import cut_lineage
 
 ITEM = "array<struct<extractor:string,field:string,ord:int,name:string,value:string>>"
@@ -472,12 +472,12 @@ def check_templates(templates: DataFrame, conditions: DataFrame, entities: DataF
 def counter_edges(counters: DataFrame, triggers: DataFrame) -> DataFrame:
     """``a -> b`` where a trigger text of one counter holds another counter's id.
 
-    Texts and ids meet on the id's first three letters, not as all pairs.
+    Texts and ids meet on the id's rarest three letters, not as all pairs.
     """
-    ids = counters.select("doc_id", F.col("counter").alias("b")).distinct().withColumn("g", F.substring("b", 1, 3))
-    t = triggers.select("doc_id", F.col("counter").alias("a"), F.lower("effect").alias("effect")).distinct()
-    t = t.withColumn("g", F.explode(_grams(F.col("effect"))))
-    return t.join(ids, ["doc_id", "g"]).filter((F.col("a") != F.col("b")) & F.contains(F.col("effect"), F.col("b"))).select("doc_id", "a", "b").distinct()
+    t = triggers.select("doc_id", F.col("counter").alias("a"), F.lower("effect").alias("text")).distinct()
+    held = containing(t, counters.select("doc_id", F.col("counter").alias("pattern")), ["doc_id"])
+    edges = t.join(held, ["doc_id", "text"]).select("doc_id", "a", F.col("pattern").alias("b"))
+    return edges.filter(F.col("a") != F.col("b")).distinct()
 
 
 def find_cycles(edges: DataFrame, every: int = 4) -> DataFrame:
