@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from scrollwork.functions import fixed, text as T
+from scrollwork.functions import fixed, ordered, text as T
 from scrollwork.operators.substrings import containing
 from scrollwork.session import cut_lineage
 
@@ -90,6 +90,46 @@ def _low(texts: DataFrame) -> tuple[DataFrame, Column, Column]:
     return d, F.col("text"), F.col("low")
 
 
+# ---- windows across pages ----
+
+#: what stands between two pages of one text
+PAGE_BREAK = "\n\n---\n\n"
+#: the longest window behind a heading
+WINDOW = 1000
+#: put into the head words of a tail, so that no match begins there; taken out of what a window has caught
+MARK = "\x01"
+TAIL_WORDS = r"(?i)(attribut|trai|sta|talen|skil|knowledg|proficienc|abilit|clas|tie|typ|leve)"
+
+
+def with_tails(texts: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``doc_id, part_no, text, tail``: the first ``width`` characters of what follows a page, page breaks included; null on a last page.
+
+    Only heads of pages meet, by page number. Where they are shorter than a window, what follows the next page is appended, then
+    what follows the two next ones, and so on: the number of rounds grows with the logarithm of the pages that a window spans.
+    """
+    heads = texts.select("doc_id", "part_no", F.left(F.coalesce("text", F.lit("")), F.lit(width)).alias("head"))
+    n = ordered.add_row_number(heads, ["doc_id"], ["part_no"], ordered.steps("part_no"), "rn")
+    ahead = n.select("doc_id", (F.col("rn") - 1).alias("rn"), F.concat(F.lit(PAGE_BREAK), "head").alias("tail"))
+    tails, step = cut_lineage(n.select("doc_id", "part_no", "rn").join(ahead, ["doc_id", "rn"])), 1
+    while not tails.where(F.length("tail") < width).join(tails.select("doc_id", (F.col("rn") - step).alias("rn")), ["doc_id", "rn"], "left_semi").isEmpty():
+        more = tails.select("doc_id", (F.col("rn") - step).alias("rn"), F.col("tail").alias("more"))
+        grown = tails.join(more, ["doc_id", "rn"], "left").withColumn("tail", F.left(F.concat("tail", F.coalesce("more", F.lit(""))), F.lit(width))).drop("more")
+        tails, step = cut_lineage(grown), step * 2
+    return texts.select("doc_id", "part_no", "text").join(tails.drop("rn"), ["doc_id", "part_no"], "left")
+
+
+def _across(texts: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+    """As ``_low``, with the text and its tail: matches begin on the page, windows go on behind it."""
+    marked = F.regexp_replace(F.replace("tail", F.lit("+"), F.lit(MARK + "+")), TAIL_WORDS, "$1" + MARK)
+    d = T.hold(with_tails(texts), {"low": F.lower("text"), "full": F.concat("text", F.coalesce(marked, F.lit("")))})
+    return d, F.col("text"), F.col("low"), F.col("full")
+
+
+def _window(c: Column, n: int) -> Column:
+    """The first ``n`` characters of a caught window, without the marks of a tail."""
+    return F.left(F.replace(c, F.lit(MARK), F.lit("")), F.lit(n))
+
+
 def first_hits(rows: DataFrame) -> DataFrame:
     """One value per document and field: that of the first rule that matches anywhere, at its earliest part."""
     best = F.min_by(F.struct("part_no", F.lit(0).alias("ord"), "name", "value"), F.struct("ord", "part_no"))
@@ -146,18 +186,19 @@ def extract_resolution(texts: DataFrame) -> DataFrame:
 
 
 def extract_stats(texts: DataFrame) -> DataFrame:
-    d, t, low = _low(texts)
+    """Categories with the names that follow them, ability groups, ranges, pools, backgrounds, allocation and costs. Lists may go on on the next pages."""
+    d, t, low, full = _across(texts)
     x = "stat_schema"
-    cats = F.filter(groups(t, r"(?iU)(\w+)\s+(?:attributes?|traits?|stats?)\s*[:\n](?=([\s\S]{0,500}))", 2), lambda z: valid_term(_g(z, 1), 4))
-    names = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(z["g2"], F.lit(r"\b([A-Z][a-z]+)\b"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 5)
+    cats = F.filter(groups(full, r"(?iU)(\w+)\s+(?:attributes?|traits?|stats?)\s*[:\n](?=([\s\S]{0,1200}))", 2), lambda z: valid_term(_g(z, 1), 4))
+    names = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(_window(z["g2"], 500), F.lit(r"\b([A-Z][a-z]+)\b"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 5)
     cats = F.filter(cats, lambda z: F.size(names(z)) > 0)
     seen = [F.max(low.rlike(rf"(?U)\b{a}\b")).alias(f"{cat}.{a}") for cat, attrs in fixed.COMMON_ATTRIBUTES for a in attrs]
     common = []
     for cat, attrs in fixed.COMMON_ATTRIBUTES:
         met = F.filter(F.array(*[F.when(F.col(f"`{cat}.{a}`"), F.lit(a)) for a in attrs]), lambda v: v.isNotNull())
         common.append(F.when(F.size(met) >= 2, F.struct(F.lit(cat).alias("name"), F.array_join(met, ",").alias("value"))))
-    skills = groups(t, r"(?iU)(talents?|skills?|knowledges?|proficiencies?|abilities?)\s*[:\n](?=([\s\S]{0,1000}))", 2)
-    listed = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(z["g2"], F.lit(r"(?:^|\n)\s*(?:•|[-*])?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 15)
+    skills = groups(full, r"(?iU)(talents?|skills?|knowledges?|proficiencies?|abilities?)\s*[:\n](?=([\s\S]{0,1500}))", 2)
+    listed = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(_window(z["g2"], 1000), F.lit(r"(?:^|\n)\s*(?:•|[-*])?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 15)
     skills = F.filter(skills, lambda z: F.size(listed(z)) > 0)
     span = F.filter(
         groups(t, r"(?iU)(\w+)\s+(?:rating|score|pool)?\s*(?:ranges?\s+from|is\s+rated)?\s*(\d+)\s*(?:to|-|–)\s*(\d+)", 3), lambda z: valid_term(_g(z, 1), 4)
@@ -223,7 +264,7 @@ def extract_health(texts: DataFrame) -> DataFrame:
 
 def extract_equipment(texts: DataFrame) -> DataFrame:
     """Names followed by stat lines, seen through the array of a part's filled lines."""
-    d, t, low = _low(texts)
+    d, t, low, full = _across(texts)
     x = "equipment"
     d = d.withColumn("__l", T.filled_lines(t))
     at = F.when(F.size("__l") > 0, F.sequence(F.lit(1), F.size("__l"))).otherwise(F.array().cast("array<int>"))
@@ -245,23 +286,23 @@ def extract_equipment(texts: DataFrame) -> DataFrame:
         at, lambda i: line(i).rlike(r"^[A-Z][a-zA-Z\s]+$") & valid_term(line(i)) & F.coalesce(line(i + 1).rlike(r"^\d+$") & line(i + 2).rlike(r"^-?\d+$"), F.lit(False))
     )
     melee = F.filter(
-        groups(t, r"(?m)^([A-Z][a-zA-Z ]+)\n([A-Z][a-z]+)\s*\+\s*(\d+)(?=([\s\S]{0,50}))", 4), lambda z: valid_term(_g(z, 1)) & (F.length(_g(z, 1)) < 40)
+        groups(full, r"(?m)^([A-Z][a-zA-Z ]+)\n([A-Z][a-z]+)\s*\+\s*(\d+)(?=([\s\S]{0,80}))", 4), lambda z: valid_term(_g(z, 1)) & (F.length(_g(z, 1)) < 40)
     )
-    after = lambda z: F.lower(z["g4"])
+    after = lambda z: F.lower(_window(z["g4"], 50))
     harm = lambda z: (
         F.when(F.contains(after(z), F.lit("lethal")) | F.contains(F.substring(after(z), 1, 15), F.lit("\nl")), "lethal")
         .when(F.contains(after(z), F.lit("bashing")) | F.contains(F.substring(after(z), 1, 15), F.lit("\nb")), "bashing").otherwise("unknown")
     )
-    tiers = groups(t, r"(?iU)(?:class|tier|type|level)\s*(\w+)\s*\(([^)]+)\)(?=([\s\S]{0,100}))", 3)
+    tiers = groups(full, r"(?iU)(?:class|tier|type|level)\s*(\w+)\s*\(([^)]+)\)(?=([\s\S]{0,150}))", 3)
     tier = lambda z: T.first_in(F.lower(_g(z, 1)), fixed.ARMOUR_TIERS)
     tiers = F.filter(tiers, lambda z: tier(z).isNotNull())
-    nums = lambda z: F.regexp_extract_all(z["g3"], F.lit(r"(-?\d+)"), 1)
+    nums = lambda z: F.regexp_extract_all(_window(z["g3"], 100), F.lit(r"(-?\d+)"), 1)
     rating = lambda z: F.concat_ws("/", tier(z), F.when(F.size(nums(z)) >= 2, F.get(nums(z), F.lit(0))), F.when(F.size(nums(z)) >= 2, F.get(nums(z), F.lit(1))))
     return _rows(d, [
         _items(x, "ranged_weapons", ranged, line, lambda i: F.array_join(run(i), " ")),
         _items(x, "melee_weapons", melee, lambda z: _g(z, 1), lambda z: F.concat(_g(z, 2), F.lit(" + "), _g(z, 3), F.lit(" "), harm(z))),
         _items(x, "armor", armour, line, lambda i: F.concat(line(i + 1), F.lit("/"), line(i + 2))),
-        _items(x, "tiered_armor", tiers, lambda z: _g(z, 2), rating),
+        _items(x, "tiered_armor", tiers, lambda z: F.replace(_g(z, 2), F.lit(MARK), F.lit("")), rating),
     ])
 
 

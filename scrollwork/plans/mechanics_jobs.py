@@ -98,6 +98,30 @@ def extract_equipment(spark, sf):
     return mechanics.extract_equipment(arms(spark, sf)).select("part_no", "field", "name", "value")
 
 
+# ---- a heading at the end of a page, its list at the head of the next one ----
+
+
+def paged(spark, sf, line):
+    """One page per part, brand by brand: ``line(a, b, size)``."""
+    p = table(spark, sf, "part")
+    a, b = F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2)))
+    return p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("part_no"), F.concat(*line(a, b, F.col("p_size").cast("string"))).alias("text"))
+
+
+@job(f"""WITH p AS (SELECT p_brand AS doc_id, {CAP(1)} AS a, {CAP(2)} AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT doc_id, 'attributes' AS field, 'grade' AS name, array_to_string(list_filter([lower(a), lower(b), 'grade', 'attributes'], lambda x: length(x) >= 4 AND x NOT IN {sql_list(fixed.STOP_WORDS)}), ',') AS value FROM p WHERE r = 1 AND n > 1""")
+def stats_across_pages(spark, sf):
+    pages = paged(spark, sf, lambda a, b, s: (a, F.lit(" and "), b, F.lit(" open this page\nGrade Attributes:")))
+    return mechanics.extract_stats(pages).select("doc_id", "field", "name", "value")
+
+
+@job(f"""WITH p AS (SELECT p_brand AS doc_id, p_partkey AS part_no, {CAP(2)} AS b, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ahead FROM part)
+SELECT doc_id, part_no, 'tiered_armor' AS field, lower(b) || ' coat' AS name, '2' || coalesce('/' || ahead || '/-2', '') AS value FROM p""")
+def equipment_across_pages(spark, sf):
+    pages = paged(spark, sf, lambda a, b, s: (s, F.lit(" and -2 stand here\nclass two ("), F.lower(b), F.lit(" coat)")))
+    return mechanics.extract_equipment(pages).select("doc_id", "part_no", "field", "name", "value")
+
+
 @job(rf"""WITH d AS (SELECT * FROM {SHEET_SQL}), w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM d),
 s AS (SELECT DISTINCT doc_id, a FROM d WHERE length(a) >= 4 AND a NOT IN {sql_list(fixed.STOP_WORDS)}), s2 AS (SELECT doc_id, a FROM s UNION SELECT doc_id, b FROM d WHERE length(b) >= 4 AND b NOT IN {sql_list(fixed.STOP_WORDS)}),
 n AS (SELECT doc_id, a, count(*) AS n FROM s2 JOIN w USING (doc_id) WHERE t = a GROUP BY ALL HAVING count(*) >= 3),
