@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scrollwork.llm.common import docs_of, query, table
+from scrollwork.llm.common import as_text, docs_of, query, table
 from scrollwork.llm.words import groups, runs, words
 
 SEED_WORDS = 3
@@ -308,9 +308,12 @@ def find(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
                     for (n, _, i, t, b), s, e in zip(chunk, best, end):
                         if s >= min_score * 2 * n:
                             out.append((f["doc_id"].iloc[owner[t]], block.ids[i], s / (2.0 * n), int(b + e - bounds[t])))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "end_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "end_word"])
 
-    return docs.mapInPandas(search, "doc_id long, item_id long, score double, end_word long")
+    return docs.mapInPandas(search, FOUND)
+
+
+FOUND = "doc_id string, item_id string, score double, end_word long"
 
 
 def contaminated(df: DataFrame, items: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -323,10 +326,12 @@ def contaminated(df: DataFrame, items: DataFrame, min_score: float = 0.5, id_col
     searched and count as one item. Rows that repeat an id give one row per item. Of equal scores the later place counts. Null
     ids are kept, as one document. Empty tables give no rows. Other columns are ignored.
     """
-    docs = docs_of(df, id_col, text_col)
-    empty = df.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
+    ids = {"doc_id": df.schema[id_col].dataType, "item_id": items.schema[item_id].dataType}
+    docs = as_text(docs_of(df, id_col, text_col), "doc_id")
+    empty = df.sparkSession.createDataFrame([], FOUND)
     # texts of one item can be in several blocks
-    found = reduce(DataFrame.unionByName, [find(docs, b.judged(count_seeds(docs, b)), min_score) for b in blocks(items, item_id, item_text)], empty)
+    found = reduce(DataFrame.unionByName, [find(docs, b.judged(count_seeds(docs, b)), min_score) for b in blocks(as_text(items, item_id), item_id, item_text)], empty)
+    found = found.withColumns({c: F.col(c).cast(kind) for c, kind in ids.items()})
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("end_word", F.struct("score", "end_word")).alias("end_word"))
 
 

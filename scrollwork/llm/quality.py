@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scrollwork.llm.common import docs_of, fold, query, table
+from scrollwork.llm.common import as_text, docs_of, fold, query, table
 from scrollwork.llm.words import MIX, PRINTED, groups, words
 
 BUCKETS = 1 << 16
@@ -122,9 +122,10 @@ def classify(df: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc
                 ids, whose = features(group, len(weights))
                 np.add.at(sums, owner, np.bincount(whose, weights[ids], len(group)))
                 np.add.at(n, owner, np.bincount(whose, minlength=len(group)))
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(sums / np.maximum(n, 1) + bias, -60, 60)))})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "score": 1 / (1 + np.exp(-np.clip(sums / np.maximum(n, 1) + bias, -60, 60)))})
 
-    return docs_of(df, id_col, text_col).mapInPandas(run, "doc_id long, score double")
+    docs = docs_of(df, id_col, text_col)
+    return as_text(docs, "doc_id").mapInPandas(run, "doc_id string, score double").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "score")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
