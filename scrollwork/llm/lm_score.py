@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scrollwork.llm.common import fold, query, table, written
+from scrollwork.llm.common import as_text, fold, query, small_batches, table, written
 from scrollwork.llm.words import MIX, PRINTED, words
 
 ORDER = 6
@@ -123,17 +123,20 @@ def block_keys(docs: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, top, named = None, Tally(), Tally()
         for batch in batches:
-            f = batch.to_pandas()
-            for b, rows in f.groupby("block", sort=False):
-                if b != block:  # rows of a block follow each other in a file
+            of, learns = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (learns[1:] != learns[:-1])) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(of)]):  # rows of a block follow each other in a file
+                if at == end:
+                    continue
+                if of[at] != block:
                     if block is not None:
                         yield from emit(block, top, named)
-                    block, top, named = b, Tally(), Tally()
-                for learn, part in rows.groupby("learn"):
-                    for group, _ in lowered(part["text"].tolist()):
-                        top.add(grams(*symbols(group)), int(learn))
+                    block, top, named = of[at], Tally(), Tally()
+                for k in range(at, end, 256):
+                    for group, _ in lowered(batch.column(2).slice(k, min(256, end - k)).to_pylist()):
+                        top.add(grams(*symbols(group)), int(learns[at]))
                         if WORD in kinds:
-                            named.add(words(group, PRINTED)[0], int(learn))
+                            named.add(words(group, PRINTED)[0], int(learns[at]))
         if block is not None:
             yield from emit(block, top, named)
 
@@ -314,6 +317,7 @@ def lm_scores(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
     counts are 0 and the automaton is uniform. Arc and failure weights travel with seven decimals. Repeated rows count and are scored as often as they stand; a null id has
     no effect unless ``learn`` says so. An empty table gives no rows. Words are told apart by 64-bit hashes.
     """
+    small_batches(df)
     docs = with_blocks(df, learn, id_col, text_col)
     sums = written(block_keys(docs, (ORDER, WORD)).where("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     n_train = docs.where("learn").count()
@@ -354,10 +358,11 @@ def lm_scores(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
             hits[owner] = np.bincount(whose, c > 0, len(group)) + (n_train > 0)
             base[owner] = np.bincount(whose, np.log10(c + 1) - rest, len(group)) + np.log10(n_train + 1) - rest
             score[owner] = machine.score(*symbols(group))
-        return pd.DataFrame({"doc_id": mine["doc_id"].astype("Int64"), "learned": mine["learn"], "n_tokens": n.astype(np.int64), "n_known": hits.astype(np.int64), "train_tokens": n_tokens, "base_score": base, "score": score})
+        return pd.DataFrame({"doc_id": mine["doc_id"], "learned": mine["learn"], "n_tokens": n.astype(np.int64), "n_known": hits.astype(np.int64), "train_tokens": n_tokens, "base_score": base, "score": score})
 
-    schema = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, schema)
+    schema = "doc_id string, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = as_text(docs, "doc_id").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 @query()

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scrollwork.llm.common import docs_of, query, table, written
+from scrollwork.llm.common import docs_of, query, small_batches, table, written
 from scrollwork.llm.components import components
 from scrollwork.llm.words import MIX, groups, mixed, runs, words
 
@@ -171,6 +171,7 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     id count as one document, similar to whatever one of its texts is similar to. Rows without an id are left out: they
     cannot be named as the one that stays. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(df)
     docs = docs_of(df, id_col, text_col).where("doc_id IS NOT NULL")
     signed = written(signatures(docs, ROWS, BANDS), "signatures")
     equal = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "distinct")
