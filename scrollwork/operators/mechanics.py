@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scrollwork.functions import fixed, ordered, text as T
+from scrollwork.operators.cycles import cycle_members
 from scrollwork.operators.substrings import containing
 from scrollwork.session import cut_lineage
 
@@ -521,24 +522,12 @@ def counter_edges(counters: DataFrame, triggers: DataFrame) -> DataFrame:
     return edges.filter(F.col("a") != F.col("b")).distinct()
 
 
-def find_cycles(edges: DataFrame, every: int = 4) -> DataFrame:
-    """Edges that lie on cycles or between them; a document with any has a circular chain.
-
-    Nodes without a way in or without a way out cannot be on a cycle. They are trimmed until
-    nothing changes; the work shrinks with every round and the lineage is cut on the way.
-    """
-    core, left, i = edges.distinct(), None, 0
-    while True:
-        starts = core.select("doc_id", F.col("a").alias("b")).distinct()
-        ends = core.select("doc_id", F.col("b").alias("a")).distinct()
-        core = core.join(starts, ["doc_id", "b"], "left_semi").join(ends, ["doc_id", "a"], "left_semi").select("doc_id", "a", "b")
-        i += 1
-        if i % every == 0:
-            core = cut_lineage(core)
-            n = core.count()
-            if n == 0 or n == left:
-                return core
-            left = n
+def find_cycles(edges: DataFrame) -> DataFrame:
+    """Edges that lie on cycles; a document with any has a circular chain."""
+    members = cut_lineage(cycle_members(edges))
+    end = lambda c: members.select("doc_id", F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    both = edges.select("doc_id", "a", "b").distinct().join(end("a"), ["doc_id", "a"]).join(end("b"), ["doc_id", "b"])
+    return both.filter("c_a = c_b").select("doc_id", "a", "b")
 
 
 def extraction_report(rows: DataFrame, confidence: DataFrame, below: float = 0.5) -> DataFrame:

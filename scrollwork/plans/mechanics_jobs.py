@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrollwork.functions import fixed, text as T
-from scrollwork.operators import mechanics
+from scrollwork.operators import cycles, mechanics
 from scrollwork.plans import bind
 from scrollwork.plans.bind import quote, sql_ascii, sql_case, sql_list, sql_slug
 from scrollwork.plans.registry import job, table
@@ -274,6 +274,19 @@ def circular_documents(spark, sf):
     return mechanics.find_cycles(mechanics.counter_edges(*nets(spark, sf))).select("doc_id").distinct()
 
 
+CLOSURE = f"""WITH RECURSIVE {EDGE}, tc AS (SELECT doc_id, a, b FROM ed UNION SELECT tc.doc_id, tc.a, ed.b FROM tc JOIN ed ON ed.doc_id = tc.doc_id AND ed.a = tc.b)"""
+
+
+@job(f"{CLOSURE} SELECT x.doc_id, x.a AS node, min(x.b) AS component FROM tc x JOIN tc y ON y.doc_id = x.doc_id AND y.a = x.b AND y.b = x.a GROUP BY x.doc_id, x.a")
+def cycle_members(spark, sf):
+    return cycles.cycle_members(mechanics.counter_edges(*nets(spark, sf)))
+
+
+@job(f"{CLOSURE} SELECT e.doc_id, e.a, e.b FROM ed e JOIN tc ON tc.doc_id = e.doc_id AND tc.a = e.b AND tc.b = e.a")
+def circular_edges(spark, sf):
+    return mechanics.find_cycles(mechanics.counter_edges(*nets(spark, sf)))
+
+
 @job(f"""SELECT DISTINCT source AS doc_id, doc_id AS page_num FROM documents d WHERE EXISTS (SELECT 1 FROM documents e WHERE e.source = d.source AND e.lang = 'en' AND d.doc_id BETWEEN e.doc_id AND e.doc_id + 3)""")
 def mechanics_pages(spark, sf):
     d = table(spark, sf, "documents")
