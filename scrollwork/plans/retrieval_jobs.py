@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrollwork.functions import fixed, text as T
-from scrollwork.operators import chunks, lore_cache, retrieval
+from scrollwork.operators import chunks, lore_cache, retrieval, vector_index
 from scrollwork.plans import bind
 from scrollwork.plans.bind import quote, sql_case, sql_list, sql_slug, sql_strip, sql_words
 from scrollwork.plans.registry import job, table
-from scrollwork.session import spread
+from scrollwork.session import scratch, spread
 from scrollwork.plans.segment_jobs import HEADED_SQL, headed
 
 # ---- chunks ----
@@ -261,17 +261,41 @@ def entity_retrieval(spark, sf):
     return out.select("query_id", "chunk_id", "place", "tokens_used")
 
 
-@job("""WITH q AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY label),
+COSINE = """WITH q AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY label),
 s AS (SELECT q.label::BIGINT AS query_id, e.label::VARCHAR AS collection, vec_id AS item_id,
     round(list_cosine_similarity(q.v, embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY similarity DESC, item_id) AS rank FROM s)
-SELECT query_id, collection, item_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
-def cosine_topk(spark, sf):
+SELECT query_id, collection, item_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 10"""
+
+
+def vectors(spark, sf):
     # the query of a collection is its first vector; every collection is searched whole
     e = table(spark, sf, "embeddings")
     q = e.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-    items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").alias("collection"))
-    return retrieval.vector_search(q, items, 10)
+    return q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").alias("collection"))
+
+
+@job(COSINE)
+def cosine_topk(spark, sf):
+    return retrieval.vector_search(*vectors(spark, sf), 10)
+
+
+def _indexed(spark, sf, **how):
+    q, items = vectors(spark, sf)
+    path = scratch(spark, "vectors")
+    vector_index.write_index(items, path)
+    return vector_index.search_index(q, path, 10, **how)
+
+
+@job(COSINE)
+def vector_index_complete(spark, sf):
+    return _indexed(spark, sf, complete=True)
+
+
+@job()
+def vector_index_topk(spark, sf):
+    """Cells chosen by nearness, so a few of the ten may be missed; recall is measured in the tests."""
+    return _indexed(spark, sf)
 
 
 # ---- materialised results ----
