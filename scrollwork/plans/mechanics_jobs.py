@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrollwork.functions import fixed, text as T
-from scrollwork.operators import cycles, mechanics
+from scrollwork.operators import cycles, mechanics, rules
 from scrollwork.plans import bind
 from scrollwork.plans.bind import quote, sql_ascii, sql_case, sql_list, sql_slug
 from scrollwork.plans.registry import job, table
@@ -171,6 +171,20 @@ def rule_matches(spark, sf):
     return mechanics.rule_matches(table(spark, sf, "documents").select(F.col("source").alias("doc_id"), "text"))
 
 
+PART_RULES = r"""(SELECT DISTINCT p_type AS rule_set, split_part(p_name, ' ', 2) AS meaning, left(split_part(p_name, ' ', 1), 2) AS pattern FROM part
+UNION SELECT DISTINCT p_type, split_part(p_name, ' ', 2), '^' || left(split_part(p_name, ' ', 1), 1) || '[a-z]+' FROM part)"""
+
+
+@job(f"""SELECT source AS doc_id, rule_set, meaning, sum(len(regexp_extract_all(text, '(?im)' || pattern)))::BIGINT AS matches
+FROM documents, {PART_RULES} GROUP BY ALL HAVING matches > 0""")
+def rule_matches_from_table(spark, sf):
+    # the names of the parts are the rules: beginnings of their words, and lines that begin like them
+    p = table(spark, sf, "part").select("p_type", F.split("p_name", " ").alias("w"))
+    pattern = F.explode(F.array(F.left(F.col("w")[0], F.lit(2)), F.concat(F.lit("^"), F.left(F.col("w")[0], F.lit(1)), F.lit("[a-z]+"))))
+    table_of_rules = p.select(F.col("p_type").alias("rule_set"), F.col("w")[1].alias("meaning"), pattern.alias("pattern")).distinct()
+    return rules.rule_matches(table(spark, sf, "documents").select(F.col("source").alias("doc_id"), "text"), table_of_rules)
+
+
 @job(f"""WITH h AS (SELECT doc_id, sum(len(regexp_extract_all(text, '(?im)[+-][0-9]+\\s*(bonus|penalty|modifier)?')) + len(regexp_extract_all(text, '(?im)\\b[0-9]*d[0-9]+\\b')) +
 len(regexp_extract_all(text, '(?im)^[A-Z][a-z]+:\\s*[0-9]+')) + len(regexp_extract_all(text, '(?im)\\b(DC|TN|Difficulty)\\s*[0-9]+')) + len(regexp_extract_all(text, '(?im)\\b(Level|Rank|Tier)\\s*[0-9]+')))::BIGINT AS hits FROM {SHEET_SQL} GROUP BY doc_id)
 SELECT doc_id, 'clocks' AS extractor, 2::BIGINT AS fields, 1::BIGINT AS key_fields, hits, round(least(0.5 + least(hits * 0.05, 0.2) + 0.1, 1.0), 2)::DOUBLE AS confidence FROM h
