@@ -14,11 +14,12 @@ which is the plain Jaccard similarity where no shingle repeats.
 4. A bucket that is not one class yet can hide links between members that are not like the pivot. The documents of such
    buckets are banded anew with longer bands, in which pairs under the limit hardly meet, and paired and verified as before.
 5. Where a long band's bucket is still not one class, members outside the pivot's class become pivots in turn, 32, then 64 per
-   bucket and round, until none is left. 1 - J_P is a metric, so pairs whose distances to the first pivot differ by more than
-   the limit are not looked at.
+   bucket and round, until none is left. Pivots meet blocks of the bucket's members as rows of sketches, one byte for each of
+   1 024 registers. Only pairs whose sketches agree in nearly the share that the limit asks for leave the block. Two classes
+   need one link, so the best pair of any two is verified first, and the other pairs only if the two are still apart.
 
 No step forms all pairs of a bucket. A pair at the limit of 0.8 shares a band with probability 0.997, a long band with 0.99;
-at 0.85 the figures are 0.9999 and 0.99999.
+at 0.85 the figures are 0.9999 and 0.99999. Sketches lose a pair at the limit with probability 0.0001.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scrollwork.llm.common import docs_of, query, small_batches, table, written
 from scrollwork.llm.components import components
@@ -37,6 +38,10 @@ from scrollwork.llm.words import MIX, groups, mixed, runs, words
 SHINGLE = 5
 ROWS, BANDS = 8, 32
 LONG_ROWS, LONG_BANDS = 16, 160
+SKETCH = 1024
+#: standard deviations that a sketch may fall short of the limit
+SLACK = 3.7
+BLOCK = 1000
 SALTS = 16
 GROUP_BYTES = 4 << 20
 
@@ -120,18 +125,28 @@ def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, rows: int, bands: int) -> DataFrame:
-    """``doc_id``, ``digest`` of the weighted set, ``bands``."""
+def sketches(sig: np.ndarray) -> list[bytes]:
+    """One byte for each of the first ``SKETCH`` registers of a text."""
+    return [row.tobytes() for row in mixed(sig[:, :SKETCH]).astype(np.uint8)]
+
+
+def signatures(docs: DataFrame, rows: int, bands: int, sketch: bool = False) -> DataFrame:
+    """``doc_id``, ``digest`` of the weighted set, ``bands``, and ``sketch`` if asked for."""
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at, lists in word_lists(f["text"].tolist()):
                 sets = [weighted_set(h) for h in lists]
                 digests = [hashlib.blake2b(a.tobytes() + b.astype("<i8").tobytes(), digest_size=16).digest() for a, b in sets]
-                keys = [k for c in range(0, len(sets), 256) for k in band_keys(registers(sets[c : c + 256], rows * bands), rows, bands)]
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[at : at + len(sets)], "digest": digests, "bands": keys})
+                keys, bytes_of = [], []
+                for c in range(0, len(sets), 256):
+                    sig = registers(sets[c : c + 256], rows * bands)
+                    keys.extend(band_keys(sig, rows, bands))
+                    bytes_of.extend(sketches(sig) if sketch else ())
+                out = {"doc_id": f["doc_id"].iloc[at : at + len(sets)], "digest": digests, "bands": keys}
+                yield pd.DataFrame({**out, "sketch": bytes_of} if sketch else out)
 
-    return docs.mapInPandas(sign, "doc_id long, digest binary, bands array<long>")
+    return docs.mapInPandas(sign, "doc_id long, digest binary, bands array<long>" + ", sketch binary" * sketch)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -182,11 +197,11 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
 
     crowd = written(_mixed(members, roots).select(F.col("doc").alias("doc_id")).distinct(), "crowd")
     if not crowd.isEmpty():
-        long_bands = signatures(texts.join(crowd, "doc_id", "left_semi"), LONG_ROWS, LONG_BANDS).select(F.col("doc_id").alias("doc"), "bands")
-        members = buckets(long_bands)
+        signed_long = written(signatures(texts.join(crowd, "doc_id", "left_semi"), LONG_ROWS, LONG_BANDS, sketch=True), "long-signatures")
+        members = buckets(signed_long.select(F.col("doc_id").alias("doc"), "bands"))
         looked = _rooted(_star(members), roots).where("root <> pivot_root").select("doc", "pivot")
         roots = _joined(roots, _linked(looked, texts, similarity))
-        roots = _outsiders(members, roots, texts, similarity)
+        roots = _outsiders(members, roots, signed_long.select(F.col("doc_id").alias("doc"), "sketch"), texts, similarity)
 
     classes = equal.select("digest", "rep").join(roots, F.col("rep") == F.col("v"), "left").select("digest", F.coalesce("root", "rep").alias("group_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     each = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -227,42 +242,73 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
-def _outsiders(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """``doc``, ``root``, ``by``, ``by_root``, ``share`` of equal registers for members and pivots (``lead``) of different classes
+    that meet in a block (``key``, ``block``) and whose sketches agree as ``similarity`` asks for."""
+    need = SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held = None, []
+        for f in frames:
+            doc, root, lead = (f[c].to_numpy() for c in ("doc", "root", "lead"))
+            place = f[["key", "block"]].to_numpy()
+            bits = np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), SKETCH)
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            out = []
+            for s, e in zip([0, *cuts], [*cuts, len(f)]):
+                if name != tuple(place[s]):
+                    name, held = tuple(place[s]), []
+                m = s + int(lead[s:e].sum())
+                held += [(doc[k], root[k], bits[k]) for k in range(s, m)]
+                for by, by_root, of_by in held if m < e else ():
+                    same = np.count_nonzero(bits[m:e] == of_by, axis=1)
+                    for k in m + np.flatnonzero((same >= need) & (root[m:e] != by_root)):
+                        out.append((doc[k], root[k], by, by_root, same[k - m] / SKETCH))
+            yield pd.DataFrame(out, columns=["doc", "root", "by", "by_root", "share"])
+
+    # a block's pivots come before its members
+    near = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("lead"))
+    return near.select("key", "block", "lead", "doc", "root", "sketch").mapInPandas(meet, "doc long, root long, by long, by_root long, share double")
+
+
+def _outsiders(members: DataFrame, roots: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Classes once no bucket can hide a link between two of them."""
-    limit = 1 - similarity + 1e-9
-    open_rows = written(_mixed(members, roots).select("key", "doc", "pivot", "root", "pivot_root"), "open")
-    if open_rows.isEmpty():
-        return roots
-    far = verified(_star(open_rows).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts).select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
-    # ids with several texts have a range of distances
-    far = far.groupBy("doc", "pivot").agg(F.min("far").alias("far"), F.max("far").alias("far_to"))
-    state = written(open_rows.join(far, ["doc", "pivot"]), "open-state")
+    state = written(_mixed(members, roots).select("key", "doc", "pivot", "root", "pivot_root"), "open")
     used, step = None, 32
     while True:
-        out = state.where("root <> pivot_root")
+        out = state.where("root <> pivot_root").select("key", "doc", "root")
         if used is not None:
             out = out.join(used, ["key", "doc"], "left_anti")
-        picks = [F.min(F.struct(F.xxhash64(F.lit(step + s), "doc").alias("h"), "doc", "far", "far_to", "root")).alias(f"p{s}") for s in range(step)]
-        chosen = out.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{s}.doc", f"p{s}.far", f"p{s}.far_to", f"p{s}.root") for s in range(step)]))).alias("p"))
-        chosen = written(chosen.select("key", "p.doc", "p.far", "p.far_to", "p.root"), "pivots")
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc"))
+        chosen = written(out.withColumn("nth", nth).where(F.col("nth") <= step).drop("nth"), "pivots")
         if chosen.isEmpty():
             return roots
-        p = chosen.select("key", F.col("doc").alias("by"), F.col("far").alias("by_far"), F.col("far_to").alias("by_far_to"), F.col("root").alias("by_root"))
-        pairs = state.join(p, "key").where((F.col("root") != F.col("by_root")) & (F.col("far") - F.col("by_far_to") <= limit) & (F.col("by_far") - F.col("far_to") <= limit))
-        # two pivots of a bucket meet once, not from either side
-        pairs = pairs.select(F.greatest("doc", "by").alias("doc"), F.least("doc", "by").alias("pivot")).distinct()
-        new = _linked(pairs, texts, similarity)
+        sizes = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(chosen.select("key").distinct(), "key", "left_semi")
+        led = chosen.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", "root", F.lit(True).alias("lead"))
+        rows = state.join(sizes, "key").select("key", F.pmod(F.xxhash64("doc"), "blocks").alias("block"), "doc", "root", F.lit(False).alias("lead"))
+        pairs = alike(led.unionByName(rows).join(sketched, "doc"), similarity)
+        # two pivots of a bucket meet once, not from either side, and so do a pair's buckets
+        low, high = F.least("root", "by_root").alias("low"), F.greatest("root", "by_root").alias("high")
+        pairs = written(pairs.groupBy(F.greatest("doc", "by").alias("doc"), F.least("doc", "by").alias("pivot"), low, high).agg(F.max("share").alias("share")), "alike")
+        best = written(pairs.groupBy("low", "high").agg(F.max(F.struct("share", "doc", "pivot")).alias("p")).select("p.doc", "p.pivot"), "best")
+        new = _linked(best, texts, similarity)
+        if not new.isEmpty():
+            roots = _joined(roots, new)
+        rest = _rooted(pairs.join(best, ["doc", "pivot"], "left_anti").select("doc", "pivot"), roots).where("root <> pivot_root")
+        new = _linked(rest, texts, similarity)
         if not new.isEmpty():
             roots = _joined(roots, new)
         used = chosen.select("key", "doc") if used is None else used.unionByName(chosen.select("key", "doc"))
         # only buckets with further outsiders go on
-        left = out.join(chosen.select("key", "doc"), ["key", "doc"], "left_anti").select("key").distinct()
-        state = written(_rooted(state.select("key", "doc", "pivot", "far", "far_to").join(left, "key", "left_semi"), roots), "open-state")
-        step = min(2 * step, 64)
+        left = out.join(chosen, ["key", "doc"], "left_anti").select("key").distinct()
+        state = written(_rooted(state.select("key", "doc", "pivot").join(left, "key", "left_semi"), roots), "open")
+        step = 64
 
 
 @query()
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups_of = near_duplicates(table(spark, sf_dir, "documents"))
-    sizes = groups_of.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return groups_of.join(sizes, "group_id").select("doc_id", "group_id", "group_size", "kept")
+    all_salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = groups_of.groupBy("group_id").agg(F.count("*").alias("group_size")).select("group_id", "group_size", all_salts)
+    salted = groups_of.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(sizes, ["group_id", "salt"]).select("doc_id", "group_id", "group_size", "kept")
