@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scrollwork.llm.common import docs_of, query, table, written
 from scrollwork.llm.token_ids import encoder
@@ -37,6 +37,8 @@ from scrollwork.session import scratch
 MAGIC = b"IDSHARD1"
 HEAD = struct.Struct("<8sIIII16s")
 SHARD_BYTES = 1 << 21
+#: shards in a file, which is read back as one value
+FILE_SHARDS = 64
 
 
 def dictionary_hash(dictionary: bytes) -> bytes:
@@ -135,7 +137,8 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, leading_space: bool,
     """Encode every text, end it with ``end_id`` and write shards in ascending id order to ``path/shards``, the dictionary to ``path/dictionary``.
 
     Null text is the empty text: its document holds the end id only. Rows without an id come first. Rows that repeat an
-    id stay separate documents, ordered by text. An empty table gives no shard. Other columns are ignored.
+    id stay separate documents, ordered by a hash of their text, so that a frequent id is shared out too. A file holds at most
+    ``FILE_SHARDS`` shards; only a single longer document makes a shard larger than ``SHARD_BYTES``. An empty table gives no shard. Other columns are ignored.
     """
     docs, width = docs_of(df, id_col, text_col), 2 if vocabulary <= 1 << 16 else 4
     dictionary = train_dictionary(docs, tokenizer, leading_space, end_id, width)
@@ -152,8 +155,10 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, leading_space: bool,
             yield pa.RecordBatch.from_pydict({"shard": pa.array([packer.shard()], pa.binary())})
 
     spark = df.sparkSession
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, "shard binary").select(F.col("shard").cast("string")).write.text(f"{path}/shards")
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*place).sortWithinPartitions(*place, "text")
+    shards = ordered.mapInArrow(encode, "shard binary").select(F.col("shard").cast("string"))
+    shards.write.option("maxRecordsPerFile", FILE_SHARDS).text(f"{path}/shards")
     spark.createDataFrame([(bytearray(dictionary),)], "d binary").coalesce(1).select(F.col("d").cast("string")).write.text(f"{path}/dictionary")
 
 
@@ -191,15 +196,20 @@ def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType)
     return files.mapInArrow(decode, f"doc_id long, file string, at long, n_tokens long, {column}")
 
 
+def file_order(file: Column) -> list[Column]:
+    """Numbers of the task and of its file in the name that Spark gave a file: as text, task 100000 would stand before 99999."""
+    return [F.regexp_extract(file, p, 1).cast("long") for p in (r"/part-(\d+)-[^/]*$", r"-c(\d+)\.[^/]*$")]
+
+
 def shard_digests(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
-    Starts are summed inside each file, then over the files in the order of their names, which is the order of ids;
-    the sum over files has one row per file.
+    Starts are summed inside each file, then over the files in the order of the task and of the file within it that their names
+    tell, as numbers; that is the order of ids. The sum over files has one row per file.
     """
     rows = written(_read(spark, path, "ids_crc32 long", lambda tokens: zlib.crc32(tokens.tobytes()), pa.int64()), "shard-digests")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("base"))
+    before = files.select("file", (F.sum("total").over(Window.orderBy(*file_order(F.col("file")))) - F.col("total")).alias("base"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at")) - F.col("n_tokens")
     return rows.withColumn("inside", inside).join(F.broadcast(before), "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 

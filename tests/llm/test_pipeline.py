@@ -77,6 +77,16 @@ def test_near_duplicates_keep_other_texts_of_an_id(spark):
     assert got == Counter([(3, a), (5, b), (8, "short"), (2, c), (6, None), (6, "x y"), (None, a)])
 
 
+def test_clashing_columns(spark, docs):
+    names = ["found", "stays", "k", "K_", "key", "nth", "group_id", "__key", "__nth", "first", "h", "row", "a b"]
+    more = docs.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got, want = stage(spark, more, SF), stage(spark, docs, SF)
+        assert got.columns == more.columns
+        assert Counter(rows_of(got)) == Counter(rows_of(want))
+        assert got.where(" OR ".join(f"`{c}` <> {i}" for i, c in enumerate(names))).count() == 0
+
+
 def test_empty(spark, docs):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -6,8 +6,10 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from scrollwork.llm import id_shards
 from scrollwork.llm.id_shards import Packer, Shard, read_shards, shard_digests, write_shards
 from scrollwork.llm.packing import pack, plan_bins
 from scrollwork.llm.token_ids import ChunkEncoder
@@ -36,10 +38,14 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_shards_round_trip(spark, odd, odd_rows, tmp_path):
+@pytest.mark.parametrize("size, shards", [(1 << 21, 64), (40, 1), (40, 2)])
+def test_shards_round_trip(spark, odd, odd_rows, tmp_path, monkeypatch, size, shards):
+    monkeypatch.setattr(id_shards, "SHARD_BYTES", size)
+    monkeypatch.setattr(id_shards, "FILE_SHARDS", shards)
     path = f"file://{tmp_path}/out"
     write_shards(odd, path, BYTE, True, 2, 50257)
-    order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in odd_rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""]))
     start, want = 0, []
     for i, ids in whole_ids(order, BYTE, 2):
         want.append((i, start, len(ids), crc(ids)))
@@ -49,6 +55,12 @@ def test_shards_round_trip(spark, odd, odd_rows, tmp_path):
     assert back == sorted(((i or -1, ids) for i, ids in whole_ids(odd_rows, BYTE, 2)), key=repr)
 
 
+def test_files_in_order_of_tasks(spark):
+    names = [f"s3a://b/part-7-c9/shards/part-{t}-6f-c1-4a-c{c}.txt" for t in ("00002", "99999", "100000") for c in ("000", "009", "010", "1000")]
+    got = spark.createDataFrame([(n,) for n in names], "f string").orderBy(*id_shards.file_order(F.col("f"))).collect()
+    assert [r.f for r in got] == names
+
+
 def test_shards_empty(spark, none, tmp_path):
     write_shards(none, f"file://{tmp_path}/out", BYTE, True, 2, 50257)
     assert shard_digests(spark, f"file://{tmp_path}/out").count() == 0
