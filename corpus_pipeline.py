@@ -26,28 +26,41 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[F.col("text") if c == "text" else n_chars[c].alias(c) if c in n_chars else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``docs`` has such a column (Spark's names do not know case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class stays, once even where its row repeats. Different texts under one id are
     documents of their own here, so that none goes that is like no other. Rows without an id are not compared and stay."""
-    key, nth = "__key", "__nth"
+    key, nth, k = spare(docs, "key", "nth", "k")
     keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", "text"))
-    classes = near_dedup.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias("k"), "group_id").distinct()
-    first = classes.join(keyed.select("doc_id", F.col(key).alias("k")), "k").groupBy("group_id").agg(F.min(F.struct("doc_id", "k")).alias("first"))
-    one = Window.partitionBy(key, "doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [key])
-    stay = first.select(F.col("first.k").alias("stays"))
-    named = keyed.join(stay, F.col(key) == F.col("stays"), "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth, key)
+    classes = near_dedup.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias(k), "group_id").distinct()
+    first = classes.join(keyed.select("doc_id", F.col(key).alias(k)), k).groupBy("group_id").agg(F.min(F.struct("doc_id", k)).alias("first"))
+    one = Window.partitionBy(key, "doc_id", "text").orderBy(*[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")] or [key])
+    stay = first.select(F.col(f"first.{k}").alias(key))
+    named = keyed.join(stay, key, "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth, key)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item or an edited copy of one go."""
-    key = "__key"  # also tells rows without an id apart
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias("found")).distinct()
-    return keyed.join(found, F.col(key) == F.col("found"), "left_anti").drop(key)
+    """Documents that hold a test item or an edited copy of one go; null texts hold none and stay. Rows are told apart by a 128-bit
+    digest of id and text, so rows without an id are judged by their text, and rows that repeat both go or stay together."""
+    (key,) = spare(docs, "key")
+    id_text = F.to_json(F.struct(F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t")))
+    keyed = docs.withColumn(key, F.md5(id_text.cast("binary")))
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts are empty and hold the end id only; repeated rows are documents of their own; other columns are ignored."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
