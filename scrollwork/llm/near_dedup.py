@@ -13,7 +13,7 @@ which is the plain Jaccard similarity where no shingle repeats.
 3. Pairs are verified on their whole texts by the exact J_P. Verified links are joined to classes.
 4. A bucket that is not one class yet can hide links between members that are not like the pivot. The documents of such
    buckets are banded anew with longer bands, in which pairs under the limit hardly meet, and paired and verified as before.
-5. Where a long band's bucket is still not one class, members outside the pivot's class become pivots in turn, 32, then 64 per
+5. Where a long band's bucket is still not one class, members outside the pivot's class become pivots in turn, 32, then 1 000 per
    bucket and round, until none is left. Pivots meet blocks of the bucket's members as rows of sketches, one byte for each of
    1 024 registers. Only pairs whose sketches agree in nearly the share that the limit asks for leave the block. Two classes
    need one link, so the best pair of any two is verified first, and the other pairs only if the two are still apart.
@@ -42,6 +42,8 @@ SKETCH = 1024
 #: standard deviations that a sketch may fall short of the limit
 SLACK = 3.7
 BLOCK = 1000
+#: pivots of a bucket in the first round, which find its larger classes, and in later ones
+FIRST, FURTHER = 32, 1000
 SALTS = 16
 GROUP_BYTES = 4 << 20
 
@@ -274,7 +276,7 @@ def alike(rows: DataFrame, similarity: float) -> DataFrame:
 def _outsiders(members: DataFrame, roots: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Classes once no bucket can hide a link between two of them."""
     state = written(_mixed(members, roots).select("key", "doc", "pivot", "root", "pivot_root"), "open")
-    used, step = None, 32
+    used, step = None, FIRST
     while True:
         out = state.where("root <> pivot_root").select("key", "doc", "root")
         if used is not None:
@@ -290,19 +292,18 @@ def _outsiders(members: DataFrame, roots: DataFrame, sketched: DataFrame, texts:
         # two pivots of a bucket meet once, not from either side, and so do a pair's buckets
         low, high = F.least("root", "by_root").alias("low"), F.greatest("root", "by_root").alias("high")
         pairs = written(pairs.groupBy(F.greatest("doc", "by").alias("doc"), F.least("doc", "by").alias("pivot"), low, high).agg(F.max("share").alias("share")), "alike")
-        best = written(pairs.groupBy("low", "high").agg(F.max(F.struct("share", "doc", "pivot")).alias("p")).select("p.doc", "p.pivot"), "best")
+        best = written(pairs.groupBy("low", "high").agg(F.max(F.struct("share", "doc", "pivot")).alias("p")).select("low", "high", "p.doc", "p.pivot"), "best")
         new = _linked(best, texts, similarity)
-        if not new.isEmpty():
-            roots = _joined(roots, new)
-        rest = _rooted(pairs.join(best, ["doc", "pivot"], "left_anti").select("doc", "pivot"), roots).where("root <> pivot_root")
-        new = _linked(rest, texts, similarity)
+        met = best.join(new, (F.col("doc") == F.col("a")) & (F.col("pivot") == F.col("b"))).select("low", "high")
+        rest = pairs.join(met, ["low", "high"], "left_anti").join(best, ["doc", "pivot"], "left_anti").select("doc", "pivot")
+        new = new.unionByName(_linked(rest, texts, similarity))
         if not new.isEmpty():
             roots = _joined(roots, new)
         used = chosen.select("key", "doc") if used is None else used.unionByName(chosen.select("key", "doc"))
         # only buckets with further outsiders go on
         left = out.join(chosen, ["key", "doc"], "left_anti").select("key").distinct()
         state = written(_rooted(state.select("key", "doc", "pivot").join(left, "key", "left_semi"), roots), "open")
-        step = 64
+        step = FURTHER
 
 
 @query()
