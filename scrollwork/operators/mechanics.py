@@ -8,6 +8,9 @@ aggregation, so a long document is never one string. Output rows:
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scrollwork.functions import fixed, ordered, text as T
@@ -31,9 +34,27 @@ def valid_term(c: Column, least: int = 3, stop=fixed.STOP_WORDS) -> Column:
     return (F.length(c) >= least) & ~F.lower(c).isin(stop) & c.rlike(r"^\p{L}+$")
 
 
+def _by_alphabet(c: Column, pattern: str, run: Callable[[str], Column]) -> Column:
+    """``run(pattern)``, on ASCII text without the ``U`` flag: there its classes match the same characters, several times faster."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    if not flags or "U" not in flags[1] or not T.ascii_safe([pattern]):
+        return run(pattern)
+    rest = flags[1].replace("U", "")
+    plain = (f"(?{rest})" if rest else "") + pattern[flags.end():]
+    return F.when(F.octet_length(c) == F.length(c), run(plain)).otherwise(run(pattern))
+
+
+def found_in(c: Column, pattern: str) -> Column:
+    return _by_alphabet(c, pattern, c.rlike)
+
+
+def all_of(c: Column, pattern: str, group: int = 1) -> Column:
+    return _by_alphabet(c, pattern, lambda p: F.regexp_extract_all(c, F.lit(p), group))
+
+
 def groups(c: Column, pattern: str, n: int) -> Column:
     """All matches as ``array<struct<g1, g2, …>>``."""
-    return F.arrays_zip(*[F.regexp_extract_all(c, F.lit(pattern), i).alias(f"g{i}") for i in range(1, n + 1)])
+    return _by_alphabet(c, pattern, lambda p: F.arrays_zip(*[F.regexp_extract_all(c, F.lit(p), i).alias(f"g{i}") for i in range(1, n + 1)]))
 
 
 def _single(values: Column) -> Column:
@@ -67,7 +88,7 @@ def _flag(extractor: str, field: str, test: Column) -> Column:
 
 
 def _first(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(T.strip(F.regexp_extract(c, pattern, group)), F.lit(""))
+    return F.nullif(T.strip(_by_alphabet(c, pattern, lambda p: F.regexp_extract(c, p, group))), F.lit(""))
 
 
 def _ranked(extractor: str, field: str, choices: list[Column]) -> Column:
@@ -79,11 +100,16 @@ def _ranked(extractor: str, field: str, choices: list[Column]) -> Column:
 
 
 def _cases(low: Column, rules: list[tuple[str, str]]) -> list[Column]:
-    return [F.when(low.rlike(pattern), F.lit(name)) for pattern, name in rules]
+    return [F.when(found_in(low, pattern), F.lit(name)) for pattern, name in rules]
 
 
 def _rows(texts: DataFrame, items: list[Column]) -> DataFrame:
-    return texts.select("doc_id", "part_no", F.inline(F.concat(*items)))
+    # held, because Catalyst infers filters on the size of what is inlined and would make the items twice or thrice
+    return T.hold(texts, {"__items": F.concat(*items)}).select("doc_id", "part_no", F.inline("__items"))
+
+
+def _each(d: DataFrame, found: Column, name: str) -> DataFrame:
+    return T.hold(d, {"__found": found}).select("doc_id", F.explode("__found").alias(name))
 
 
 def _low(texts: DataFrame) -> tuple[DataFrame, Column, Column]:
@@ -97,6 +123,8 @@ def _low(texts: DataFrame) -> tuple[DataFrame, Column, Column]:
 PAGE_BREAK = "\n\n---\n\n"
 #: the longest window behind a heading
 WINDOW = 1000
+#: pages whose heads meet in one row
+BLOCK = 1024
 #: put into the head words of a tail, so that no match begins there; taken out of what a window has caught
 MARK = "\x01"
 TAIL_WORDS = r"(?i)(attribut|trai|sta|talen|skil|knowledg|proficienc|abilit|clas|tie|typ|leve)"
@@ -105,18 +133,32 @@ TAIL_WORDS = r"(?i)(attribut|trai|sta|talen|skil|knowledg|proficienc|abilit|clas
 def with_tails(texts: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc_id, part_no, text, tail``: the first ``width`` characters of what follows a page, page breaks included; null on a last page.
 
-    Only heads of pages meet, by page number. Where they are shorter than a window, what follows the next page is appended, then
-    what follows the two next ones, and so on: the number of rounds grows with the logarithm of the pages that a window spans.
+    Heads of pages meet in blocks of ``BLOCK`` pages, with those of the pages behind a block that can reach into it: every page
+    adds at least its break, so their number is bounded. Texts stay out of the blocks.
     """
+    reach = -(-width // len(PAGE_BREAK))
     heads = texts.select("doc_id", "part_no", F.left(F.coalesce("text", F.lit("")), F.lit(width)).alias("head"))
     n = ordered.add_row_number(heads, ["doc_id"], ["part_no"], ordered.steps("part_no"), "rn")
-    ahead = n.select("doc_id", (F.col("rn") - 1).alias("rn"), F.concat(F.lit(PAGE_BREAK), "head").alias("tail"))
-    tails, step = cut_lineage(n.select("doc_id", "part_no", "rn").join(ahead, ["doc_id", "rn"])), 1
-    while not tails.where(F.length("tail") < width).join(tails.select("doc_id", (F.col("rn") - step).alias("rn")), ["doc_id", "rn"], "left_semi").isEmpty():
-        more = tails.select("doc_id", (F.col("rn") - step).alias("rn"), F.col("tail").alias("more"))
-        grown = tails.join(more, ["doc_id", "rn"], "left").withColumn("tail", F.left(F.concat("tail", F.coalesce("more", F.lit(""))), F.lit(width))).drop("more")
-        tails, step = cut_lineage(grown), step * 2
-    return texts.select("doc_id", "part_no", "text").join(tails.drop("rn"), ["doc_id", "part_no"], "left")
+    # the first pages of a block also stand at the end of the block before it; one block is at least as long as the reach
+    size = max(BLOCK, reach)
+    block = F.floor((F.col("rn") - 1) / size)
+    place = (F.col("rn") - 1) % size
+    near = n.select("doc_id", "rn", "part_no", "head", F.explode(F.when((place < reach) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
+    met = near.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("rn", "part_no", "head"))).alias("p"))
+    behind = F.transform("p", lambda x: F.concat(F.lit(PAGE_BREAK), x["head"]))
+    met = T.hold(met, {"b": behind})
+
+    def tail(i: Column) -> Column:
+        """Few pages fill most windows; only where they do not, more are put together."""
+        some = [F.array_join(F.slice("b", i + 2, k), "") for k in (2, 8, 32) if k < reach]
+        out = F.array_join(F.slice("b", i + 2, reach), "")
+        for c in reversed(some):
+            out = F.when(F.length(c) >= width, c).otherwise(out)
+        return F.when(i + 1 < F.size("b"), F.left(out, F.lit(width)))
+
+    rows = F.transform("p", lambda x, i: F.struct(F.floor((x["rn"] - 1) / size).alias("own"), x["part_no"].alias("part_no"), tail(i).alias("tail")))
+    tails = met.select("doc_id", "block", F.inline(rows)).filter("own = block AND tail IS NOT NULL").drop("own", "block")
+    return texts.select("doc_id", "part_no", "text").join(tails, ["doc_id", "part_no"], "left")
 
 
 def _across(texts: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
@@ -155,12 +197,12 @@ def last_by_name(rows: DataFrame) -> DataFrame:
 def extract_resolution(texts: DataFrame) -> DataFrame:
     d, t, low = _low(texts)
     x = "resolution"
-    dice = F.filter(F.regexp_extract_all(t, F.lit(r"(?iU)\b(\d*)d(\d+)\b"), 2), lambda v: v != "")
+    dice = F.filter(all_of(t, r"(?iU)\b(\d*)d(\d+)\b", 2), lambda v: v != "")
     pool = []
     for p in fixed.POOL_PATTERNS:
         p = "(?U)" + p
         both = F.concat(T.title_case(F.regexp_extract(low, p, 1)), F.lit(" + "), T.title_case(F.regexp_extract(low, p, 2)))
-        pool.append(F.when(low.rlike(p), both))
+        pool.append(F.when(found_in(low, p), both))
     scale1 = groups(t, rf"(?iU)(?:difficulty\s+)?(\d+)\s*[-–:]\s*({fixed.DIFFICULTY_LABELS})", 2)
     scale2 = groups(t, r"(?iU)(easy|routine|standard|challenging|difficult|hard|trivial)\s*[:\(]\s*(\d+)", 2)
     bands = groups(t, r"(?iU)(\d+)\s*[-–]\s*(\d+)\s*[:=]\s*(.+?)(?:\n|$)|(\d+)\s*\+\s*[:=]\s*(.+?)(?:\n|$)", 5)
@@ -180,7 +222,7 @@ def extract_resolution(texts: DataFrame) -> DataFrame:
         _items(x, "difficulty_scale", scale2, lambda z: _g(z, 1), lambda z: _g(z, 2)),
         _items(x, "outcome_bands", bands, ranged, label),
     ]
-    die = d.select("doc_id", F.explode(dice).alias("die")).groupBy("doc_id", "die").agg(F.count(F.lit(1)).alias("n"))
+    die = _each(d, dice, "die").groupBy("doc_id", "die").agg(F.count(F.lit(1)).alias("n"))
     die = die.groupBy("doc_id").agg(F.max_by("die", F.struct(F.col("n"), -F.col("die").cast("int"))).alias("value"))
     die = die.select("doc_id", F.lit(x).alias("extractor"), F.lit("die_type").alias("field"), F.lit(0).cast("bigint").alias("part_no"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("name"), "value")
     return first_hits(_rows(d, firsts)).unionByName(_rows(d, lists)).unionByName(die)
@@ -190,40 +232,55 @@ def extract_stats(texts: DataFrame) -> DataFrame:
     """Categories with the names that follow them, ability groups, ranges, pools, backgrounds, allocation and costs. Lists may go on on the next pages."""
     d, t, low, full = _across(texts)
     x = "stat_schema"
-    cats = F.filter(groups(full, r"(?iU)(\w+)\s+(?:attributes?|traits?|stats?)\s*[:\n](?=([\s\S]{0,1200}))", 2), lambda z: valid_term(_g(z, 1), 4))
+    # a word is tried from its beginning only (or from where the match before ended), and is not given back letter by letter
+    cats = F.filter(groups(full, r"(?iU)(?:\G|(?<!\w))(\w++)\s++(?:attributes?|traits?|stats?)\s*[:\n](?=([\s\S]{0,1200}))", 2), lambda z: valid_term(_g(z, 1), 4))
     names = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(_window(z["g2"], 500), F.lit(r"\b([A-Z][a-z]+)\b"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 5)
     cats = F.filter(cats, lambda z: F.size(names(z)) > 0)
-    seen = [F.max(low.rlike(rf"(?U)\b{a}\b")).alias(f"{cat}.{a}") for cat, attrs in fixed.COMMON_ATTRIBUTES for a in attrs]
-    common = []
-    for cat, attrs in fixed.COMMON_ATTRIBUTES:
-        met = F.filter(F.array(*[F.when(F.col(f"`{cat}.{a}`"), F.lit(a)) for a in attrs]), lambda v: v.isNotNull())
-        common.append(F.when(F.size(met) >= 2, F.struct(F.lit(cat).alias("name"), F.array_join(met, ",").alias("value"))))
+    met = F.array(*[F.when(found_in(low, rf"(?U)\b{a}\b"), F.struct(F.lit(f"{cat}.{a}").alias("g1"))) for cat, attrs in fixed.COMMON_ATTRIBUTES for a in attrs])
+    met = F.filter(met, lambda z: z.isNotNull())
     skills = groups(full, r"(?iU)(talents?|skills?|knowledges?|proficiencies?|abilities?)\s*[:\n](?=([\s\S]{0,1500}))", 2)
     listed = lambda z: F.slice(F.filter(F.transform(F.regexp_extract_all(_window(z["g2"], 1000), F.lit(r"(?:^|\n)\s*(?:•|[-*])?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), 1), F.lower), lambda v: valid_term(v, 4)), 1, 15)
     skills = F.filter(skills, lambda z: F.size(listed(z)) > 0)
     span = F.filter(
-        groups(t, r"(?iU)(\w+)\s+(?:rating|score|pool)?\s*(?:ranges?\s+from|is\s+rated)?\s*(\d+)\s*(?:to|-|–)\s*(\d+)", 3), lambda z: valid_term(_g(z, 1), 4)
+        groups(t, r"(?iU)(?:\G|(?<!\w))(\w++)\s++(?:rating|score|pool)?\s*(?:ranges?\s+from|is\s+rated)?\s*(\d+)\s*(?:to|-|–)\s*(\d+)", 3), lambda z: valid_term(_g(z, 1), 4)
     )
     alloc = F.transform(F.array(*[F.regexp_extract(low, r"(\d+)\s*/\s*(\d+)\s*/\s*(\d+)", i) for i in (1, 2, 3)]), lambda v: v.try_cast("int"))
     costs = F.filter(groups(t, r"(?iU)(\w+)\s*[:=]?\s*(\d+)\s*(?:per\s+dot|points?|xp|experience)", 2), lambda z: F.lower(_g(z, 1)).isin(fixed.COST_TRAITS))
     # the end of the list is sought in lower-case text, where a capital never ends it, and the heading belongs to the list
     section = F.regexp_extract(t, r"(?s)(?i:backgrounds?|advantages?|merits?)\s*[:\n].+?(?:\n\n|\z)", 0)
     back = F.filter(F.slice(F.regexp_extract_all(section, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b"), 1), 1, 20), lambda v: valid_term(v, 4))
-    found = last_by_name(_rows(d, [
+    pools = F.filter(all_of(low, r"(?U)(?:\G|(?<!\w))(\w++)\s++(?:points?|pool)"), lambda v: valid_term(v, 4))
+    rows = _rows(d, [
         _items(x, "attributes", cats, lambda z: F.lower(_g(z, 1)), lambda z: F.array_join(names(z), ",")),
         _items(x, "abilities", skills, lambda z: F.regexp_replace(F.lower(_g(z, 1)), "s+$", ""), lambda z: F.array_join(listed(z), ",")),
         _items(x, "special_traits", span, lambda z: F.lower(_g(z, 1)), lambda z: F.concat(_g(z, 2), F.lit("-"), _g(z, 3))),
         _items(x, "advancement_costs", costs, lambda z: F.lower(_g(z, 1)), lambda z: _g(z, 2)),
-    ]))
+        _items(x, "trait_pools", _single(pools), lambda z: z["g1"]),
+        _one(x, "point_allocation", F.when(F.get(alloc, F.lit(0)).isNotNull(), F.array_join(F.reverse(F.array_sort(alloc)), "/"))),
+        _items(x, "__seen", met, lambda z: z["g1"]),
+    ])
+    # one pass over the texts; the last, the first and the number of each name are what all fields are made of
+    place = F.struct("part_no", "ord")
+    g = rows.groupBy("doc_id", "extractor", "field", "name").agg(
+        F.max_by(F.struct("part_no", "ord", "value"), place).alias("l"), F.min_by(F.struct("part_no", "ord", "value"), place).alias("f"), F.count(F.lit(1)).alias("n"),
+    )
+    g = cut_lineage(g)
+    columns = ["doc_id", "extractor", "field", "part_no", "ord", "name", "value"]
+    found = g.filter(F.col("field").isin("attributes", "abilities", "special_traits", "advancement_costs")).select("doc_id", "extractor", "field", "l.part_no", "l.ord", "name", "l.value")
+    nowhere = [F.lit(0).cast("bigint").alias("part_no"), F.lit(0).alias("ord")]
     # two names of a list anywhere in the document are enough
-    basic = d.groupBy("doc_id").agg(*seen).select("doc_id", F.inline(F.filter(F.array(*common), lambda v: v.isNotNull())))
-    basic = basic.select("doc_id", F.lit(x).alias("extractor"), F.lit("attributes").alias("field"), F.lit(0).cast("bigint").alias("part_no"), F.lit(0).alias("ord"), "name", "value")
-    basic = basic.join(found.filter("field = 'attributes'").select("doc_id", "name"), ["doc_id", "name"], "left_anti").select(*found.columns)
-    pools = F.filter(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)\s+(?:points?|pool)"), 1), lambda v: valid_term(v, 4))
-    pool = counted(_rows(d, [_items(x, "trait_pools", _single(pools), lambda z: z["g1"])]), 3)
-    pool = pool.join(found.filter("field = 'special_traits'").select("doc_id", "name"), ["doc_id", "name"], "left_anti").select(*found.columns)
-    firsts = first_hits(_rows(d, [_one(x, "point_allocation", F.when(F.get(alloc, F.lit(0)).isNotNull(), F.array_join(F.reverse(F.array_sort(alloc)), "/")))]))
-    lists = _rows(d, [_items(x, "backgrounds", _single(back), lambda z: z["g1"])])
+    seen = g.filter("field = '__seen'").groupBy("doc_id").agg(F.collect_set("name").alias("s"))
+    common = []
+    for cat, attrs in fixed.COMMON_ATTRIBUTES:
+        both = F.filter(F.array(*[F.when(F.array_contains("s", f"{cat}.{a}"), F.lit(a)) for a in attrs]), lambda v: v.isNotNull())
+        common.append(F.when(F.size(both) >= 2, F.struct(F.lit(cat).alias("name"), F.array_join(both, ",").alias("value"))))
+    basic = seen.select("doc_id", F.inline(F.filter(F.array(*common), lambda v: v.isNotNull())))
+    basic = basic.select("doc_id", F.lit(x).alias("extractor"), F.lit("attributes").alias("field"), *nowhere, "name", "value")
+    basic = basic.join(found.filter("field = 'attributes'").select("doc_id", "name"), ["doc_id", "name"], "left_anti").select(*columns)
+    pool = g.filter("field = 'trait_pools' AND n >= 3").select("doc_id", "extractor", "field", *nowhere, "name", F.col("n").cast("string").alias("value"))
+    pool = pool.join(found.filter("field = 'special_traits'").select("doc_id", "name"), ["doc_id", "name"], "left_anti").select(*columns)
+    firsts = g.filter("field = 'point_allocation'").select("doc_id", "extractor", "field", "f.part_no", F.lit(0).alias("ord"), "name", "f.value")
+    lists = _rows(texts.select("doc_id", "part_no", "text"), [_items(x, "backgrounds", _single(back), lambda z: z["g1"])])
     return found.unionByName(basic).unionByName(pool).unionByName(firsts).unionByName(lists)
 
 
@@ -248,7 +305,7 @@ def extract_health(texts: DataFrame) -> DataFrame:
     use = rows.filter("field <> 'layout_3'").unionByName(rows.filter("field = 'layout_3'").join(ladder, "doc_id", "left_semi"))
     first = use.groupBy("doc_id", F.lower("name").alias("k")).agg(F.min_by(F.struct("name", "value", "part_no", "ord"), F.struct("field", "part_no", "ord")).alias("f"))
     levels = first.select("doc_id", F.lit(x).alias("extractor"), F.lit("health_levels").alias("field"), "f.part_no", "f.ord", "f.name", F.col("f.value").cast("string").alias("value"))
-    kinds = F.filter(F.regexp_extract_all(low, F.lit(r"(?U)\b(\w+)\s+damage\b"), 1), lambda v: ~v.isin(fixed.NOT_DAMAGE_TYPES) & valid_term(v, 4))
+    kinds = F.filter(all_of(low, r"(?U)\b(\w+)\s+damage\b"), lambda v: ~v.isin(fixed.NOT_DAMAGE_TYPES) & valid_term(v, 4))
     damage = counted(_rows(d, [_items(x, "damage_types", _single(kinds), lambda z: z["g1"])]), 2, 5)
     soaks = F.lit(False)
     for p in fixed.SOAK_PATTERNS:
@@ -322,22 +379,22 @@ def extract_magic(texts: DataFrame) -> DataFrame:
     mod_items = [_items(x, "difficulty_modifiers", m, lambda z, a=a: F.substring(_g(z, a), 1, 100), lambda z, b=b: F.substring(_g(z, b), 1, 100)) for m, a, b in mods]
     w = W.partitionBy("doc_id").orderBy("part_no", "ord", "name", "value")
     modifiers = _rows(d, mod_items).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= 10).drop("__r")
-    named = F.concat(*[F.regexp_extract_all(low, F.lit("(?U)" + p), 1) for p in fixed.SCHOOL_PATTERNS])
+    named = F.concat(*[all_of(low, "(?U)" + p) for p in fixed.SCHOOL_PATTERNS])
     named = F.array_distinct(F.filter(named, lambda v: ~v.isin(fixed.NOT_SCHOOLS) & valid_term(v, 4)))
-    schools = d.select("doc_id", F.explode(named).alias("name")).distinct()
-    words = d.select("doc_id", F.explode(T.terms(t)).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    schools = _each(d, named, "name").distinct()
+    words = _each(d, T.terms(t), "name").groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
     said = words.join(schools, ["doc_id", "name"]).filter("n >= 3")
     ws = W.partitionBy("doc_id").orderBy(F.desc("n"), F.asc("name"))
     said = said.withColumn("__r", F.row_number().over(ws)).filter(F.col("__r") <= 15)
     said = said.select("doc_id", F.lit(x).alias("extractor"), F.lit("spell_schools").alias("field"), F.lit(0).cast("bigint").alias("part_no"), F.lit(0).alias("ord"), T.title_case(F.col("name")).alias("name"), F.col("n").cast("string").alias("value"))
-    pools = F.concat(*[F.regexp_extract_all(low, F.lit("(?U)" + p), 1) for p in fixed.RESOURCE_PATTERNS])
+    pools = F.concat(*[all_of(low, "(?U)" + p) for p in fixed.RESOURCE_PATTERNS])
     pools = F.transform(F.array_distinct(F.filter(pools, lambda v: valid_term(v, 4))), T.title_case)
     will = r"spend\s+(?:a\s+)?(?:point\s+of\s+)?willpower"
     resources = last_by_name(_rows(d, [
         _items(x, "resource_pools", _single(pools), lambda z: z["g1"]),
         _items(x, "resource_pools", F.when(low.rlike(will), _single(F.array(F.lit("Willpower")))).otherwise(_single(F.array().cast("array<string>"))), lambda z: z["g1"]),
     ]))
-    foci = low.rlike(r"(?U)\bfoci\b|\bfocus\b|\bcomponent|material\s+component|verbal|somatic")
+    foci = found_in(low, r"(?U)\bfoci\b|\bfocus\b|\bcomponent|material\s+component|verbal|somatic")
     firsts = first_hits(_rows(d, [
         _ranked(x, "casting_stat", stat), _ranked(x, "casting_mechanic", _cases(low, fixed.CASTING_MECHANICS)),
         _flag(x, "foci_required", foci & low.rlike(r"require[ds]?\s+(?:a\s+)?(?:focus|foci|component)")),
@@ -345,7 +402,7 @@ def extract_magic(texts: DataFrame) -> DataFrame:
         _flag(x, "supports_rituals", low.rlike(r"ritual|extended\s+cast|longer\s+cast|casting\s+time")),
     ]))
     # the first keyword of the list that occurs anywhere in the document
-    hit = F.array(*[F.when(low.rlike(rf"(?U)\b{kw}\b"), F.lit(i)) for i, kw in enumerate(fixed.BACKLASH_WORDS)])
+    hit = F.array(*[F.when(found_in(low, rf"(?U)\b{kw}\b"), F.lit(i)) for i, kw in enumerate(fixed.BACKLASH_WORDS)])
     back = d.groupBy("doc_id").agg(F.min(F.array_min(hit)).alias("i")).filter("i is not null")
     name = F.element_at(F.array(*[F.lit(w_) for w_ in fixed.BACKLASH_WORDS]), F.col("i") + 1)
     back = back.select("doc_id", F.lit(x).alias("extractor"), F.lit("backlash_system").alias("field"), F.lit(0).cast("bigint").alias("part_no"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("name"), T.title_case(name).alias("value"))
@@ -356,11 +413,14 @@ def extract_counters(texts: DataFrame) -> DataFrame:
     """``Name: v/max`` counters, and thresholds where the document has any counter."""
     d, t, low = _low(texts)
     x = "clocks"
-    found = groups(t, r"(?iU)(?:^|\n)\s*(\w[\w\s]*?)\s*(?:clock)?\s*[:=]\s*(\d+)\s*/\s*(\d+)", 3)
+    form = r"(?iU)(?:^|\n)\s*(\w[\w\s]*?)\s*(?:clock)?\s*[:=]\s*(\d+)\s*/\s*(\d+)"
+    # a counter holds all that its pattern looks at, so the text is passed once and the short matches are taken apart
+    found = _by_alphabet(t, form, lambda p: F.transform(F.regexp_extract_all(t, F.lit(p), 0), lambda m: F.struct(*[F.regexp_extract(m, p, i).alias(f"g{i}") for i in (1, 2, 3)])))
     marks = groups(t, r"(?iU)(?:at|when|if)\s+(\d+)\s*[:=]\s*(.+?)(?:\n|$)", 2)
     counters = _rows(d, [_items(x, "clocks", found, lambda z: _g(z, 1), lambda z: F.concat(_g(z, 2), F.lit("/"), _g(z, 3)))])
     triggers = _rows(d, [_items(x, "triggers", marks, lambda z: _g(z, 1), lambda z: _g(z, 2))])
-    return counters.unionByName(triggers.join(counters.select("doc_id").distinct(), "doc_id", "left_semi"))
+    have = d.filter(found_in(t, form)).select("doc_id").distinct()
+    return counters.unionByName(triggers.join(have, "doc_id", "left_semi"))
 
 
 def _keyword_lines(texts: DataFrame, extractor: str, field: str, words: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from scrollwork.operators import cycles, mechanics, rules
 from scrollwork.plans import bind
 from scrollwork.plans.bind import quote, sql_ascii, sql_case, sql_list, sql_slug
 from scrollwork.plans.registry import job, table
+from scrollwork.session import cut_lineage, deal
 
 # One sheet per part, brand by brand. {a} {b}: the words of its name; {s}: its size; {t}: its type.
 LINES = [
@@ -31,8 +32,13 @@ def _sql_line(line: str) -> str:
 SHEET_SQL = "(SELECT p_brand AS doc_id, p_partkey AS part_no, p_name, p_size, p_type, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, " + " || chr(10) || ".join(_sql_line(x) for x in LINES) + " AS text FROM part)"
 
 
+def parts(spark, sf):
+    """Names and sizes are dealt out before the texts are made of them."""
+    return deal(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+
+
 def sheets(spark, sf):
-    p = table(spark, sf, "part")
+    p = parts(spark, sf)
     cols = {
         "a": F.split_part("p_name", F.lit(" "), F.lit(1)), "b": F.split_part("p_name", F.lit(" "), F.lit(2)), "s": F.col("p_size").cast("string"), "t": F.col("p_type"),
         "m": (F.col("p_size") % 4 + 1).cast("string"), "lab": T.first_in(F.col("p_type"), LABEL, "Trivial"),
@@ -78,7 +84,7 @@ def extract_health(spark, sf):
 
 
 def arms(spark, sf):
-    p = table(spark, sf, "part")
+    p = parts(spark, sf)
     a, b = F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2)))
     text = F.concat_ws(
         "\n", F.concat(a, F.lit(" Gun")), F.lit("5"), F.lit("2d6"), F.lit("10-20"), F.concat(F.lit("note "), b), b, F.concat(F.lit("Strength + "), F.col("p_size")), F.lit("lethal"),
@@ -103,7 +109,7 @@ def extract_equipment(spark, sf):
 
 def paged(spark, sf, line):
     """One page per part, brand by brand: ``line(a, b, size)``."""
-    p = table(spark, sf, "part")
+    p = parts(spark, sf)
     a, b = F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2)))
     return p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("part_no"), F.concat(*line(a, b, F.col("p_size").cast("string"))).alias("text"))
 
@@ -199,7 +205,7 @@ def extraction_confidence(spark, sf):
 UNION ALL SELECT doc_id, 'action_types', count(*), 0.5, FALSE FROM {SHEET_SQL} GROUP BY doc_id""")
 def extraction_report(spark, sf):
     s = sheets(spark, sf)
-    rows = mechanics.extract_counters(s).unionByName(mechanics.extract_actions(s))
+    rows = cut_lineage(mechanics.extract_counters(s).unionByName(mechanics.extract_actions(s)))
     r = mechanics.extraction_report(rows, mechanics.extraction_confidence(rows))
     return r.select("doc_id", "extractor", "items", "confidence", "needs_review")
 
@@ -219,9 +225,11 @@ def overlay_known(spark, sf):
 UNION ALL SELECT DISTINCT doc_id, 'conditions', 'stunned', 'lose ' || p_size || ' points of ' || b FROM {SHEET_SQL} UNION ALL SELECT DISTINCT doc_id, 'conditions', 'stunned', 'new' FROM {SHEET_SQL}""")
 def merge_extractions(spark, sf):
     s = sheets(spark, sf)
-    a = mechanics.extract_conditions(s).unionByName(mechanics.extract_resolution(s).filter("field = 'default_difficulty'"))
+    # both sides are made of the same rows, which are extracted once
+    c = cut_lineage(mechanics.extract_conditions(s))
+    a = c.unionByName(cut_lineage(mechanics.extract_resolution(s).filter("field = 'default_difficulty'")))
     b = a.withColumn("value", F.when(F.col("name").isNull(), "99").otherwise("new"))
-    b = b.unionByName(mechanics.extract_conditions(s))
+    b = b.unionByName(c)
     return mechanics.merge_extractions(a, b).select("doc_id", "field", "name", "value")
 
 
@@ -229,7 +237,7 @@ def merge_extractions(spark, sf):
 t AS (SELECT doc_id, p_size::VARCHAR AS threshold, arg_max(p_type || ' rises', part_no) AS effect FROM {SHEET_SQL} GROUP BY ALL)
 SELECT doc_id, counter, value, max, threshold, effect FROM c JOIN t USING (doc_id)""")
 def assemble_configs(spark, sf):
-    c = mechanics.assemble_configs(mechanics.extract_counters(sheets(spark, sf)))
+    c = mechanics.assemble_configs(cut_lineage(mechanics.extract_counters(sheets(spark, sf))))
     return c["triggers"].join(c["counters"], ["doc_id", "counter"]).select("doc_id", "counter", "value", "max", "threshold", "effect")
 
 
