@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scrollwork.session import scratch
+from scrollwork.session import scratch, small_batches  # noqa: F401 (operators take it from here)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,18 +38,6 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Spark's own bound on the bytes of a batch that goes to Python
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(df: DataFrame, size: str = "8m") -> None:
-    """Let Python tasks take rows in batches of about ``size`` bytes, where their arrays are many times larger than the texts.
-    A bound that the session has set itself stays."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_BYTES) in ("67108864", "67108864b", "64m", "64MB"):
-        conf.set(BATCH_BYTES, size)
-
-
 def as_text(df: DataFrame, *ids: str) -> DataFrame:
     """Ids as text on their way through pandas, where whole numbers beside a null would become floats; cast them back behind it."""
     return df.withColumns({c: F.col(c).cast("string") for c in ids})

@@ -23,10 +23,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from scrollwork.llm.common import fold, query, table, written
+from scrollwork.llm.common import fold, query, small_batches, table, written
 
 ORDER = 4
+#: longer texts are scored in parts of this many characters
 PART = 1 << 20
+#: characters that are scored together; a position takes about a hundred bytes of working arrays
+GROUP = 1 << 18
 LEAST_GRAMS = 2000
 #: languages with fewer documents in all have none to spare for the limits
 SPARE_FROM = 20
@@ -195,7 +198,7 @@ def parts(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
             group.append(t[at : at + PART])
             owner.append(k)
             size += len(group[-1])
-            if size >= PART:
+            if size >= GROUP:
                 yield group, owner
                 group, owner, size = [], [], 0
     if group:
@@ -228,6 +231,7 @@ def fit(df: DataFrame, sample_docs: int = 4000, max_cells: int = 8_000_000) -> M
     counted, and it has no limit. Where the languages have more than ``max_cells / languages / 2`` n-grams together, the most
     frequent ones of each are kept, up to its share.
     """
+    small_batches(df)
     sample = sample_of(df, sample_docs)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,6 +299,7 @@ def classify(df: DataFrame, model: Model | None, keep: list[str] | None = None)
     Null texts count as empty. Without a model (nothing to learn from) every text is ``und``. Repeated rows, null ids
     and further columns have no effect. An empty table gives no rows.
     """
+    small_batches(df)
     keep, fields = keep or [], [f for f in df.schema if f.name in ["doc_id", *(keep or [])]]
     out_schema = T.StructType([*fields, *T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, adjusted double, rejected boolean")])
 
@@ -309,6 +314,7 @@ def classify(df: DataFrame, model: Model | None, keep: list[str] | None = None)
 
 def accepted(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose text is not rejected."""
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

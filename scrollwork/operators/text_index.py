@@ -23,9 +23,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from scrollwork.functions import text as T
 from scrollwork.functions.stem import stem
 from scrollwork.operators import retrieval
+from scrollwork.session import small_batches
 
 #: folders of a pack; an index of many packs wants few, one of large packs many
 BUCKETS = 8
+#: tokens that are indexed together in a task
+PIECE = 1 << 18
 #: packs that a search may name in a partition filter
 NAMED_PACKS = 1000
 
@@ -45,6 +48,14 @@ def stemmed_terms(terms: pa.Array) -> pa.Array:
     return pa.DictionaryArray.from_arrays(coded.indices, pa.array([stem(t) for t in coded.dictionary.to_pylist()], pa.string())).cast(pa.string())
 
 
+def pieces(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
+    """Runs of rows of about ``PIECE`` tokens, views of the batch: its working arrays take many times the memory of the tokens."""
+    before = np.append(0, np.cumsum(np.diff(batch.column(column).offsets.to_numpy())))
+    ends = np.flatnonzero(np.diff(before[1:] // PIECE, append=-1)) + 1  # the last row always ends a run
+    starts = np.append(0, ends[:-1])
+    return [batch.slice(int(a), int(b - a)) for a, b in zip(starts, ends)] if batch.num_rows else []
+
+
 def positions(chunks: DataFrame, fields: list[Column], key: str = "chunk_id", carry: list[str] = [], stemmed: bool = False) -> DataFrame:
     """``key``, ``carry``, ``length``, ``term``, ``positions``: one row per chunk and term, without a shuffle.
 
@@ -57,7 +68,7 @@ def positions(chunks: DataFrame, fields: list[Column], key: str = "chunk_id", ca
     kinds = [to_arrow_type(rows.schema[c].dataType) for c in names]
 
     def post(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, len(names))):
             lists = batch.column(len(names))
             counts = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
@@ -81,6 +92,7 @@ def positions(chunks: DataFrame, fields: list[Column], key: str = "chunk_id", ca
             )
 
     schema = StructType([rows.schema[c] for c in names])
+    small_batches(rows)
     return rows.mapInArrow(post, schema.add("length", IntegerType()).add("term", StringType()).add("positions", ArrayType(IntegerType())))
 
 
