@@ -136,3 +136,17 @@ def test_changed_windows_only(spark, tmp_path):
     assert spark.read.parquet(f"{path}/out/changes").count() == 5  # one window a batch
     got = S.read_changes(spark, path, ["started", "ended", "event_type"]).orderBy("started").collect()
     assert [r.events for r in got] == [3, 2]
+
+
+def test_keys_of_one_bucket_stay_apart(spark, tmp_path, monkeypatch):
+    """Fifty keys and a null one in two groups; whole numbers beyond 2^53 stay whole beside nulls."""
+    monkeypatch.setattr(keyed, "BUCKETS", 2, raising=False)
+    rows = [(k if k < 50 else None, n, None if (k + n) % 3 == 0 else 2**60 + 51 * n + k) for n in range(4) for k in range(51)]
+    src = feed(spark, str(tmp_path / "in"), rows, "campaign_id long, n long, value long", 2)
+    changes = keyed.latest(src, ["campaign_id"], ["n"])
+    assert "bucket_" in changes._jdf.queryExecution().analyzed().toString()  # a group a key costs milliseconds each
+    path = str(tmp_path / "out")
+    wait(keyed.append_to(changes, path, 2))
+    got = out(spark, path)
+    assert got.count() == 2 * 51
+    assert sorted(map(tuple, keyed.newest(got, ["campaign_id"], ["n"]).collect()), key=repr) == sorted((r for r in rows if r[1] == 3), key=repr)
