@@ -10,6 +10,7 @@ from scrollwork.plans import bind
 from scrollwork.plans.bind import quote, sql_ascii, sql_case, sql_hits, sql_list, sql_slug, sql_strip, sql_total, sql_words
 from scrollwork.plans.corpus_jobs import NEST, _sections, intent_sql
 from scrollwork.plans.registry import job, table
+from scrollwork.session import cut_lineage
 
 S = bind.SEGMENTS_SQL
 SPAN = lambda: ordered.steps("seg_no")
@@ -267,7 +268,8 @@ SELECT cl.doc_id, cl.seg_no, array_to_string(CASE WHEN related IS NULL THEN [] W
     ELSE [entity_id] || related END, ',') AS entity_refs
 FROM cl LEFT JOIN r ON r.doc_id = cl.doc_id AND r.entity_id = {sql_slug('title')}""")
 def attach_refs(spark, sf):
-    c = classified(spark, sf)
+    # both sides of the join read the classified segments: written once, without their texts
+    c = cut_lineage(classified(spark, sf).select("doc_id", "seg_no", "title", "content_type", "intent", "route"))
     e = entities.dedupe_entities(entities.entities_from_segments(entities.lore_segments(c)))
     rel = F.array("entity_type", F.concat(F.lit("kin_"), F.substring("entity_id", 1, 3)))
     e = e.withColumn("related", F.when(F.col("mentions") > 1, F.concat(rel, F.array("entity_id"))).otherwise(rel))
