@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scrollwork.functions import fixed, ordered, text as T
+from scrollwork.session import cut_lineage
 
 
 def density(low: Column, words: Column, patterns=fixed.DENSITY_PATTERNS) -> Column:
@@ -71,14 +72,13 @@ def classify(df: DataFrame, col: str = "content", words: str = "word_count", int
 
 
 def review_queue(df: DataFrame, order: list[str], span: Column, below: float = 0.7, size: int = 10, preview: int = 500) -> DataFrame:
-    """Low-confidence segments of a document in batches, with a text preview."""
-    low = df.filter(F.col("confidence") < below)
-    d = ordered.add_row_number(low, ["doc_id"], order, span, "__rn")
-    return (
-        d.withColumn("batch_no", F.floor((F.col("__rn") - 1) / size))
-        .withColumn("preview", F.substring("content", 1, preview))
-        .drop("__rn", "content")
-    )
+    """Low-confidence segments of a document in batches, with a text preview.
+
+    Numbering reads its rows twice, so they are written first: texts are classified once and only previews move on.
+    """
+    low = df.filter(F.col("confidence") < below).withColumn("preview", F.substring("content", 1, preview)).drop("content")
+    d = ordered.add_row_number(cut_lineage(low), ["doc_id"], order, span, "__rn")
+    return d.withColumn("batch_no", F.floor((F.col("__rn") - 1) / size)).drop("__rn")
 
 
 def apply_verdicts(df: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFrame:
