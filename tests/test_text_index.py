@@ -110,3 +110,24 @@ def test_retrieve_with_every_stage(spark, tmp_path):
     assert got == {"a": [("p2:club", 0), ("007:viktor", 1), ("p2:note", 3), ("p2:empty", 3), ("007:bar", 3)], "b": [("007:bar", 1)]}
     scan = retrieval.retrieve(q, df, manifest, items=items).select("query_id", "chunk_id", "place")
     assert {r.query_id for r in scan.collect()} == {"a", "b"}
+
+
+def test_phrases_meet_once_a_chunk(spark, tmp_path):
+    """Phrases that share words do not bring their postings once each, and a chunk may go over the end of a batch."""
+    rnd = random.Random(8)
+    words = ["old", "town", "hall", "red"]
+    texts = {f"c{k}": [rnd.choice(words) for _ in range(rnd.randint(0, 25))] for k in range(60)}
+    rows = [(c, f"p{int(c[1:]) % 2}", "", " ".join(ts), "t", []) for c, ts in texts.items()]
+    text_index.write_index(chunks(spark, rows), f"file://{tmp_path}/i", [F.col("content")], buckets=2)
+    phrases = [("old", "town"), ("old", "town", "old"), ("red", "red"), ("hall", "red", "old", "town"), ("town", "lamp")]
+    sent = spark.createDataFrame([(" ".join(p),) for p in phrases], "phrase string")
+    want = sorted((" ".join(p), c, len(ts), n) for p in phrases for c, ts in texts.items() if (n := sum(tuple(ts[i : i + len(p)]) == p for i in range(len(ts)))))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        hits, freq = text_index.index_hits(spark, f"file://{tmp_path}/i", sent)
+        assert "collect_list" not in hits._jdf.queryExecution().toString()
+        assert sorted((r.phrase, r.chunk_id, r.length, r.tf) for r in hits.collect()) == want
+        assert dict(map(tuple, freq.collect())) == {p: sum(w[0] == p for w in want) for p in {w[0] for w in want}}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
