@@ -131,3 +131,14 @@ def test_phrases_meet_once_a_chunk(spark, tmp_path):
         assert dict(map(tuple, freq.collect())) == {p: sum(w[0] == p for w in want) for p in {w[0] for w in want}}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_named_packs_are_not_dealt_by_pack(spark, index):
+    """One pack may hold most rows: a few named packs are a filter, and the rows of a pack's run share a row of the index."""
+    packs = spark.createDataFrame([("007",)], "pack_id string")
+    stored = text_index._read(spark, f"{index}/postings")
+    assert text_index._named(packs) == ["007"] and text_index._named(spark.range(1001).select(F.col("id").cast("string").alias("pack_id"))) is None
+    few = text_index._of_packs(stored, packs, ["007"])
+    assert "Join" not in few._jdf.queryExecution().toString()
+    assert sorted(map(tuple, few.where("term <> ''").select("term", "chunks", "tokens").collect())) == sorted(map(tuple, text_index._of_packs(stored, packs, None).where("term <> ''").select("term", "chunks", "tokens").collect()))
+    assert stored.where("term = 'red'").groupBy("pack_id").agg(F.sum("chunks"), F.sum("tokens")).orderBy("pack_id").collect() == [("007", 2, 4), ("p2", 1, 1)]
