@@ -21,6 +21,8 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE_RUN = re.compile(r"\s\s")
 SPACES = re.compile("[\t\n\x0b\x0c\r]")
 BLOCK_CHARS = 1 << 20
+#: bytes of UTF-8, read as Latin-1, that a byte-level vocabulary writes as other characters
+BYTE_CHARS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class ChunkEncoder:
@@ -44,10 +46,11 @@ class ChunkEncoder:
     def _look(self, chunks: list[str], spaced: bool) -> list[bytes]:
         young = self.young[spaced]
         found = list(map(young.get, chunks))
-        if None not in found:
+        missing = [i for i, v in enumerate(found) if v is None]
+        if not missing:
             return found
         old, new = self.old[spaced], []
-        for w in {w for w, v in zip(chunks, found) if v is None}:
+        for w in {chunks[i] for i in missing}:
             v = old.get(w)
             if v is None:
                 new.append(w)
@@ -57,23 +60,34 @@ class ChunkEncoder:
         for w, ids in zip(new, self._ids(new, spaced)):
             young[w] = ids
             self.chars += len(w) + 8
-        return list(map(young.__getitem__, chunks))
+        for i in missing:
+            found[i] = young[chunks[i]]
+        return found
 
     def _ids(self, new: list[str], spaced: bool) -> list[bytes]:
-        """Ids of new chunks. The splitter leaves a run of ASCII letters whole and parts it from punctuation behind it, so such
-        chunks go to the library's merge model at once; all others pass through the whole tokenizer."""
+        """Ids of new chunks. The splitter leaves a run of ASCII letters whole (a byte-level one, which has no normaliser, a run
+        of Latin letters too) and parts it from punctuation behind it, so such chunks go to the library's merge model at once;
+        all others pass through the whole tokenizer."""
         prefix = " " if spaced and self.leading_space else ""
-        merge, young, out, rest = self.tokenizer.model.tokenize, self.young[spaced], [], []
+        merge, young, plain, out, rest = self.tokenizer.model.tokenize, self.young[spaced], self.young[False], [], []
+        head = "\u0120" if prefix else ""
         for k, w in enumerate(new):
             word = w.rstrip(".,!?;:")
-            if not (word.isascii() and word.isalpha()):
+            if not (word.isalpha() and (word.isascii() or self.leading_space and max(word) < "\u0250")):
                 out.append(b"")
                 rest.append(k)
                 continue
             ids = young.get(word)
             if ids is None:
-                ids = array("I", [t.id for t in merge("\u0120" + word if prefix else word if self.leading_space else word.lower())]).tobytes()
-            out.append(ids if len(word) == len(w) else ids + self._look([w[len(word) :]], False)[0])
+                if not self.leading_space:
+                    piece = word.lower()
+                else:
+                    piece = head + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS))
+                ids = array("I", [t.id for t in merge(piece)]).tobytes()
+            if len(word) < len(w):
+                mark = w[len(word) :]
+                ids += plain.get(mark) or self._look([mark], False)[0]
+            out.append(ids)
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([prefix + new[k] for k in rest], add_special_tokens=False)):
             out[k] = array("I", e.ids).tobytes()
         return out

@@ -29,6 +29,26 @@ def test_chunks_equal_whole_texts(path, leading):
     assert [x.tolist() for x in ChunkEncoder(path, leading, max_chars=2000).encode(texts)] == want
 
 
+def test_latin_words_are_merged_without_the_splitter():
+    """Latin words with marks go to the merge model; every such letter, and what stands behind a word, gives the library's ids."""
+    letters = [c for c in map(chr, range(0xAA, 0x250)) if c.isalpha()]
+    words = [a + b for a in letters for b in ("", "e", "tés")] + ["x" + c for c in letters] + ["Été", "déjà,", "où...", "à;:"]
+    texts = [f"{w} {w}. {w}!? a" for w in words]
+    whole, passed = Tokenizer.from_file(BYTE), []
+
+    class Watched:
+        model = whole.model
+
+        def encode_batch_fast(self, chunks, add_special_tokens):
+            passed.extend(chunks)
+            return whole.encode_batch_fast(chunks, add_special_tokens=add_special_tokens)
+
+    enc = ChunkEncoder(BYTE, True)
+    enc.tokenizer = Watched()
+    assert [x.tolist() for x in enc.encode(texts)] == [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert not [c for c in passed if any(map(str.isalpha, c))]
+
+
 def whole_ids(rows, path, end):
     tok = Tokenizer.from_file(path)
     return [(i, tok.encode(t or "", add_special_tokens=False).ids + [end]) for i, t in rows]
