@@ -2,36 +2,36 @@
 
 The model spells tokens: a text is its tokens' bytes, a blank after each, and one end. N-grams of up to ``ORDER`` bytes of the
 training texts, smoothed by interpolated Kneser-Ney, become the automaton: a state is a context, its arcs are the
-n-grams that extend it, and its failure arc leads, at a cost, to the state of the next shorter context. One traversal
-from left to right carries the state and adds up log probabilities.
-
-Nothing of the model is broadcast, because it grows with the corpus. Documents form blocks of bounded size (runs of
-rows of a file). A block's distinct n-grams and words are counted where they are read; counts are summed by key
-over all blocks; the model is built by joins, order by order; and each block gets back the part of the automaton that
-its own n-grams can reach, which is enough to score it exactly.
+n-grams that extend it, and its failure arc leads, at a cost, to the state of the next shorter context. The last
+``ORDER - 1`` symbols decide on the state, so all positions of a text take their transitions side by side.
+
+The model grows with the corpus, so none of it is broadcast but n-grams of up to two bytes. Documents form blocks of bounded
+size (runs of rows of a file). A block's distinct n-grams and words are counted where they are read, once; counts are
+summed by key over all blocks; the model is built by joins, order by order. Transitions that occur in texts but are no arcs
+follow their failure arcs by a join too, once per distinct transition. Each block gets back the weights of its own
+transitions, which is enough to score it exactly; its texts follow them in batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scrollwork.llm.common import as_text, fold, query, small_batches, table, written
+from scrollwork.llm.common import fold, query, small_batches, table, written
 from scrollwork.llm.words import MIX, PRINTED, words
 
 ORDER = 6
 END = 10  # no token holds a line feed
 WORD = 7  # kind of a key that is a word; kinds 1 .. ORDER are n-grams
+SHORT = 2  # n-grams of so many bytes are few enough to broadcast
 BLOCK_BYTES = 32 << 20
-SEGMENT = 1024
 UNIFORM = 257
-NONE = -(1 << 31)
+SCALE = 1e7
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +49,15 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = starts + lengths - 1
     keep[ends] = True
     out[ends] = END
-    return out[keep], (np.cumsum(keep) - 1)[starts]
+    many = np.add.reduceat(keep, starts, dtype=np.int64)
+    return out[keep], np.cumsum(many) - many
 
 
 def grams(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Codes of the n-grams of the top order, none of which crosses from one text to the next."""
-    g = np.zeros(len(s) - ORDER + 1, np.uint64)
-    for k in range(ORDER):
-        g = (g << np.uint64(8)) | s[k : len(s) - ORDER + 1 + k]
+    two = s[:-1].astype(np.uint16) << np.uint16(8) | s[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    g = four[:-2].astype(np.uint64) << np.uint64(16) | two[4:]
     ok = np.ones(len(g), bool)
     for k in range(1, ORDER):
         ok[starts[1:] - k] = False
@@ -70,7 +71,7 @@ def lowered(texts: list[str]) -> Iterator[tuple[list[bytes], list[int]]]:
         group.append(t.encode("utf-8", "replace").lower())
         owner.append(k)
         size += len(group[-1])
-        if size >= 2 << 20:
+        if size >= 1 << 19:
             yield group, owner
             group, owner, size = [], [], 0
     if group:
@@ -102,18 +103,15 @@ class Tally:
 
 
 def block_keys(docs: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
-    """``block``, ``kind``, ``key``, ``n`` (occurrences in training texts): distinct n-grams and words of a block, per task."""
+    """``block``, ``kind``, ``key``, ``n`` (occurrences in training texts): distinct n-grams of the top order and words of a block, per task."""
 
     def emit(block: int, top: Tally, named: Tally) -> Iterator[pa.RecordBatch]:
         codes, n = top.merge()
         for kind in kinds:
             if kind == WORD:
                 k, m = named.merge()
-            elif kind == ORDER:
-                k, m = codes, n
             else:
-                k = np.unique(codes & np.uint64((1 << 8 * kind) - 1))
-                m = np.zeros(len(k), np.int64)
+                k, m = codes, n
             for at in range(0, len(k), 1 << 17):
                 part = k[at : at + (1 << 17)]
                 yield pa.RecordBatch.from_arrays(
@@ -182,11 +180,12 @@ def build(counts: DataFrame) -> DataFrame:
 class Table:
     """Index of 64-bit keys: open addressing, built and searched for whole arrays."""
 
+    FREE = ~np.uint64(0)
+
     def __init__(self, keys: np.ndarray):
-        self.keys = np.append(keys, np.uint64(0))
-        bits = max(4, int(4 * len(keys) + 1).bit_length() - 1)
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.slots = np.full(1 << bits, -1, np.int32)
+        self.keys, self.slots = np.full(1 << bits, self.FREE), np.full(1 << bits, -1, np.int32)
         todo = np.arange(len(keys), dtype=np.int32)
         at = self._hash(keys)
         while len(todo):
@@ -194,19 +193,28 @@ class Table:
             self.slots[at[free]] = todo[free]
             lost = self.slots[at] != todo
             todo, at = todo[lost], (at[lost] + 1) & self.mask
+        taken = self.slots >= 0
+        self.keys[taken] = keys[self.slots[taken]]
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return (((keys ^ (keys >> np.uint64(32))) * MIX) >> self.shift).astype(np.int64)
+        h = keys * MIX
+        h >>= self.shift
+        return h.view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, or -1."""
         at = self._hash(keys)
-        got = self.slots[at]
-        bad = np.flatnonzero((self.keys[got] != keys) & (got >= 0))
-        while len(bad):
-            at[bad] = (at[bad] + 1) & self.mask
-            got[bad] = self.slots[at[bad]]
-            bad = bad[(self.keys[got[bad]] != keys[bad]) & (got[bad] >= 0)]
+        got = self.slots.take(at)
+        todo = np.flatnonzero(self.keys.take(at) != keys)
+        got[todo] = -1
+        at, wanted = at[todo], keys[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            key = self.keys[at]
+            hit = key == wanted
+            got[todo[hit]] = self.slots[at[hit]]
+            on = ~hit & (key != self.FREE)
+            todo, at, wanted = todo[on], at[on], wanted[on]
         return got
 
 
@@ -222,22 +230,28 @@ class Automaton:
         self.logp, self.bow = np.append(logp.dtype.type(0), logp[rest]), np.append(bow.dtype.type(0), bow[rest])
         self.is_arc, is_state = ~np.isnan(self.logp), ~np.isnan(self.bow)
         # the code with its length above it: the arc of state x and symbol c has the label (x << 8 | c) one longer
-        self.length, self.code = length, code
+        self.length, self.code, self.is_state = length, code, is_state
         self.table = Table(self._label(length, code))
-        n = len(length)
-        self.fail, self.next = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for target, longest in ((self.fail, length.astype(np.int64) - 1), (self.next, np.minimum(length.astype(np.int64), ORDER - 1))):
-            todo = np.arange(1, n)
-            size = longest[1:].copy()
-            while len(todo):
-                todo, size = todo[size > 0], size[size > 0]
-                mask = (np.uint64(1) << (np.uint64(8) * size.astype(np.uint64))) - np.uint64(1)
-                got = self.table.find(self._label(size.astype(np.uint64), code[todo] & mask))
-                ok = (got >= 0) & is_state[np.maximum(got, 0)]
-                target[todo[ok]] = got[ok]
-                todo, size = todo[~ok], size[~ok] - 1
-        pad = self.table.find(self._label(np.array([ORDER - 1], np.uint64), np.array([int.from_bytes(bytes([END]) * (ORDER - 1), "big")], np.uint64)))[0]
-        self.start = int(pad) if pad >= 0 and is_state[pad] else 0
+
+    @cached_property
+    def fail(self) -> np.ndarray:
+        return self.state(self.code, self.length.astype(np.int64) - 1)
+
+    @cached_property
+    def next(self) -> np.ndarray:
+        return self.state(self.code, np.minimum(self.length.astype(np.int64), ORDER - 1))
+
+    def state(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The state of the longest context, of at most ``size`` symbols, in which each code ends."""
+        out, todo = np.zeros(len(code), np.int32), np.arange(len(code))
+        while len(todo):
+            todo, size = todo[size > 0], size[size > 0]
+            mask = (np.uint64(1) << (np.uint64(8) * size.astype(np.uint64))) - np.uint64(1)
+            got = self.table.find(self._label(size.astype(np.uint64), code[todo] & mask))
+            ok = (got >= 0) & self.is_state[np.maximum(got, 0)]
+            out[todo[ok]] = got[ok]
+            todo, size = todo[~ok], size[~ok] - 1
+        return out
 
     @staticmethod
     def _label(length: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -260,40 +274,39 @@ class Automaton:
         return out, cost
 
     def score(self, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text. Texts are walked through side by side, long ones in segments: a state
-        depends on the last ``ORDER - 1`` symbols only, so each segment first reads those, without counting them."""
-        ends = np.append(starts[1:], len(s))
-        begin = starts + ORDER - 1
-        many = np.maximum(1, -(-(ends - begin) // SEGMENT))
-        text = np.repeat(np.arange(len(starts)), many)
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = begin[text] + nth * SEGMENT
-        stop = np.minimum(at + SEGMENT, ends[text])
-        order = np.argsort(at - stop, kind="stable")  # longest first
-        at, stop, text, nth = at[order], stop[order], text[order], nth[order]
-        state = np.full(len(at), self.start, np.int32)
-        later = np.flatnonzero(nth > 0)
-        warm = np.zeros(len(later), np.int32)
-        for k in range(ORDER - 1, 0, -1):
-            warm, _ = self.step(warm, s[at[later] - k])
-        state[later] = warm
-        total, size = np.zeros(len(at)), stop - at
-        live = len(at)
-        for k in range(int(size.max(initial=0))):
-            while live and size[live - 1] <= k:
-                live -= 1
-            state[:live], cost = self.step(state[:live], s[at[:live] + k])
-            total[:live] += cost
-        return np.bincount(text, total, len(starts))
-
-
-def _fixed(name: str) -> Column:
-    """Seven decimals in 32 bits; ``NONE`` for null."""
-    return F.coalesce(F.round(F.col(name) * 1e7).cast("long"), F.lit(NONE))
-
-
-def _real(fixed: np.ndarray) -> np.ndarray:
-    return np.where(fixed == NONE, np.nan, fixed * 1e-7).astype(np.float32)
+        """Log10 probability of each text. Where an arc of the top order is at hand, it is taken; other positions start from their context."""
+        codes = grams(s, starts)
+        got = self.table.find(self._label(np.uint64(ORDER), codes))
+        cost = self.logp.take(got, mode="wrap")
+        rest = np.flatnonzero((got < 0) | ~self.is_arc.take(got, mode="wrap"))
+        if len(rest):
+            of = codes[rest]
+            _, cost[rest] = self.step(self.state(of >> np.uint64(8), np.full(len(of), ORDER - 1)), of & np.uint64(255))
+        return np.add.reduceat(cost, starts - (ORDER - 1) * np.arange(len(starts)))
+
+
+def failed(automaton: DataFrame, codes: DataFrame) -> DataFrame:
+    """``key`` and ``logp`` of distinct n-grams of the top order that are no arcs: the costs along their failure arcs, and of the arc found there."""
+
+    def part(k: int, arc: bool) -> Column:
+        code = F.col("key") if arc else F.shiftright("key", 8)
+        return F.struct(F.lit(k).cast("byte").alias("kind"), code.bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("part"), F.lit(arc).alias("arc"))
+
+    def looked_up(kinds: range, model: DataFrame) -> DataFrame:
+        asked = codes.select("key", F.explode(F.array(*[part(k, arc) for k in kinds for arc in (True, False) if k or not arc])).alias("at")).select("key", "at.*")
+        return asked.join(model.select(F.col("key").alias("part"), "kind", "logp", "bow"), ["part", "kind"], "left")
+
+    short = looked_up(range(SHORT + 1), F.broadcast(automaton.where(F.col("kind") <= SHORT)))
+    rows = short.unionByName(looked_up(range(SHORT + 1, ORDER), automaton.where((F.col("kind") > SHORT) & (F.col("kind") < ORDER))))
+    bow = F.when(F.col("kind") == 0, F.coalesce("bow", F.lit(-float(np.log10(UNIFORM))))).otherwise(F.col("bow"))
+    arc = F.max(F.when(F.col("arc") & F.col("logp").isNotNull(), F.struct("kind", "logp"))).alias("arc")
+    # costs of failure by length of the context, so that those of shorter contexts than the arc's can be left out
+    costs = [F.coalesce(F.max(F.when(~F.col("arc") & (F.col("kind") == k), bow)), F.lit(0.0)).alias(f"cost{k}") for k in range(ORDER)]
+    found = rows.groupBy("key").agg(arc, *costs)
+    total = F.coalesce("arc.logp", F.lit(0.0))
+    for k in range(ORDER):
+        total = total + F.when(F.coalesce("arc.kind", F.lit(0)) <= k, F.col(f"cost{k}")).otherwise(0.0)
+    return found.select("key", total.alias("logp"))
 
 
 def with_blocks(df: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
@@ -314,55 +327,73 @@ def lm_scores(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
 
     ``learn`` says which rows are learned from. ``base_score`` is the sum of log10((c + 1) / (N + V + 1)) over the tokens with their
     counts c, ``score`` the automaton's log10 probability. Null and empty texts are the end token only. Without training rows all
-    counts are 0 and the automaton is uniform. Arc and failure weights travel with seven decimals. Repeated rows count and are scored as often as they stand; a null id has
+    counts are 0 and the automaton is uniform. Weights of transitions travel with seven decimals. Repeated rows count and are scored as often as they stand; a null id has
     no effect unless ``learn`` says so. An empty table gives no rows. Words are told apart by 64-bit hashes.
     """
     small_batches(df)
     docs = with_blocks(df, learn, id_col, text_col)
-    sums = written(block_keys(docs, (ORDER, WORD)).where("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    asked = written(block_keys(docs, (ORDER, WORD)), "asked", "zstd")
+    sums = written(asked.groupBy("key", "kind").agg(F.sum("n").alias("n")), "counts")
+    of_text, learned = F.col("kind") == ORDER, F.col("n") > 0
     n_train = docs.where("learn").count()
-    totals = sums.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    totals = sums.where((F.col("kind") == WORD) & learned).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_tokens, n_words = totals[0] + n_train, totals[1] + (n_train > 0)
-    automaton = build(sums.where(F.col("kind") == ORDER).select("key", "n"))
-    value = F.shiftleft(_fixed("logp"), 32).bitwiseOR(_fixed("bow").bitwiseAND(F.lit((1 << 32) - 1)))
-    model = automaton.select("kind", "key", value.alias("value")).unionByName(sums.where(F.col("kind") == WORD).select("kind", "key", F.col("n").alias("value")))
-    model = written(model, "model")
-    # contexts of start symbols only end no n-gram, so no block asks for them
-    pads = {k: int.from_bytes(bytes([END]) * k, "big") for k in range(1, ORDER)}
-    starts = reduce(Column.__or__, [(F.col("kind") == k) & (F.col("key") == c) for k, c in pads.items()])
-    always = np.array([tuple(r) for r in model.where((F.col("kind") == 0) | starts).collect()], np.int64).reshape(-1, 3)
-    asked = block_keys(docs, (*range(1, ORDER + 1), WORD)).select("block", "kind", "key")
-    found = asked.join(model, ["kind", "key"])
-
-    def run(key, mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        # a key that several tasks asked for comes several times; that does no harm
-        kind, code, value = (known[c].to_numpy() for c in ("kind", "key", "value"))
+    automaton = written(build(sums.where(of_text & learned).select("key", "n")), "automaton")
+    weights = automaton.where(of_text).select("key", "logp").unionByName(failed(automaton, sums.where(of_text & ~learned).select("key")))
+    weights = weights.select("key", F.lit(ORDER).cast("byte").alias("kind"), F.round(F.col("logp") * SCALE).cast("long").alias("value"))
+    model = weights.unionByName(sums.where(F.col("kind") == WORD).select("key", "kind", F.col("n").alias("value")))
+    found = asked.select("block", "kind", "key").join(model, ["key", "kind"]).select("block", "kind", "key", "value")
+
+    def tables(held: list[tuple]) -> tuple[Automaton, Table, np.ndarray]:
+        kind, code, value = (np.concatenate(c) for c in zip(*held))
         named = kind == WORD
-        of_words, counts = code[named].view(np.uint64), value[named]
-        order = np.argsort(of_words)
-        of_words, counts = of_words[order], counts[order].astype(float)
-        kind, code, value = (np.append(a[~named], b) for a, b in zip((kind, code, value), always.T))
-        machine = Automaton(kind, code, _real(value >> 32), _real(value.astype(np.int32)))
-        del known, kind, code, value, named
+        arcs = ~named
+        machine = Automaton(kind[arcs], code[arcs], value[arcs] / SCALE, np.full(int(arcs.sum()), np.nan))
+        return machine, Table(code[named].view(np.uint64)), np.append(value[named], 0)
+
+    def scored(mine: pa.RecordBatch, machine: Automaton, of_words: Table, counts: np.ndarray) -> pa.RecordBatch:
         rest = np.log10(n_tokens + n_words + 1.0)
         n, hits, base, score = (np.zeros(len(mine)) for _ in range(4))
-        for group, owner in lowered(mine["text"].tolist()):
-            owner = np.array(owner)
-            h, whose = words(group, PRINTED)
-            if len(of_words):
-                at = np.minimum(np.searchsorted(of_words, h), len(of_words) - 1)
-                c = np.where(of_words[at] == h, counts[at], 0.0)
-            else:
-                c = np.zeros(len(h))
-            n[owner] = np.bincount(whose, minlength=len(group)) + 1
-            hits[owner] = np.bincount(whose, c > 0, len(group)) + (n_train > 0)
-            base[owner] = np.bincount(whose, np.log10(c + 1) - rest, len(group)) + np.log10(n_train + 1) - rest
-            score[owner] = machine.score(*symbols(group))
-        return pd.DataFrame({"doc_id": mine["doc_id"], "learned": mine["learn"], "n_tokens": n.astype(np.int64), "n_known": hits.astype(np.int64), "train_tokens": n_tokens, "base_score": base, "score": score})
-
-    schema = "doc_id string, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = as_text(docs, "doc_id").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+        for at in range(0, len(mine), 256):
+            for group, owner in lowered(mine.column("text").slice(at, 256).to_pylist()):
+                owner = np.array(owner) + at
+                h, whose = words(group, PRINTED)
+                c = counts[of_words.find(h)]
+                n[owner] = np.bincount(whose, minlength=len(group)) + 1
+                hits[owner] = np.bincount(whose, c > 0, len(group)) + (n_train > 0)
+                base[owner] = np.bincount(whose, np.log10(c + 1) - rest, len(group)) + np.log10(n_train + 1) - rest
+                score[owner] = machine.score(*symbols(group))
+        numbers = (n.astype(np.int64), hits.astype(np.int64), np.full(len(mine), n_tokens, np.int64), base, score)
+        return pa.RecordBatch.from_arrays([mine.column("doc_id"), mine.column("learn"), *map(pa.array, numbers)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a key that several tasks asked for comes several times; that does no harm
+        block, held, known = None, [], None
+        for batch in batches:
+            of, kind, key, value = (batch.column(c).to_numpy() for c in ("at", "kind", "key", "value"))
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(of)]):
+                if at == end:
+                    continue
+                if of[at] & 1 == 0:
+                    if of[at] != block:
+                        block, held, known = of[at], [], None
+                    held.append(tuple(c[at:end].copy() for c in (kind, key, value)))
+                else:
+                    if held:
+                        known, held = tables(held), []
+                    yield scored(batch.slice(at, end - at), *known)
+
+    names = ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    types = [docs.schema["doc_id"].dataType.simpleString(), "boolean", "long", "long", "long", "double", "double"]
+    # the weights of a block, then its texts: both come in batches of bounded size, and only the weights stay. Blocks whose
+    # numbers differ in the last bit only would share their weights
+    nothing = F.lit(0).cast("long")
+    texts = docs.select("block", F.lit(0).cast("byte").alias("kind"), nothing.alias("key"), nothing.alias("value"), "doc_id", "learn", "text")
+    rows = found.unionByName(texts, allowMissingColumns=True).withColumn("block", F.col("block").bitwiseAND(F.lit(-2)))
+    at = F.when(F.col("kind") == 0, F.col("block").bitwiseOR(F.lit(1))).otherwise(F.col("block"))
+    rows = rows.repartition("block").withColumn("at", at).sortWithinPartitions("at")
+    return rows.select("at", "kind", "key", "value", "doc_id", "learn", "text").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(names, types)))
 
 
 @query()
