@@ -34,6 +34,7 @@ LENGTH, ANCHOR = 100, 32
 REACH = LENGTH - ANCHOR + 1
 SIDE = 34
 PART = 1 << 19
+PACKED = 7  # symbols of 9 bits in 63
 FLUSH = 32 << 20
 GROUP = 20_000
 BATCH = 1 << 20
@@ -189,60 +190,81 @@ def cut_runs(rows: DataFrame, dictionary: bytes) -> DataFrame:
     return rows.select("rid", "doc_id", "z", "runs").mapInArrow(cut, "doc_id long, start long, rid long, stop long, left int, run binary")
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Prefix doubling; ``codes`` end in a symbol that stands nowhere else, as every string of a batch does."""
-    rank = codes.astype(np.int64)
-    order, step = np.argsort(rank, kind="stable"), 1
-    while True:
-        ahead = np.append(rank[step:], np.zeros(min(step, len(rank)), np.int64))[: len(rank)]
-        key = rank * (int(rank.max(initial=0)) + 2) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.append(0, np.cumsum(sorted_key[1:] != sorted_key[:-1])) if len(order) else order
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = fresh
-        if not len(order) or fresh[-1] == len(order) - 1:
-            return order
+def suffix_array(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``length`` symbols at least, the place of each, and of each place: whether its suffix
+    shares less than ``PACKED`` symbols with the one before, and whether exactly one less.
+
+    ``codes``: a byte and one, or 0 for the end of a string; ends differ from each other, in the order of the strings. The first
+    sort takes ``PACKED`` symbols at once; prefix doubling then sorts only suffixes that are not told apart yet. Suffixes that
+    share ``length`` symbols stand together, in any order.
+    """
+    n, step = len(codes), min(PACKED, length)
+    symbols = np.append(codes, np.zeros(step, codes.dtype))
+    key, going = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(step):
+        key <<= 9
+        key |= symbols[k : n + k] * going
+        going &= symbols[k : n + k] > 0
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    head = np.append(True, (key[1:] != key[:-1]) | (key[1:] & 511 == 0))[:n]
+    key >>= 9
+    seed = head & np.append(False, (key[1:] == key[:-1]) & (key[1:] & 511 > 0))[:n]
+    rank = np.empty(n, np.int32)  # place of the first suffix that is not told apart from this one
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+    at = np.flatnonzero(~(head & np.append(head[1:], True)))  # places of suffixes that are not alone
+    while len(at) and step < length:
+        of = order[at]
+        key = rank[of].astype(np.int64) << 32 | rank[of + step]  # suffixes that are not alone are longer than step
+        by = np.argsort(key, kind="stable")
+        of, key = of[by], key[by]
+        order[at] = of
+        first = np.append(True, key[1:] != key[:-1])
+        rank[of] = np.maximum.accumulate(np.where(first, at, 0))
+        at = at[~(first & np.append(first[1:], True))]
         step *= 2
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return order, place, head, seed
 
 
 def equal_windows(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``length`` bytes that stand more than once in ``strings``: string, offset, and class of equal windows.
+    """Windows of ``length`` (at least 2) bytes that stand more than once in ``strings``: string, offset, and class of equal windows.
 
     Intervals of the suffix array stand for strings; ``open_`` marks boundaries between neighbours whose common
     prefix is not known yet. Level l extends the intervals of the level before by each byte in front of them, and closes
-    the boundary behind every interval that still has an open one; only such intervals are extended further.
+    the boundary behind every interval that still has an open one; only such intervals are extended further. The first
+    ``PACKED`` levels are read off the packed symbols.
     """
-    raw = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64)
+    raw = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8)
     sizes = np.array([len(s) + 1 for s in strings], np.int64)
     ends = np.cumsum(sizes) - 1
-    codes = raw + len(strings)
-    codes[ends] = np.arange(len(strings))  # every string ends in a symbol of its own
-    sa = suffix_array(codes)
+    codes = raw.astype(np.int16) + np.int16(1)
+    codes[ends] = 0
+    sa, isa, head, seed = suffix_array(codes, length)
     n = len(sa)
-    bwt = codes[sa - 1]
-    front = np.empty(n, np.int64)  # suffix array place of the suffix one longer
-    front[np.argsort(bwt, kind="stable")] = np.arange(n)
-    open_ = np.ones(n + 1, bool)
-    open_[0] = open_[n] = False
-    low, high = np.array([0]), np.array([n])
-    owner = np.full(n, -1, np.int64)
-    for _ in range(length):
+    front = isa[sa - 1]  # suffix array place of the suffix one longer
+    symbol = codes[sa]
+    other = np.append(True, (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0))[:n]  # places whose first symbol differs from the one before
+    open_ = np.append(~head, False)
+    heads = np.append(np.flatnonzero(head), n)
+    new = np.append(seed, False)[heads[1:]]
+    low, high = heads[:-1][new], heads[1:][new]
+    owner = np.full(n, -1, np.int32)
+    for _ in range(length - PACKED):
+        if not len(low):
+            break
         size = high - low
-        which = np.repeat(np.arange(len(low)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        to = front[place]
-        owner[to] = which
-        got = np.flatnonzero(owner >= 0)
-        whose, symbol = owner[got], codes[sa[got]]
+        to = front[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        owner[to] = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        got = np.sort(to) if len(to) < n >> 4 else np.flatnonzero(owner >= 0)
+        whose = owner[got]
         owner[got] = -1
-        cut = np.flatnonzero((np.diff(got) != 1) | (whose[1:] != whose[:-1]) | (symbol[1:] != symbol[:-1])) + 1
-        low, high = got[np.append(0, cut)], got[np.append(cut - 1, len(got) - 1)] + 1
+        cut = np.flatnonzero((np.diff(got) != 1) | (whose[1:] != whose[:-1]) | other[got[1:]]) + 1
+        low, high = got[np.append(0, cut)].astype(np.int64), got[np.append(cut - 1, len(got) - 1)].astype(np.int64) + 1
         new = open_[high]
         low, high = low[new], high[new]
         open_[high] = False
-        if not len(low):
-            break
     # neighbours with an open boundary share `length` bytes or more
     text = np.searchsorted(ends, sa)
     offset = sa - (ends[text] + 1 - sizes[text])
@@ -321,16 +343,23 @@ def repeated_spans(docs: DataFrame, dictionary: bytes) -> DataFrame:
 
     left, size = F.col("left"), F.octet_length("run")
     skip = F.greatest(left - (SIDE - 1), F.lit(0))
-    before = F.struct(F.xxhash64(F.lit("before"), F.expr(f"substring(run, left - {SIDE} + 1, {SIDE + ANCHOR})")).alias("key"), F.lit(0).alias("skip"), F.expr(f"substring(run, 1, left - {SIDE} + {LENGTH})").alias("piece"))
-    after = F.struct(F.xxhash64(F.lit("after"), F.expr(f"substring(run, left + 1, {SIDE + ANCHOR})")).alias("key"), skip.alias("skip"), F.expr(f"substring(run, greatest(left - {SIDE - 1}, 0) + 1)").alias("piece"))
+    before = F.struct(F.xxhash64(F.lit("before"), F.expr(f"substring(run, left - {SIDE} + 1, {SIDE + ANCHOR})")).alias("key"), F.lit(True).alias("ahead"))
+    after = F.struct(F.xxhash64(F.lit("after"), F.expr(f"substring(run, left + 1, {SIDE + ANCHOR})")).alias("key"), F.lit(False).alias("ahead"))
     both = F.filter(F.array(F.when(left >= SIDE, before), F.when(size - skip >= LENGTH, after)), lambda p: p.isNotNull())
-    pieces = distinct.select("rid", "doc_id", "start", F.explode(both).alias("p")).select(F.col("p.key").alias("key"), "rid", "doc_id", (F.col("start") + F.col("p.skip")).alias("start"), F.col("p.piece").alias("piece"))
-    sizes = written(pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "piece-sizes")
-    spans = expand(pieces.join(sizes.where(F.col("n") <= GROUP), "key"))
+    sides = distinct.select("rid", "start", F.explode(both).alias("p")).select("p.key", "rid", "start", "p.ahead")
+    sizes = written(sides.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "piece-sizes")
+
+    def pieces(keys: DataFrame) -> DataFrame:
+        # most keys stand alone, so keys meet without their bytes; (rid, start) names a run
+        named = sides.join(keys.select("key"), "key").join(distinct.select("rid", "doc_id", "start", "run", "left"), ["rid", "start"])
+        piece = F.when(F.col("ahead"), F.expr(f"substring(run, 1, left - {SIDE} + {LENGTH})")).otherwise(F.expr(f"substring(run, greatest(left - {SIDE - 1}, 0) + 1)"))
+        return named.select("key", "rid", "doc_id", (F.col("start") + F.when(F.col("ahead"), 0).otherwise(skip)).alias("start"), piece.alias("piece"))
+
+    spans = expand(pieces(sizes.where(F.col("n") <= GROUP)).repartition("key"))
     out = copies.unionByName(known).unionByName(again).unionByName(spans)
     large = sizes.where(F.col("n") > GROUP)
     if not large.isEmpty():
-        windows = pieces.join(large, "key").select("rid", "doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)).alias("j"))
+        windows = pieces(large).select("rid", "doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)).alias("j"))
         windows = windows.select("rid", "doc_id", (F.col("start") + F.col("j")).alias("start"), F.expr(f"unhex(md5(substring(piece, j + 1, {LENGTH})))").alias("digest"), salt)
         first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f", all_salts)
         later = windows.join(first, ["digest", "salt"]).where("doc_id <> f.doc_id OR start <> f.start")
