@@ -333,33 +333,28 @@ def repeated_spans(docs: DataFrame, dictionary: bytes) -> DataFrame:
     runs = written(cut_runs(squeezed(docs, dictionary).join(hits, "rid"), dictionary), "cut-runs", "zstd")
     known = runs.where("run IS NULL").select("rid", "start", "stop")
     runs = runs.where("run IS NOT NULL")
-    distinct = runs.groupBy("run", "left").agg(F.min(F.struct("doc_id", "start", "rid")).alias("f"), F.count("*").alias("n"))
-    distinct = written(distinct.select("run", "left", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), F.col("f.rid").alias("rid"), "n"), "distinct-runs", "zstd")
-    # a run comes at most once from each task, so no digest is hot here
-    digest = F.unhex(F.md5("run")).alias("digest")
-    repeated = distinct.where("n > 1").select(digest, F.col("doc_id").alias("d"), F.col("start").alias("s"))
-    again = runs.select(digest, "rid", "doc_id", "start", "stop").join(repeated, "digest")
-    again = again.where("doc_id <> d OR start <> s").select("rid", "start", "stop")
+    # a run comes at most once from each flush of a task, so no list is long; equal runs have equal places of the anchor
+    place = F.struct("doc_id", "start", "rid")
+    distinct = runs.groupBy("run", "left").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    at = F.element_at("places", 1)
+    others = F.expr("filter(places, p -> p.doc_id <> places[0].doc_id OR p.start <> places[0].start)")
+    distinct = written(distinct.select("run", "left", at["doc_id"].alias("doc_id"), at["start"].alias("start"), at["rid"].alias("rid"), others.alias("others")), "distinct-runs", "zstd")
+    again = distinct.select(F.octet_length("run").alias("size"), F.explode("others").alias("o")).select("o.rid", "o.start", (F.col("o.start") + F.col("size")).alias("stop"))
 
     left, size = F.col("left"), F.octet_length("run")
     skip = F.greatest(left - (SIDE - 1), F.lit(0))
-    before = F.struct(F.xxhash64(F.lit("before"), F.expr(f"substring(run, left - {SIDE} + 1, {SIDE + ANCHOR})")).alias("key"), F.lit(True).alias("ahead"))
-    after = F.struct(F.xxhash64(F.lit("after"), F.expr(f"substring(run, left + 1, {SIDE + ANCHOR})")).alias("key"), F.lit(False).alias("ahead"))
+    before = F.struct(F.xxhash64(F.lit("before"), F.expr(f"substring(run, left - {SIDE} + 1, {SIDE + ANCHOR})")).alias("key"), F.lit(0).alias("skip"), F.expr(f"substring(run, 1, left - {SIDE} + {LENGTH})").alias("piece"))
+    after = F.struct(F.xxhash64(F.lit("after"), F.expr(f"substring(run, left + 1, {SIDE + ANCHOR})")).alias("key"), skip.alias("skip"), F.expr(f"substring(run, greatest(left - {SIDE - 1}, 0) + 1)").alias("piece"))
     both = F.filter(F.array(F.when(left >= SIDE, before), F.when(size - skip >= LENGTH, after)), lambda p: p.isNotNull())
-    sides = distinct.select("rid", "start", F.explode(both).alias("p")).select("p.key", "rid", "start", "p.ahead")
-    sizes = written(sides.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "piece-sizes")
-
-    def pieces(keys: DataFrame) -> DataFrame:
-        # most keys stand alone, so keys meet without their bytes; (rid, start) names a run
-        named = sides.join(keys.select("key"), "key").join(distinct.select("rid", "doc_id", "start", "run", "left"), ["rid", "start"])
-        piece = F.when(F.col("ahead"), F.expr(f"substring(run, 1, left - {SIDE} + {LENGTH})")).otherwise(F.expr(f"substring(run, greatest(left - {SIDE - 1}, 0) + 1)"))
-        return named.select("key", "rid", "doc_id", (F.col("start") + F.when(F.col("ahead"), 0).otherwise(skip)).alias("start"), piece.alias("piece"))
-
-    spans = expand(pieces(sizes.where(F.col("n") <= GROUP)).repartition("key"))
+    pieces = distinct.select("rid", "doc_id", "start", F.explode(both).alias("p")).select(F.col("p.key").alias("key"), "rid", "doc_id", (F.col("start") + F.col("p.skip")).alias("start"), F.col("p.piece").alias("piece"))
+    sizes = written(pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "piece-sizes")
+    # the window sees to it that the pieces of a key meet in one task, whichever join Spark takes; at most GROUP have one key
+    meet = pieces.join(sizes.where(F.col("n") <= GROUP), "key").withColumn("met", F.count("*").over(Window.partitionBy("key")))
+    spans = expand(meet.where("met > 1"))
     out = copies.unionByName(known).unionByName(again).unionByName(spans)
     large = sizes.where(F.col("n") > GROUP)
     if not large.isEmpty():
-        windows = pieces(large).select("rid", "doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)).alias("j"))
+        windows = pieces.join(large, "key").select("rid", "doc_id", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)).alias("j"))
         windows = windows.select("rid", "doc_id", (F.col("start") + F.col("j")).alias("start"), F.expr(f"unhex(md5(substring(piece, j + 1, {LENGTH})))").alias("digest"), salt)
         first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f", all_salts)
         later = windows.join(first, ["digest", "salt"]).where("doc_id <> f.doc_id OR start <> f.start")
