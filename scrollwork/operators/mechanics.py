@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from scrollwork.functions import fixed, ordered, text as T
 from scrollwork.operators.cycles import cycle_members
 from scrollwork.operators.substrings import containing
-from scrollwork.session import cut_lineage
+from scrollwork.session import cut_lineage, deal_wide
 
 ITEM = "array<struct<extractor:string,field:string,ord:int,name:string,value:string>>"
 
@@ -144,7 +144,7 @@ def with_tails(texts: DataFrame, width: int = WINDOW) -> DataFrame:
     block = F.floor((F.col("rn") - 1) / size)
     place = (F.col("rn") - 1) % size
     near = n.select("doc_id", "rn", "part_no", "head", F.explode(F.when((place < reach) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
-    met = near.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("rn", "part_no", "head"))).alias("p"))
+    met = deal_wide(near, "doc_id", "block").groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("rn", "part_no", "head"))).alias("p"))
     behind = F.transform("p", lambda x: F.concat(F.lit(PAGE_BREAK), x["head"]))
     met = T.hold(met, {"b": behind})
 
@@ -158,7 +158,9 @@ def with_tails(texts: DataFrame, width: int = WINDOW) -> DataFrame:
 
     rows = F.transform("p", lambda x, i: F.struct(F.floor((x["rn"] - 1) / size).alias("own"), x["part_no"].alias("part_no"), tail(i).alias("tail")))
     tails = met.select("doc_id", "block", F.inline(rows)).filter("own = block AND tail IS NOT NULL").drop("own", "block")
-    return texts.select("doc_id", "part_no", "text").join(tails, ["doc_id", "part_no"], "left")
+    # a tail is as long as a page, which its type doesn't tell Spark: estimated, all tails together would seem small enough to be broadcast
+    key = ["doc_id", "part_no"]
+    return deal_wide(texts.select(*key, "text"), *key).join(deal_wide(tails, *key).hint("merge"), key, "left")
 
 
 def _across(texts: DataFrame) -> tuple[DataFrame, Column, Column, Column]:

@@ -2,6 +2,8 @@
 import random
 import re
 
+import pytest
+
 from scrollwork.operators import mechanics
 
 
@@ -43,3 +45,12 @@ def test_matches_begin_on_their_page(spark):
         (0, "melee_weapons", "Blade", "Strength + 2 unknown"), (0, "tiered_armor", "thick coat", "2/7/-2"), (2, "tiered_armor", "thin", "1/2/3"),
         (3, "melee_weapons", "Blade", "Strength + 2 lethal"), (5, "tiered_armor", "plate", "3/5/-1"),
     ]
+
+
+@pytest.mark.parametrize("extract", [mechanics.with_tails, mechanics.extract_equipment])
+def test_tails_are_never_broadcast(spark, tmp_path, extract):
+    """Their length is not in Spark's estimate, so the tails of many short pages would go to the driver whole."""
+    pages(spark, {"d": ["x", "y", "z"]}).write.parquet(f"{tmp_path}/pages")
+    plan = extract(spark.read.parquet(f"{tmp_path}/pages"))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "LeftOuter" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
