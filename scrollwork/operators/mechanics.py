@@ -576,7 +576,7 @@ def check_templates(templates: DataFrame, conditions: DataFrame, entities: DataF
 def counter_edges(counters: DataFrame, triggers: DataFrame) -> DataFrame:
     """``a -> b`` where a trigger text of one counter holds another counter's id.
 
-    Texts and ids meet on the id's rarest three letters, not as all pairs.
+    Texts and ids meet on the id's rarest gram, not as all pairs.
     """
     t = triggers.select("doc_id", F.col("counter").alias("a"), F.lower("effect").alias("text")).distinct()
     held = containing(t, counters.select("doc_id", F.col("counter").alias("pattern")), ["doc_id"])

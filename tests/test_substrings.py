@@ -32,3 +32,20 @@ def test_targets(spark):
     acts = spark.createDataFrame([(1, 0, "e3"), (1, 1, "TOWER"), (1, 2, "ld tow"), (1, 3, "he"), (1, 4, "nobody"), (2, 5, "tower"), (1, 6, None), (1, 7, "")], "campaign_id long, ord long, target string")
     got = {r.ord: r.target_id for r in actions.resolve_targets(acts, entities).collect()}
     assert got == {0: "e3", 1: "e3", 2: "e1", 3: "e2", 4: "nobody", 5: "tower", 6: None, 7: ""}
+
+
+def test_grams_are_never_broadcast(spark, tmp_path):
+    """Their number is not in Spark's estimate, so the grams of many short texts would go to the driver whole."""
+    texts, patterns = frames(spark, [(1, "raise abc")], [(1, "abc")])
+    texts.write.parquet(f"{tmp_path}/t"), patterns.write.parquet(f"{tmp_path}/p")
+    plan = substrings.containing(spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/p"), ["k"])._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "g#" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_long_patterns_meet_by_long_grams(spark):
+    """Numbers share their groups of three digits with a share of all others."""
+    names = [(1, f"raise s{n}. and s{2 * n}.") for n in range(100_000, 103_000)]
+    texts, patterns = frames(spark, names, [(1, f"s{n}.") for n in range(100_000, 103_000, 3)])
+    assert substrings.candidates(texts, patterns, ["k"]).count() < 2 * 1000
+    assert substrings.containing(texts, patterns, ["k"]).count() == 1000
