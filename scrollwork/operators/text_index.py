@@ -305,10 +305,21 @@ def index_hits(spark: SparkSession, path: str, phrases: DataFrame, packs: list[s
     return single.unionByName(longer), known.unionByName(longer.groupBy("phrase").agg(F.count("*").alias("df")))
 
 
+def same_asked(phrases: DataFrame, within: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``query_id``, ``ask``) and the ``phrases`` of each ask: queries with the same phrases and the same ``within`` are one ask.
+
+    They find the same chunks in the same order, and each would shuffle all that it finds. An ask is a struct of its least query's id, which may be null.
+    """
+    asked = phrases.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct(*within, "phrase"))).alias("asked"))
+    asks = asked.groupBy("asked").agg(F.min(F.struct("query_id")).alias("ask"))
+    return asked.join(asks, "asked").select("query_id", "ask"), asks.select("ask", F.inline("asked")).withColumnRenamed("ask", "query_id")
+
+
 def search_index(queries: DataFrame, path: str, k: int = 30, within: list[str] = []) -> DataFrame:
     """As ``retrieval.keyword_search``, from the index: ``query_id``, key, ``score``, ``rank``.
 
     On a stemmed index the terms of a query are stemmed as well. Columns in ``within`` must agree between a query and its chunks.
+    Queries that ask the same are ranked once.
     """
     spark = queries.sparkSession
     form = spark.read.parquet(f"{path}/form").first()
@@ -330,4 +341,6 @@ def search_index(queries: DataFrame, path: str, k: int = 30, within: list[str] =
         packs = found if len(found) <= NAMED_PACKS else None
     hits, freq = index_hits(spark, path, phrases, packs)
     size = _read(spark, f"{path}/sizes").agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("mean_length"))
-    return retrieval.rank_hits(hits, phrases, freq, size, form.key, within, k)
+    of, asks = same_asked(phrases, within)
+    found = retrieval.rank_hits(hits, asks, freq, size, form.key, within, k).withColumnRenamed("query_id", "ask")
+    return of.join(found, "ask").select("query_id", form.key, "score", "rank")

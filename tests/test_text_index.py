@@ -142,3 +142,14 @@ def test_named_packs_are_not_dealt_by_pack(spark, index):
     assert "Join" not in few._jdf.queryExecution().toString()
     assert sorted(map(tuple, few.where("term <> ''").select("term", "chunks", "tokens").collect())) == sorted(map(tuple, text_index._of_packs(stored, packs, None).where("term <> ''").select("term", "chunks", "tokens").collect()))
     assert stored.where("term = 'red'").groupBy("pack_id").agg(F.sum("chunks"), F.sum("tokens")).orderBy("pack_id").collect() == [("007", 2, 4), ("p2", 1, 1)]
+
+
+def test_equal_queries_are_ranked_once(spark, index):
+    rows = [(1, "007", ["lamp", "bar"]), (2, "007", ["Bar", "lamp", "lamp"]), (None, "007", ["bar", "lamp"]), (3, "p2", ["neon"]), (4, "007", ["bar"]), (5, "p2", ["!"])]
+    q = spark.createDataFrame(rows, "query_id long, pack_id string, keywords array<string>")
+    of, asks = text_index.same_asked(retrieval.query_phrases(q, ["pack_id"]), ["pack_id"])
+    assert sorted((r.query_id or 0, r.ask.query_id or 0) for r in of.collect()) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4)]
+    assert sorted((r.query_id[0] or 0, r.phrase) for r in asks.collect()) == [(0, "bar"), (0, "lamp"), (3, "neon"), (4, "bar")]
+    got = sorted((r.query_id or 0, r["rank"], r.chunk_id) for r in text_index.search_index(q, index, 10, ["pack_id"]).collect())
+    one = [(1, "007:bar"), (2, "007:viktor")]
+    assert got == [(i, *r) for i in (0, 1, 2) for r in one] + [(3, 1, "p2:club"), (4, 1, "007:bar")]
