@@ -150,3 +150,24 @@ def test_keys_of_one_bucket_stay_apart(spark, tmp_path, monkeypatch):
     got = out(spark, path)
     assert got.count() == 2 * 51
     assert sorted(map(tuple, keyed.newest(got, ["campaign_id"], ["n"]).collect()), key=repr) == sorted((r for r in rows if r[1] == 3), key=repr)
+
+
+def test_late_rows_of_campaigns_that_share_a_group(spark, tmp_path, monkeypatch):
+    """Campaigns are dealt to groups, each with one timer; their rows, counts and latest times stay apart."""
+    monkeypatch.setattr(keyed, "BUCKETS", 1)
+    hours = {1: [0, 5, 3, 20, 30], 2: [2, 9, 1, 21, 31], None: [1, 4, 6, 22, 32]}
+    rows = [(c, 10 * (c or 0) + i, BASE + dt.timedelta(hours=h)) for i in range(5) for c, h in ((c, hs[i]) for c, hs in hours.items())]
+    src = feed(spark, str(tmp_path / "in"), rows, "campaign_id long, id long, ts timestamp", 5)
+    held = keyed.release(src, "ts", "4 hours", ["id"])
+    assert "bucket_" in held._jdf.queryExecution().analyzed().toString()
+    path = str(tmp_path / "out")
+    wait(keyed.append_to(held, path, 1))
+    got = {(r.campaign_id, r.id): (r.part, r.place, r.reordered, r.ts) for r in out(spark, path).collect()}
+    want = {}
+    for c, hs in hours.items():  # batch 2 comes behind a watermark of 5 hours
+        kept = sorted((h, i) for i, h in enumerate(hs) if i != 2 or h >= 5)
+        for place, (h, i) in enumerate(kept[:-1], 1):  # the last one still waits
+            want[c, 10 * (c or 0) + i] = ("released", place, False, BASE + dt.timedelta(hours=h))
+        if hs[2] < 5:
+            want[c, 10 * (c or 0) + 2] = ("rejected", None, False, BASE + dt.timedelta(hours=hs[2]))
+    assert got == want
