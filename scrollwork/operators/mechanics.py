@@ -157,7 +157,8 @@ def with_tails(texts: DataFrame, width: int = WINDOW) -> DataFrame:
         return F.when(i + 1 < F.size("b"), F.left(out, F.lit(width)))
 
     rows = F.transform("p", lambda x, i: F.struct(F.floor((x["rn"] - 1) / size).alias("own"), x["part_no"].alias("part_no"), tail(i).alias("tail")))
-    tails = met.select("doc_id", "block", F.inline(rows)).filter("own = block AND tail IS NOT NULL").drop("own", "block")
+    # of rows that repeat a page the first one's tail comes last, which counts where the last of equal places is taken
+    tails = met.select("doc_id", "block", F.inline(F.reverse(rows))).filter("own = block AND tail IS NOT NULL").drop("own", "block")
     # a tail is as long as a page, which its type doesn't tell Spark: estimated, all tails together would seem small enough to be broadcast
     key = ["doc_id", "part_no"]
     return deal_wide(texts.select(*key, "text"), *key).join(deal_wide(tails, *key).hint("merge"), key, "left")

@@ -54,3 +54,11 @@ def test_tails_are_never_broadcast(spark, tmp_path, extract):
     plan = extract(spark.read.parquet(f"{tmp_path}/pages"))._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "LeftOuter" in line]
     assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_tails_of_a_repeated_page(spark):
+    """Of equal places the tail of the first one counts, as it did when tails were broadcast."""
+    rows = [("d", 1, "Grade Attributes:"), ("d", 1, "Grade Attributes:"), ("d", 2, "Plate Bolt")]
+    texts = spark.createDataFrame(rows, "doc_id string, part_no long, text string")
+    got = {r.name: r.value for r in mechanics.extract_stats(texts).collect() if r.field == "attributes"}
+    assert got == {"grade": "grade,attributes,plate,bolt"}
